@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact_dedup
+from factloom.llm import exact_dedup, packing, piece_codec
 
 QUERIES = {
+    "op2_piece_codec": piece_codec.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES = {
