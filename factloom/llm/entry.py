@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact_dedup, packing, piece_codec
+from factloom.llm import exact_dedup, langid, lm, packing, pii, piece_codec, secrets
 
 QUERIES = {
+    "op1_secrets": secrets.query,
     "op2_piece_codec": piece_codec.query,
+    "op3_pii": pii.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_langid": langid.query,
+    "op6_lm": lm.query,
     "op10_packing": packing.query,
 }
 
