@@ -26,6 +26,9 @@ from factloom.llm.tokens import CACHE_UNITS, CACHED_LENGTH, tokenizer_path
 
 SPACE = "▁"
 
+#: Code points encoded together.
+TOGETHER = 1 << 20
+
 
 class CharMap:
     """The compiled character map: longest-prefix replacement with source alignment."""
@@ -110,8 +113,21 @@ class PieceCodec:
     def _listed(ids: list[int]) -> str:
         return ",".join(map(str, ids))
 
-    def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
-        """For each text (ids as comma-joined decimals, ids, ends): piece k covers original bytes ends[k-1] to ends[k]."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """For each text (ids as comma-joined decimals, ids, ends): piece k covers original bytes ends[k-1] to ends[k].
+
+        Texts are worked on some TOGETHER code points at a time, which bounds the memory for whatever batch comes.
+        """
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= TOGETHER:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
+
+    def _some(self, texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
         normal = [self.map.normalise(t) for t in texts]
         # Behind each space symbol a unit begins; the text's own first unit begins with the dummy prefix.
         keys = [None if SPACE in n or not self.cut else [run[1:] for run in self.runs.findall(" " + n)] if "  " in n or n[-1:] == " " or n[:1] == " " else n.split(" ") for n, _ in normal]

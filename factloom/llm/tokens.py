@@ -5,8 +5,8 @@ from __future__ import annotations
 import base64
 from array import array
 
-#: Units a cache holds before it starts anew; bounds a worker's memory (some 200 MB for usual units).
-CACHE_UNITS = 800_000
+#: Units a cache holds before it starts anew; bounds a worker's memory (some 60 MB for usual units).
+CACHE_UNITS = 300_000
 
 #: Units longer than this are not kept, so that odd texts cannot fill the memory.
 CACHED_LENGTH = 48
