@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact_dedup, langid, lm, packing, pii, piece_codec, secrets
+from factloom.llm import exact_dedup, langid, lm, minhash, packing, pii, piece_codec, secrets
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_langid": langid.query,
     "op6_lm": lm.query,
+    "op8_minhash": minhash.query,
     "op10_packing": packing.query,
 }
 
