@@ -32,7 +32,7 @@ from factloom.llm.words import hasher, text_of
 
 DICTIONARY = 500_000
 STATES = 65_536
-ARCS = 2_000_000
+ARCS = 1_000_000
 DISCOUNT = 0.75
 #: A word cannot hold a space, so this is no word.
 _END = xxhash.xxh3_64_intdigest(b" end")
@@ -170,8 +170,8 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
     spark = texts.sparkSession
     counts = table(count_tokens(texts), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = counts.where(F.col("c") >= _least_count(counts, DICTIONARY)).toPandas()  # at most DICTIONARY rows
-    model = Automaton(known["h"].to_numpy(np.int64), known["c"].to_numpy(np.int64), total, distinct)
+    known = counts.where(F.col("c") >= _least_count(counts, DICTIONARY)).toArrow()  # at most DICTIONARY rows
+    model = Automaton(known["h"].to_numpy(), known["c"].to_numpy(), total, distinct)
     ends = model.counts[model.hashes == np.uint64(_END)]
     if not len(ends):
         model.set_arcs(np.zeros(0, np.int64), np.zeros(0), 0)
@@ -187,8 +187,8 @@ def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
 
     pairs = texts.select("text").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     pairs = table(pairs.where("c >= 2"), "lm-pairs")
-    kept = pairs.where(F.col("c") >= _least_count(pairs, ARCS, 2)).toPandas()  # at most ARCS rows
-    model.set_arcs(kept["h"].to_numpy(np.int64), kept["c"].to_numpy(np.int64), int(ends[0]))
+    kept = pairs.where(F.col("c") >= _least_count(pairs, ARCS, 2)).toArrow()  # at most ARCS rows
+    model.set_arcs(kept["h"].to_numpy(), kept["c"].to_numpy(), int(ends[0]))
     return model, counts
 
 
