@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import exact_dedup, langid, lm, minhash, packing, pii, piece_codec, secrets
+from factloom.llm import ann, exact_dedup, langid, lm, minhash, packing, pii, piece_codec, secrets, urlfilter
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_langid": langid.query,
     "op6_lm": lm.query,
+    "op7_url_filter": urlfilter.query,
     "op8_minhash": minhash.query,
+    "op9_nearest": ann.query,
     "op10_packing": packing.query,
 }
 

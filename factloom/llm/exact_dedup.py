@@ -102,11 +102,17 @@ def _members(runs: DataFrame, groups: DataFrame, total: int, sha: str) -> DataFr
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns. Every dropped row equals one that stays."""
-    gone = exact_groups(docs).where("NOT kept").select("doc_id")
-    gone = table(gone.distinct(), "exact-gone")
+    """The rows of `docs` that stay, all columns. Of rows that repeat a doc_id with an equal text one stays; rows without id stay."""
+    groups = table(exact_groups(docs).select("doc_id", "kept"), "exact-kept")
+    gone = table(groups.where("NOT kept").select("doc_id").distinct(), "exact-gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    repeats = table(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-repeats")
+    if repeats.isEmpty():
+        return rest
+    mark = "__factloom_digest"
+    again = rest.join(repeats, "doc_id", "left_semi").withColumn(mark, F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", mark]).drop(mark)
+    return rest.join(repeats, "doc_id", "left_anti").unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

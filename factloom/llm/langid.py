@@ -124,16 +124,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> MaskFilter:
     return MaskFilter(languages, [top.loc[top["lang"] == x, "h"].to_numpy(np.int64).view(np.uint64) for x in languages])
 
 
-def predict(docs: DataFrame, learned: MaskFilter, *keep: str | Column) -> DataFrame:
-    """`keep`, lang_pred and score for every row of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(learned)
+def prediction(spark, learned: MaskFilter) -> Column:
+    """struct(lang_pred, score) of the column `text`."""
+    shared = spark.sparkContext.broadcast(learned)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
         return pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select(*keep, run("text").alias("__p")).select("*", "__p.lang_pred", "__p.score").drop("__p")
+    return run("text")
 
 
 def held_out() -> Column:
@@ -145,11 +145,11 @@ def keep_known(docs: DataFrame) -> DataFrame:
     learned = train(docs.where(~held_out()))
     if not learned.languages:  # nothing to learn from: the letter rule alone decides
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    kept = predict(docs.withColumnRenamed("text", "__text").withColumn("text", F.col("__text")), learned, "*")
-    return kept.where("lang_pred != 'und'").drop("text", "lang_pred", "score").withColumnRenamed("__text", "text").select(*docs.columns)
+    return docs.where(prediction(docs.sparkSession, learned)["lang_pred"] != "und")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     learned = train(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), learned, "doc_id", held_out().alias("held_out"))
+    p = docs.select("doc_id", held_out().alias("held_out"), prediction(spark, learned).alias("p"))
+    return p.select("doc_id", "held_out", "p.lang_pred", "p.score")

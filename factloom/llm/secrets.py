@@ -148,13 +148,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     A null text stays null. Extra columns, whatever their names, pass through.
     """
-    df = scan(docs, *docs.columns)
+    df = scan(docs.select(F.struct("*").alias("__row"), "text"), "__row")
     hit = F.size("all") > 0
-    new = {"text": F.when(hit, masked(F.col("__text"), "all")).otherwise(F.col("text"))}
-    df = df.withColumn("text", new["text"])
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    text = F.when(hit, masked(F.col("__text"), "all")).otherwise(F.col("__row.text"))
+    df = df.select("__row", hit.alias("hit"), text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("__row.n_chars") if "n_chars" in docs.columns else None)}
+    return df.select(*[new[c].alias(c) if c in new else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
