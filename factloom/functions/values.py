@@ -50,18 +50,30 @@ def _bounded(token: str) -> str:
     return r"(?<![a-z])\Q" + token + r"\E(?![a-z])"
 
 
+def _first(tokens: list[tuple[str, str]], low: Column) -> Column:
+    """The answer of the first (token, answer) found. Tokens of letters stand alone, others match anywhere.
+
+    One expression over a literal table: a chain of conditions this long would not compile to one method.
+    """
+    alone = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z]", " "), F.lit(" "))
+    table = F.array(*[F.struct(F.lit(t.isalpha()).alias("alone"), F.lit(f" {t} " if t.isalpha() else t).alias("needle"), F.lit(x).alias("answer")) for t, x in tokens])
+    texts = F.struct(alone.alias("alone"), low.alias("low"))
+    return F.get(F.transform(F.array(texts), lambda s: F.get(F.filter(table, lambda x: F.contains(F.when(x["alone"], s["alone"]).otherwise(s["low"]), x["needle"])), F.lit(0))["answer"]), F.lit(0))
+
+
 def scale_token(low: Column) -> Column:
     """The first scale word of the table that stands alone in the text (NV8), or null."""
-    return F.coalesce(*[F.when(low.rlike(_bounded(t)), F.lit(t)) for t, _ in SCALES])
+    return _first([(t, t) for t, _ in SCALES], low)
 
 
 def scale_factor(token: Column) -> Column:
-    return F.coalesce(*[F.when(token == t, F.lit(m)) for t, m in SCALES], F.lit(1.0))
+    factors = F.create_map(*[F.lit(x) for pair in SCALES for x in pair])
+    return F.coalesce(F.try_element_at(factors, token), F.lit(1.0))
 
 
 def currency(low: Column) -> Column:
     """ISO code of the first currency token of the table in the text (NV9), or null."""
-    return F.coalesce(*[F.when(low.rlike(_bounded(t)) if t.isalpha() else F.contains(low, F.lit(t)), F.lit(c)) for t, c in CURRENCIES])
+    return _first(list(CURRENCIES), low)
 
 
 def with_values(df: DataFrame, value: str = "value_raw", unit: str = "unit_raw", compat: bool = False) -> DataFrame:
