@@ -229,7 +229,7 @@ def _examples(spark, d):
     return search.issue_examples(fx.issues(spark, d)).select("issue_id", "kind", "place")
 
 
-_EXAMPLES = f"""WITH {ISSUES} SELECT issue_id, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY at DESC, issue_id) AS INTEGER) AS place FROM issues QUALIFY row_number() OVER (PARTITION BY kind ORDER BY at DESC, issue_id) <= 2"""
+_EXAMPLES = f"""WITH {ISSUES} SELECT issue_id, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY issues.at DESC, issue_id) AS INTEGER) AS place FROM issues QUALIFY row_number() OVER (PARTITION BY kind ORDER BY issues.at DESC, issue_id) <= 2"""
 
 
 def _failures(spark, d):
