@@ -6,8 +6,8 @@ second permutation, circularly shifted by k, gives coordinate k of the signature
 is the next entry of its table, the K values of a shingle are K neighbouring entries. BANDS bands of ROWS coordinates give
 buckets; at similarity 0.8 a pair shares none with probability (1 - 0.8^ROWS)^BANDS, 3 in a million.
 
-Buckets are never expanded into all pairs. First every member is paired with its bucket's smallest member only; pairs
-whose sketches (one byte a coordinate) agree on too little are dropped (MARGIN, more than five deviations below the
+Buckets are never expanded into all pairs. First every member is paired with the smallest members of its buckets only, four at
+most; pairs whose sketches (one byte a coordinate) agree on too little are dropped (MARGIN, more than five deviations below the
 threshold), the others are confirmed on the full sets. Links connect components. Then buckets that still hold more than one
 component are compared inside, sketch by sketch in blocks, across components only: of a large bucket the members outside
 the main component against all, never the main component against itself. What passes is confirmed on the full sets
@@ -210,7 +210,8 @@ def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
     members = table(banded.join(buckets, "band"), "nd-members")
 
     sides = known.select("rep", "n", "sketch")
-    star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    # A member is paired with the smallest pivot of each quarter of its buckets: at most four pairs, however large its group.
+    star = members.where("rep != pivot").groupBy(F.col("rep").alias("b"), F.pmod("band", F.lit(4)).alias("quarter")).agg(F.min("pivot").alias("a")).select("a", "b").distinct()
     star = star.join(sides.toDF("a", "na", "sa"), "a").join(sides.toDF("b", "nb", "sb"), "b").where(_sizes_fit("na", "nb"))
     star = table(star.select("a", "b", "sa", "sb").mapInPandas(_agree, "a long, b long"), "nd-star")
     links = table(confirm(star, known, docs, words), "nd-links1")
