@@ -60,7 +60,7 @@ def strip_periods(text: Column) -> Column:
 def canonical_claim(subject: Column, predicate: Column, qualifiers: Column) -> Column:
     """What is embedded: neither value nor period (ID5)."""
     blank = lambda c: F.nullif(c, F.lit(""))
-    named = F.array_join(F.filter(F.transform(F.coalesce(qualifiers, F.array().cast("array<string>")), F.trim), lambda q: q != ""), "; ")
+    named = F.array_join(F.filter(F.transform(F.coalesce(qualifiers, F.array().cast("array<string>")), lambda q: F.trim(q)), lambda q: q != ""), "; ")
     return F.concat_ws(" — ", blank(strip_periods(subject)), blank(strip_periods(predicate)), blank(named))
 
 
