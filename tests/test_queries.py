@@ -24,7 +24,7 @@ def text(frame):
     frame = frame[sorted(frame.columns)].copy()
     for c in frame.columns:
         kind = str(frame[c].dtype)
-        frame[c] = ["" if str(x) in ("None", "NaN", "nan", "<NA>", "NaT") else f"{float(x):.9g}" if kind.startswith(("int", "Int", "float")) else str(x) for x in frame[c]]
+        frame[c] = ["" if str(x) in ("None", "NaN", "nan", "<NA>", "NaT") else f"{float(x):.9g}" if kind.startswith(("int", "Int", "float")) else str(x).removesuffix(" 00:00:00") for x in frame[c]]
     return sorted(map(tuple, frame.to_numpy()))
 
 
