@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from factloom.llm.common import BROADCAST_ROWS, join_skewed, table
 from factloom.llm.words import hasher, mix, text_of
@@ -172,11 +173,11 @@ def _inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _compared(frame: pd.DataFrame) -> pd.DataFrame:
     if not len(frame):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "alike": np.zeros(0, np.int64)})
     key, rep, label, n = (frame[c].to_numpy(np.int64) for c in ("key", "rep", "label", "n"))
     outer, inner = frame["outer_side"].to_numpy(bool), frame["inner_side"].to_numpy(bool)
     sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, K)
-    out_a, out_b = [], []
+    out_a, out_b, alike = [], [], []
     run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     longest = int(np.diff(run).max())
     for step in range(1, longest):  # each row against the one `step` places on, all buckets at once
@@ -190,11 +191,19 @@ def _compared(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = i[fit], j[fit]
         for at in range(0, len(i), 65536):
             p, q = i[at : at + 65536], j[at : at + 65536]
-            good = (sketch[p] == sketch[q]).sum(axis=1) >= MARGIN
+            agree = (sketch[p] == sketch[q]).sum(axis=1)
+            good = agree >= MARGIN
+            alike.append(agree[good])
             out_a.append(np.minimum(rep[p[good]], rep[q[good]]))
             out_b.append(np.maximum(rep[p[good]], rep[q[good]]))
     empty = np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])}).drop_duplicates()
+    return pd.DataFrame({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b]), "alike": np.concatenate([empty, *alike])}).drop_duplicates()
+
+
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    df = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    return df.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "alike")
 
 
 def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -234,10 +243,18 @@ def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
     as_all = spread.select("band", "rep", "label", "n", "sketch", F.explode(F.sequence(F.lit(0), rows_outer - 1)).alias("i"), own_all.cast("int").alias("j"), F.lit(False).alias("outer_side"))
     blocks = as_outer.unionByName(as_all).select(F.xxhash64("band", "i", "j").alias("key"), "rep", "label", "n", "sketch", "outer_side", (~F.col("outer_side")).alias("inner_side"))
     sorted_ = whole.unionByName(blocks).repartition("key").sortWithinPartitions("key")
-    more = table(sorted_.mapInPandas(_inside, "a long, b long").distinct(), "nd-inside")
-    if not more.isEmpty():
-        again = confirm(more, known, docs, words)
-        labels = components(table(links.union(again), "nd-links2"))
+    more = table(sorted_.mapInPandas(_inside, "a long, b long, alike long").distinct(), "nd-inside")
+    # The most alike pairs of each member are confirmed first; pairs that their links join need no test. The last round takes all.
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("alike"), "a"))
+    for most in (4, None):
+        still = _crossing(more, labels)
+        if most:
+            still = still.withColumn("place", best).where(F.col("place") <= most)
+        still = table(still.select("a", "b"), "nd-crossing")
+        if still.isEmpty():
+            break
+        links = table(links.union(confirm(still, known, docs, words)), "nd-links2")
+        labels = components(links)
 
     of_set = reps.select("d", "group_size", "rep").join(labels, reps["rep"] == labels["node"], "left").select("d", "group_size", F.coalesce("label", "rep").alias("component"))
     of_set = table(of_set, "nd-sets-labels")
