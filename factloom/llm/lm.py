@@ -1,24 +1,26 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Tokens are words (A to Z lower-cased) and one end a text. Counts of all tokens of all training texts give the
-add-one unigram distribution P1(v) = (c + 1) / (N + V + 1), the automaton's empty state. The STATES most frequent words
-(and the start of a text) are states of their own. From state u the arc for v, kept for the ARCS most frequent
-pairs of state words seen at least twice, weighs log10((c_uv - D) / c_u + b_u P1(v)), absolute discounting
-with the freed mass b_u = 1 - sum over kept arcs of (c_uv - D) / c_u; the failure arc of u weighs log10 b_u and leads to the
-empty state, whose arcs weigh log10 P1(v). Every state's probabilities sum to one. A text is read once from left to right,
-carrying the state (the last word where it is one) and adding weights.
-
-The automaton goes to the workers; its size is bounded by DICTIONARY, STATES and ARCS whatever the corpus. Counts themselves
-are never capped: tokens outside the dictionary, which no arc can read, are left as (text, token hash, count) rows, joined
-with the full table of counts by shuffle and added to both scores. No token there is frequent, so no key is hot.
-
-Words are told apart by 64-bit hashes (expected wrong pairs: V^2 / 2^65). Null text is empty: one token, the end.
-Repeated rows are scored, and counted, as often as they occur. An empty table gives an empty result; with no training text
-every token is unknown, at P1 = 1. Extra columns are ignored.
+add-one unigram distribution P1(v) = (c + 1) / (N + V + 1), the automaton's empty state. Every word (and the start of a text)
+is a state of its own. From state u the arc for v, one for every pair seen, weighs log10((c_uv - D) / c_u + b_u P1(v)),
+absolute discounting with the freed mass b_u = D n_u / c_u, n_u being the distinct words seen behind u; the failure arc of u
+weighs log10 b_u and leads to the empty state, whose arcs weigh log10 P1(v). Every state's probabilities sum to one. A text is
+read once from left to right, carrying the state (the last word where training saw it) and adding weights.
+
+All counts, of tokens and of pairs, are whole and lie in written tables. What goes to the workers is a cache, its size bounded
+by DICTIONARY (words and failure arcs), STATES and ARCS (the most frequent pairs of the most frequent words) whatever the
+corpus. What a text needs beyond it is left as (text, key, count) rows, joined with the full tables by shuffle and added: a
+token outside the dictionary its log10 P1, such a history its log10 b_u, a pair that is no cached arc what its arc weighs
+more than the failure path. None of these is frequent in training, so no key is hot.
+
+Words are told apart by 64-bit hashes, pairs with a word outside the dictionary too (expected wrong pairs: V^2 / 2^65). Null
+text is empty: one token, the end. Repeated rows are scored, and counted, as often as they occur. An empty table gives an empty
+result; with no training text every token is unknown, at P1 = 1. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,16 @@ DISCOUNT = 0.75
 _END = xxhash.xxh3_64_intdigest(b" end")
 #: (pair) keys a worker gathers before it hands them on.
 _MEMTABLE = 2_000_000
+#: Stands for the word in the key of a history alone.
+_HISTORY = np.int64(-1)
+
+
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each pair."""
+    x = np.asarray(before, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) + np.asarray(word, np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 def _sequence(text) -> np.ndarray:
@@ -115,10 +127,14 @@ class Automaton:
         self.state[states] = np.arange(len(states))
         self.start = len(states)
         self.log_p1 = np.append(np.log10((self.counts + 1) / (self.total + self.distinct + 1)), 0.0)
-        self.state_count = np.append(self.counts[states], 0).astype(float)
-        self.back = np.zeros(self.start + 2)  # log10 of the failure arc; the empty state's is 0
+        #: By place, then the start of a text: counts as a history, and log10 of the failure arc.
+        self.history = np.append(self.counts, 0).astype(float)
+        self.fail = np.zeros(len(self.hashes) + 1)
+        self.back = np.zeros(self.start + 2)  # the failure arcs by state; the empty state's is 0
         self.keys = np.zeros(0, np.int64)
         self.weights = np.zeros(0)
+        #: Whether the arcs are all pairs that training saw.
+        self.whole = True
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places in the dictionary; its length for words outside."""
@@ -127,75 +143,157 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, len(self.hashes))
 
+    def ids(self, h: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(history, word) of each token: places, the number of words for the start of a text, hashes for words outside."""
+        word = np.where(places == len(self.hashes), h.view(np.int64), places)
+        return np.append(len(self.hashes), word[:-1]), word
+
+    def inside(self, ids: np.ndarray) -> np.ndarray:
+        return (ids >= 0) & (ids <= len(self.hashes))
+
+    def look_up_keys(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The keys of pairs in the table of weights."""
+        near = self.inside(before) & self.inside(word)
+        return np.where(near, before * (len(self.hashes) + 1) + word, _mixed(before, word))
+
     def pairs(self, places: np.ndarray) -> np.ndarray:
         """For each token its (state before, word as state) key, or -1 where either is no state."""
         word = self.state[places]
         before = np.append(self.start, word[:-1])
         return np.where((before >= 0) & (word >= 0), before * (self.start + 1) + word, -1)
 
-    def set_arcs(self, keys: np.ndarray, counts: np.ndarray, starts: int) -> None:
-        """Smooth and normalise the kept pairs. `starts`: training texts, the count of the start state."""
-        self.state_count[self.start] = starts
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(float)
-        before, word = np.divmod(keys, self.start + 1)
-        share = (counts - DISCOUNT) / self.state_count[before] if len(keys) else np.zeros(0)
-        left = np.maximum(1 - np.bincount(before, share, self.start + 1), 1e-12)
-        place = np.zeros(self.start + 1, np.int64)
+    def set_failures(self, before: np.ndarray, kinds: np.ndarray, starts: int) -> None:
+        """`kinds`: distinct words behind each history of the dictionary; `starts`: training texts, the count of the start."""
+        self.history[-1] = starts
+        self.fail[before] = np.log10(DISCOUNT * kinds / self.history[before])
         known = np.flatnonzero(self.state >= 0)
-        place[self.state[known]] = known
-        self.back[: self.start + 1] = np.log10(left)
-        self.keys = keys
-        self.weights = np.log10(share + left[before] * 10 ** self.log_p1[place[word]]) if len(keys) else np.zeros(0)
-
-    def read(self, places: np.ndarray) -> tuple[float, float, np.ndarray]:
-        """One traversal: (sum of log10 P1, sum of the automaton's weights) over dictionary words, and where words are outside.
+        self.back[self.state[known]] = self.fail[known]
+        self.back[self.start] = self.fail[-1]
+
+    def gain(self, counts: np.ndarray, history: np.ndarray, fail: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
+        """How much more the arc of a pair weighs than the failure path."""
+        return np.log10(1 + (counts - DISCOUNT) / history / 10 ** (fail + log_p1))
+
+    def set_arcs(self, before: np.ndarray, word: np.ndarray, counts: np.ndarray) -> None:
+        """Keep the pairs (places) of which both words are states as arcs."""
+        states = np.append(self.state[:-1], self.start)
+        held = (states[before] >= 0) & (self.state[word] >= 0)
+        before, word, counts = before[held], word[held], counts[held]
+        keys = states[before] * (self.start + 1) + self.state[word]
+        order = np.argsort(keys)
+        base = self.fail[before] + self.log_p1[word]
+        self.keys, self.weights = keys[order], (base + self.gain(counts, self.history[before], self.fail[before], self.log_p1[word]))[order]
 
-        A word outside has no arc: its state's failure arc is added here, its log10 P1 by the join.
+    def read(self, h: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """One traversal: (sum of log10 P1, sum of the automaton's weights) as far as the cache goes, where words are outside
+        the dictionary, and the keys of histories and pairs that are left to the table of weights.
         """
+        places = self.look_up(h)
         outside = places == len(self.hashes)
         base = self.log_p1[places]  # 0 outside
-        word = self.state[places]
-        before = np.append(self.start, word[:-1])
-        step = self.back[before] + base  # state -1, the last of `back`, is the empty state
+        before, word = self.ids(h, places)
+        near = self.inside(before)
+        step = base + np.where(near, self.fail[np.where(near, before, 0)], 0.0)
+        left = np.ones(len(h), bool)
         if len(self.keys):
             key = self.pairs(places)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            step = np.where(self.keys[at] == key, self.weights[at], step)
-        return float(base.sum()), float(step.sum()), outside
+            left = self.keys[at] != key
+            step = np.where(left, step, self.weights[at])
+        if self.whole:
+            return float(base.sum()), float(step.sum()), outside, np.zeros(0, np.int64)
+        keys = np.append(_mixed(before[~near], _HISTORY), self.look_up_keys(before[left], word[left]))
+        return float(base.sum()), float(step.sum()), outside, keys
 
 
-def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the full table of token counts (h, c)."""
-    spark = texts.sparkSession
-    counts = table(count_tokens(texts), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = counts.where(F.col("c") >= _least_count(counts, DICTIONARY)).toArrow()  # at most DICTIONARY rows
-    model = Automaton(known["h"].to_numpy(), known["c"].to_numpy(), total, distinct)
-    ends = model.counts[model.hashes == np.uint64(_END)]
-    if not len(ends):
-        model.set_arcs(np.zeros(0, np.int64), np.zeros(0), 0)
-        return model, counts
-    shared = spark.sparkContext.broadcast(model)
+def _count_pairs(texts: DataFrame, model: Automaton) -> DataFrame:
+    """(u, v, c): every pair of neighbouring tokens, counted, as `ids` names them."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        wide = len(m.hashes) + 1
+        for frame in frames:
+            far: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def keys_of(text):
-        key = shared.value.pairs(shared.value.look_up(_sequence(text)))
-        return key[key >= 0]
+            def keys_of(text):
+                h = _sequence(text)
+                before, word = m.ids(h, m.look_up(h))
+                near = m.inside(before) & m.inside(word)
+                if not near.all():
+                    far.append((before[~near], word[~near]))
+                return before[near] * wide + word[near]
 
-    def run(frames):
-        return _counted(frames, keys_of)
+            for part in _counted(iter([frame]), keys_of):
+                yield pd.DataFrame({"u": part["h"] // wide, "v": part["h"] % wide, "c": part["c"]})
+            if far:  # rare pairs: nothing is gained by counting them here
+                before, word = (np.concatenate(x) for x in zip(*far))
+                yield pd.DataFrame({"u": before, "v": word, "c": 1})
+
+    return texts.select("text").mapInPandas(run, "u long, v long, c long").groupBy("u", "v").agg(F.sum("c").alias("c"))
+
+
+def _gains(pairs: DataFrame, failures: DataFrame, counts: DataFrame, model: Automaton) -> DataFrame:
+    """(h, w): for each pair what its arc weighs more than the failure path, and log10 of the failure arcs outside the dictionary."""
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+    norm = float(model.total + model.distinct + 1)
+    within = lambda c: F.col(c).between(0, len(model.hashes))
+    none = F.lit(None).cast("double")
+    fail = F.log10(DISCOUNT * F.col("kinds") / F.col("c"))
+    # A history outside the dictionary is rare, and so is such a word: no key of these joins is hot.
+    outer = failures.where(~within("u")).join(counts.withColumnRenamed("h", "u"), "u").select("u", F.col("c").cast("double").alias("history"), fail.alias("fail"))
+    if len(model.hashes) < model.distinct:
+        pairs = pairs.where(within("u")).select("*", none.alias("history"), none.alias("fail")).union(pairs.where(~within("u")).join(outer, "u").select("u", "v", "c", "history", "fail"))
+        words = counts.select(F.col("h").alias("v"), F.log10((F.col("c") + 1) / F.lit(norm)).alias("log_p1"))
+        pairs = pairs.where(within("v")).select("*", none.alias("log_p1")).union(pairs.where(~within("v")).join(words, "v").select("u", "v", "c", "history", "fail", "log_p1"))
+    else:
+        pairs = pairs.select("*", none.alias("history"), none.alias("fail"), none.alias("log_p1"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for frame in frames:
+            u, v = frame["u"].to_numpy(), frame["v"].to_numpy()
+            before, word = np.where(m.inside(u), u, 0), np.where(m.inside(v), v, 0)
+            given = {c: frame[c].to_numpy(dtype=float, na_value=np.nan) for c in ("history", "fail", "log_p1")}
+            history = np.where(m.inside(u), m.history[before], given["history"])
+            back = np.where(m.inside(u), m.fail[before], given["fail"])
+            base = np.where(m.inside(v), m.log_p1[word], given["log_p1"])
+            yield pd.DataFrame({"h": m.look_up_keys(u, v), "w": m.gain(frame["c"].to_numpy(), history, back, base)})
+
+    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"h": _mixed(frame["u"].to_numpy(), _HISTORY), "w": frame["fail"]})
 
-    pairs = texts.select("text").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    pairs = table(pairs.where("c >= 2"), "lm-pairs")
-    kept = pairs.where(F.col("c") >= _least_count(pairs, ARCS, 2)).toArrow()  # at most ARCS rows
-    model.set_arcs(kept["h"].to_numpy(), kept["c"].to_numpy(), int(ends[0]))
-    return model, counts
+    return pairs.mapInPandas(run, "h long, w double").union(outer.select("u", "fail").mapInPandas(marked, "h long, w double"))
 
 
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
+def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
+    """The automaton, and the full table of weights (h, token, w): log10 P1 of tokens, and what `_gains` has for the rest."""
+    counts = table(count_tokens(texts), "lm-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    known = counts.where(F.col("c") >= _least_count(counts, DICTIONARY)).toArrow()  # at most DICTIONARY rows
+    model = Automaton(known["h"].to_numpy(), known["c"].to_numpy(), total, distinct)
+    weights = counts.select("h", F.lit(True).alias("token"), F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("w"))
+    starts = counts.where(F.col("h") == int(np.uint64(_END).astype(np.int64))).first()
+    if starts is None:
+        return model, weights
+    pairs = table(_count_pairs(texts, model), "lm-pairs")
+    failures = table(pairs.groupBy("u").agg(F.count("*").alias("kinds")), "lm-failures")
+    near = failures.where(F.col("u").between(0, len(model.hashes))).toArrow()  # at most DICTIONARY + 1 rows
+    model.set_failures(near["u"].to_numpy(), near["kinds"].to_numpy(), starts["c"])
+    among = pairs.where(F.col("u").between(0, len(model.hashes)) & F.col("v").between(0, len(model.hashes)))
+    kept = among.where(F.col("c") >= _least_count(among, ARCS)).toArrow()  # at most ARCS rows
+    model.set_arcs(kept["u"].to_numpy(), kept["v"].to_numpy(), kept["c"].to_numpy())
+    model.whole = len(model.keys) == pairs.count()
+    if not model.whole:
+        weights = weights.union(_gains(pairs, failures, counts, model).select("h", F.lit(False), "w"))
+    return model, weights
+
+
+def score(docs: DataFrame, model: Automaton, weights: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
+    columns = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, far array<long>, often array<int>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -203,23 +301,31 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
                 h = _sequence(text)
-                base, full, outside = m.read(m.look_up(h))
+                base, full, outside, keys = m.read(h)
                 rare, times = np.unique(h[outside], return_counts=True)
-                rows.append((None if pd.isna(doc) else int(doc), len(h), len(h) - int(outside.sum()), base, full, rare.view(np.int64), times))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"]).astype({"doc_id": "Int64"})
+                far, often = np.unique(keys, return_counts=True)
+                rows.append((None if pd.isna(doc) else int(doc), len(h), len(h) - int(outside.sum()), base, full, rare.view(np.int64), times.astype(np.int32), far, often.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times", "far", "often"]).astype({"doc_id": "Int64"})
 
     read = table(docs.select("doc_id", "text").mapInPandas(run, columns).withColumn("place", F.monotonically_increasing_id()), "lm-read")
-    norm = float(model.total + model.distinct + 1)
-    rare = read.select("place", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("place", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    # A token outside the dictionary that training never saw has no row in `counts`: it counts 0.
-    found = rare.join(counts, "h", "left").groupBy("place").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(norm))).alias("more"),
+    unknown = -math.log10(model.total + model.distinct + 1)
+
+    def rows(keys: str, times: str, token: bool) -> DataFrame:
+        return read.select("place", F.explode(F.arrays_zip(keys, times)).alias("x")).select("place", F.col(f"x.{keys}").alias("h"), F.lit(token).alias("token"), F.col(f"x.{times}").alias("n"))
+
+    left = rows("rare", "times", True)
+    if not model.whole:
+        left = left.union(rows("far", "often", False))
+    # A token that training never saw has no row in `weights`: it counts 0. A pair or history without one adds nothing.
+    weight = F.col("n") * F.coalesce("w", F.when(F.col("token"), F.lit(unknown)).otherwise(F.lit(0.0)))
+    found = left.join(weights, ["h", "token"], "left").groupBy("place").agg(
+        F.sum(F.when(F.col("token") & F.col("w").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(F.col("token"), weight).otherwise(0.0)).alias("more_base"),
+        F.sum(weight).alias("more"),
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return read.drop("rare", "times").join(found, "place", "left").select(
+    return read.drop("rare", "times", "far", "often").join(found, "place", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
@@ -230,6 +336,6 @@ def held_out(modulus: int, rest: int):
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     apart = F.coalesce(held_out(7, 2), F.lit(False))
-    model, counts = train(docs.where(~apart))
-    df = score(docs, model, counts)
+    model, weights = train(docs.where(~apart))
+    df = score(docs, model, weights)
     return df.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

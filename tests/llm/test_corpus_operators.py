@@ -157,6 +157,34 @@ def test_language_model(docs, empty):
     assert lm.score(docs, bare, none).where("n_known != 0").count() == 0 and lm.score(empty, bare, none).count() == 0
 
 
+@pytest.mark.parametrize("dictionary, states, arcs", [(lm.DICTIONARY, lm.STATES, lm.ARCS), (lm.DICTIONARY, 8, 10), (40, 8, 10), (0, 2, 0)])
+def test_language_model_has_every_pair(docs, monkeypatch, dictionary, states, arcs):
+    """Whatever the size of the cache, scores are those of all words and all pairs counted by hand."""
+    for name, size in (("DICTIONARY", dictionary), ("STATES", states), ("ARCS", arcs)):
+        monkeypatch.setattr(lm, name, size)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    seq = [(i, [*words_of(t), b" "]) for i, t, _ in TEXTS]
+    count = Counter(w for i, s in seq if not held(i) for w in s)
+    pair = Counter(p for i, s in seq if not held(i) for p in zip([b""] + s, s))
+    history = Counter()
+    kinds = Counter(u for u, _ in pair)
+    for (u, _), c in pair.items():
+        history[u] += c
+    norm = sum(count.values()) + len(count) + 1
+
+    def log_p(u, v):
+        p1 = (count[v] + 1) / norm
+        return math.log10(p1 if not history[u] else (max(0, pair[u, v] - lm.DISCOUNT) + lm.DISCOUNT * kinds[u] * p1) / history[u])
+
+    from pyspark.sql import functions as F
+
+    got = lm.score(docs, *lm.train(docs.where(~F.coalesce(lm.held_out(7, 2), F.lit(False))))).collect()
+    want = sorted((len(s), sum(count[w] > 0 for w in s), round(sum(math.log10((count[w] + 1) / norm) for w in s), 4), round(sum(log_p(*p) for p in zip([b""] + s, s)), 4)) for _, s in seq)
+    have = sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got)
+    assert [x[:2] for x in have] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in have], [x[2:] for x in want], atol=1e-3)
+
+
 def test_minhash(docs, empty):
     def shingles(t, w):
         x = words_of(t)
