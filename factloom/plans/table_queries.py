@@ -118,19 +118,24 @@ _QUOTE_EXACT = r"""WITH n AS (SELECT item_id, trim(lower(regexp_replace(text, '\
 SELECT item_id AS quote_id, doc_id AS page_id FROM n JOIN m ON contains(p, q)"""
 
 
+def _quote_pages(spark, d):
+    return read(spark, d, "documents").selectExpr("doc_id AS page_id", "text")
+
+
 def _quote_cascade(spark, d):
-    # Every passage three ways: as it is, with its stops as dashes, with a space lost.
-    pairs = _cascade_pairs(spark, d)
+    # Every passage three ways: as it is, with its stops as dashes, with a space lost. Without spaces and stops they are the same.
+    q, p = _quotes(spark, d), _quote_pages(spark, d)
+    pairs = evidence.tier_candidates(q, p).join(q, "quote_id").join(p, "page_id")
     ways = F.array(F.struct(F.lit("same").alias("way"), F.col("quote").alias("q")), F.struct(F.lit("punct").alias("way"), F.replace("quote", F.lit(","), F.lit(" -")).alias("q")), F.struct(F.lit("tight").alias("way"), F.regexp_replace("quote", "^(\\S+) (\\S+) ", "$1$2 ").alias("q")))
     df = pairs.select("quote_id", "page_id", "text", F.explode(ways).alias("x"))
     return df.select("quote_id", "page_id", "x.way", evidence.tiers(F.col("x.q"), F.col("text")).alias("score")).where("score IS NOT NULL")
 
 
 def _quote_fuzzy(spark, d):
-    q = _quotes(spark, d).withColumn("quote", F.concat(F.lit("zzz "), F.substring("quote", 5, 300)))
-    df = _cascade_pairs(spark, d).drop("quote").join(q, "quote_id").where(evidence.tiers(F.col("quote"), F.col("text")).isNull())
-    # A document's stretch around the shared run would do; the whole text is looked at, in Arrow batches.
-    return evidence.located(df).select("quote_id", "page_id", "score", "method", "quote_start", "quote_end")
+    q, p = _quotes(spark, d).withColumn("quote", F.concat(F.lit("zzz "), F.expr("substring(quote, 5)"))), _quote_pages(spark, d)
+    df = evidence.block_candidates(q, p).join(q, "quote_id").join(p, "page_id").where(evidence.tiers(F.col("quote"), F.col("text")).isNull())
+    # Without a common block of the needed length the score is 0.
+    return evidence.located(df).where("score > 0").select("quote_id", "page_id", "score", "method", "quote_start", "quote_end")
 
 
 def _quote_relocate(spark, d):

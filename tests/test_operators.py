@@ -183,3 +183,20 @@ def test_recall_matching(spark):
     df = spark.createDataFrame([("revenue from operations", "Acme total revenue operation", 5.0, 5.02, "5", "5.02"), ("a b", "c", 5.0, -5.0, "5", "(5)")], "w string, h string, x double, y double, wt string, ht string")
     got = df.select(evaluate.token_overlap(F.col("w"), F.col("h")).alias("o"), evaluate.values_match(F.col("x"), F.col("y"), F.col("wt"), F.col("ht")).alias("m")).collect()
     assert [(r["o"], r["m"]) for r in got] == [(1.0, True), (0.0, False)]
+
+
+def test_quote_queries_look_at_the_whole_passage(spark, tmp_path):
+    """A document with words 3 to 8 altered, one with the later part only, one with spaces lost: each is looked at."""
+    from factloom.plans.table_queries import QUERIES
+
+    words = [f"word{i}{'abcdefghij'[i % 10] * 3}" for i in range(80)]
+    passage = " ".join(words)
+    altered = " ".join([*words[:2], *["changed"] * 6, *words[8:]])
+    texts = [(1, f"before {altered} behind"), (2, " ".join(words[40:])), (3, "x " + passage.replace(" ", "", 12) + " y"), (4, "nothing of it " * 30), (5, None)]
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = lambda name: QUERIES[name][0] if isinstance(QUERIES[name], tuple) else QUERIES[name]
+    fuzzy = {r["page_id"]: r for r in query("quote_fuzzy")(spark, str(tmp_path)).collect()}
+    assert {1, 2} <= set(fuzzy) and 4 not in fuzzy
+    assert fuzzy[1]["method"] == "fuzzy" and fuzzy[1]["quote_end"] > 600, "the end of a long passage is searched for too"
+    assert {(r["page_id"], r["score"]) for r in query("quote_cascade")(spark, str(tmp_path)).collect()} == {(3, 0.93)}
