@@ -3,7 +3,10 @@
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest rule wins. Urls
 without a rule are judged by host: personalised PageRank from hosts that allow rules name (trusted), along links, and
 from hosts that block rules name (blocked) along reversed links, since who links to a blocked host is suspect. A host is a seed
-when rules of one kind decide most of its pages. Both run at once over one table of host edges, (kind, src, dst, share), until no score moves by more than SETTLED or ROUNDS have passed.
+when rules of one kind decide most of its pages, or, where it has none and is only linked to, when a rule covers all of it; it
+then counts as one page. Both run at once over one table of host edges, (kind, src, dst, share), until the summed change of
+either kind, whose scores sum to at most one, is SETTLED or less, or ROUNDS have passed, and in any case until no host is reached
+for the first time; so neither the number of hosts nor their distance decides who gets a score.
 A host is blocked when its distrust exceeds THRESHOLD times its trust.
 
 Edges and scores are aggregated by host before and after each join, so a hub costs one row a task; verdicts are joined with
@@ -15,6 +18,8 @@ A null html has no links. Repeated rows stay; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,17 +67,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     if both.isEmpty():  # nothing is carried anywhere
         return seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("score"))
     scores = seeds.withColumnRenamed("seed", "score")
-    for _ in range(rounds):
+    for done in itertools.count(1):
         carried = both.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("share") * F.col("score")).alias("new"), F.lit(0.0).alias("old"))
         given = seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("new"), F.lit(0.0).alias("old"))
         before = scores.select("kind", "host", F.lit(0.0).alias("new"), F.col("score").alias("old"))
         summed = carried.unionByName(given).unionByName(before).groupBy("kind", "host").agg(F.sum("new").alias("score"), F.sum("old").alias("old"))
         summed = table(summed, "url-scores")
-        moved = summed.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        by_kind = summed.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("moved"), F.count_if((F.col("score") > 0) & (F.col("old") == 0)).alias("fresh")).collect()
         scores = summed.select("kind", "host", "score")
-        if moved <= SETTLED:
-            break
-    return scores
+        settled = all(r["moved"] <= SETTLED for r in by_kind)
+        if (settled or done >= rounds) and not any(r["fresh"] for r in by_kind):
+            return scores
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -85,7 +90,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     # A seed is a host most of whose pages a rule decides one way; its mass is their number.
     seeds = hosts.where("2 * allowed > group_size").select(F.lit("trust").alias("kind"), "host", F.col("allowed").cast("double").alias("mass"))
     seeds = seeds.union(hosts.where("2 * blocked > group_size").select(F.lit("distrust"), "host", F.col("blocked").cast("double")))
-    scores = propagate(seeds, host_edges(pages))
+    edges = table(host_edges(pages), "url-links")
+    # A rule that fits the path "/" covers the whole host.
+    covered = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").select("host", ruled(F.col("host"), F.lit("/"), rules)[1].alias("ruling"))
+    seeds = seeds.union(covered.where("ruling IS NOT NULL").select(F.when(F.col("ruling") == "allow", "trust").otherwise("distrust"), "host", F.lit(1.0)))
+    scores = propagate(seeds, edges)
     flat = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
     flat = table(flat.na.fill(0.0), "url-verdicts")
     total = hosts.agg(F.sum("group_size")).first()[0] or 0

@@ -306,6 +306,27 @@ def test_urls(spark):
     assert len(got) == len(rows) and urlfilter.judge(df.where("false")).count() == 0
 
 
+def test_urls_seed_from_hosts_only_linked_to(spark):
+    rows = [(1, "x://w.org/fr/", '<a href="//plain.example/">'), (2, "x://accomplice.example/z", '<a href="https://spam.net/x">'), (3, "x://far.example/z", '<a href="//accomplice.example/">'), (4, "x://plain.example/", None)]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i]["verdict"] for i in (1, 2, 3, 4)] == ["allow", "block", "block", "allow"]
+    assert got[2]["distrust"] > got[3]["distrust"] > 0 and got[4]["distrust"] == 0
+
+
+def test_propagation_reaches_all_whatever_the_size(spark):
+    """So many seeds that each score is below SETTLED; and a chain of more links than rounds."""
+    from pyspark.sql import functions as F
+
+    edges = spark.createDataFrame([("s0", "a", 1), ("a", "b", 1), ("b", "c", 1)], "src string, dst string, n long")
+    seeds = spark.range(1_200_000).select(F.lit("trust").alias("kind"), F.concat(F.lit("s"), "id").alias("host"), F.lit(1.0).alias("mass"))
+    got = {r["host"]: r["score"] for r in urlfilter.propagate(seeds, edges, 6).where("host IN ('s0', 'a', 'b', 'c')").collect()}
+    for host, x in zip(("s0", "a", "b", "c"), (1, 0.85, 0.85**2, 0.85**3)):
+        assert abs(got[host] * 1_200_000 / 0.15 - x) < 1e-6
+    chain = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(6)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "h0", 1.0)], "kind string, host string, mass double")
+    assert {r["host"] for r in urlfilter.propagate(seeds, chain, 2).where("score > 0").collect()} == {f"h{i}" for i in range(7)}
+
+
 def test_propagation(spark):
     """Against the same sums by hand."""
     edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 2), ("c", "a", 1), ("d", "a", 1)]
