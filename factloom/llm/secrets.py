@@ -3,7 +3,7 @@
 Base kinds are regular expressions: assign (a named credential with its value), access (a cloud access key), hex (a long
 run of hexadecimal digits). The battery adds `random`: unbroken tokens of at least MIN_LENGTH characters with letters and
 digits whose characters look uniformly drawn. For each token the encoding is inferred (hex, base32, base36, base62,
-base64), and three tests against a uniform source over that alphabet give p-values: chi-squared over eight equal bins
+base64, or the letters of both base64 forms, which every token meets), and three tests against a uniform source over that alphabet give p-values: chi-squared over eight equal bins
 of the alphabet, the number of runs above and below its middle, and the lag-one serial correlation. The token's p is
 three times the least of them. Natural tokens fail (small p). A Benjamini-Hochberg step over all tokens of the
 whole table, one for each length class because longer tokens have more power, decides which are declared natural at
@@ -45,6 +45,7 @@ _ENCODINGS = (
     ("^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("^[A-Za-z0-9_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("^[A-Za-z0-9+/=]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 
 

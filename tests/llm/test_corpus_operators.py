@@ -75,6 +75,14 @@ def test_secrets(docs, empty):
     assert secrets.redact(empty).count() == 0
 
 
+def test_secrets_mixed_alphabet(spark):
+    """Paths that mix '/' with '-' or '_' are tested like any token and stay; a key over all these characters is found."""
+    paths = ["com/2019/05/my-great-post-title", "data/train-2020/part_0003-of_the_whole", "static/images/summer-holiday_12/the-first-day", "docs/v2/getting-started_with/the-command-line"]
+    key = "/-_+" + "".join(random.Random(4).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", k=60))
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate([*paths, key])], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {**{i: f"see {t} there" for i, t in enumerate(paths)}, 4: "see [random] there"}
+
+
 def luhn(x):
     return sum((2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) if i % 2 else int(c) for i, c in enumerate(reversed(x))) % 10 == 0
 
