@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +20,15 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir, else, on one machine only, one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -38,8 +45,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def stretches(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch cut where its column `text` reaches some `size` bytes, each part with its texts (null: empty).
+
+    Whatever number of rows Arrow brings at once, Python holds the strings of one part only.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0, 0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            own = batch.slice(a, b - a)
+            yield own, ["" if t is None else t for t in own.column("text").to_pylist()]
 
 
 def join_skewed(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, share: int = 1000) -> DataFrame:
@@ -50,7 +67,7 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     no key exceeds a `share`-th of the rows.
     """
     limit = max(2, -(-total // share))
-    heavy = F.broadcast(sizes.where(F.col("group_size") >= limit).select(key))
+    heavy = F.broadcast(sizes.where(F.col("group_size") >= limit).select(key).distinct())
     heavy_right = F.broadcast(right.join(heavy, key, "left_semi"))
     hot = left.join(heavy, key, "left_semi").join(heavy_right, key, "left")
     rest = left.join(heavy, key, "left_anti").join(right.join(heavy, key, "left_anti"), key, "left")

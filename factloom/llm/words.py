@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words a worker remembers before it starts anew; bounds its memory (some 150 MB for usual words).
-REMEMBERED = 1_000_000
+#: Words a worker remembers before it starts anew; bounds its memory (some 40 MB for usual words).
+REMEMBERED = 250_000
 
 
 class Ids(dict):
