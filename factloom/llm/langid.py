@@ -6,8 +6,9 @@ false positives: of n look-ups with h hits, a slice filled to the share f answer
 (h - n r) / (1 - r) are expected to be true. The language with the most decides; its share is the score.
 
 A language's n-grams are its TOP most frequent ones (characters of lower-cased words, joined by single spaces, SIZES long)
-in a sample of its labelled texts of about SAMPLE texts, chosen by a hash of the id; the sample's bound is the only limit.
-Prediction reads the whole text and nothing else.
+in a sample of its labelled texts of about SAMPLE texts, chosen by a hash of id and text. Both are parameters of the
+classifier: SAMPLE bounds what teaches it, TOP the features of a language, without which rare n-grams that languages share
+would fill the filter. Prediction reads the whole text and nothing else.
 
 A null text, or one without a letter, is `und` with score 0. Rows with a null language do not teach. With nothing learned,
 every text is `und`. Ties go to the language first in order. Repeated rows stay; an empty table gives an empty result;
@@ -19,11 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.llm.common import stretches
+
 SIZES = (3, 4)
 TOP = 6000
 SAMPLE = 3000
@@ -41,27 +44,36 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def _stretches(text: str) -> Iterator[np.ndarray]:
-    """Code points of lower-cased words with one space between, before and behind, in overlapping stretches."""
-    for at in range(0, len(text), _STRETCH):
-        part = text[max(0, at - max(SIZES)) : at + _STRETCH]
-        codes = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _letters()[codes]
-        padded = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.uint64)
-        yield padded[np.concatenate([[True], (padded[1:] != 32) | (padded[:-1] != 32)])]
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """Code points of lower-cased words with one space between, before and behind, cut into stretches that join seamlessly."""
+    at, last = 0, 32
+    yield np.asarray([32], np.uint64)
+    while at < len(text):
+        end = at + _STRETCH
+        while end < len(text) and text[end].isalpha():  # a word is lower-cased as a whole
+            end += 1
+        codes = np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(_letters()[codes], codes, 32).astype(np.uint64)
+        codes = codes[(codes != 32) | (np.concatenate([[last], codes[:-1]]) != 32)]
+        if len(codes):
+            last = int(codes[-1])
+            yield codes
+        at = end
+    if last != 32:
+        yield np.asarray([32], np.uint64)
 
 
 def grams(text: str) -> np.ndarray:
     """Hashes of all n-grams of a text; empty if it has no letter."""
-    out = []
-    for codes in _stretches(text):
-        if len(codes) < 3:
-            continue
+    out, tails = [], {n: np.zeros(0, np.uint64) for n in SIZES}
+    for codes in _codes(text):
         for n in SIZES:
-            if len(codes) >= n:
-                h = codes[: len(codes) - n + 1] * _FACTORS[0]
+            own = np.concatenate([tails[n], codes])
+            tails[n] = own[-(n - 1) :]
+            if len(own) >= n:
+                h = own[: len(own) - n + 1] * _FACTORS[0]
                 for k in range(1, n):
-                    h = h + codes[k : len(codes) - n + 1 + k] * _FACTORS[k] * np.uint64(2 * n + 1)
+                    h = h + own[k : len(own) - n + 1 + k] * _FACTORS[k] * np.uint64(2 * n + 1)
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 out.append(h ^ (h >> np.uint64(32)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -101,25 +113,26 @@ class MaskFilter:
         return self.languages[best], float(true[best]) / total if total > 0 else 1.0 / len(self.languages)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> MaskFilter:
-    """Learn from (doc_id, text, lang). What reaches the driver is TOP hashes a language."""
+def train(labelled: DataFrame, sample: int = SAMPLE, top_grams: int = TOP) -> MaskFilter:
+    """Learn from (doc_id, text, lang). What reaches the driver is `top_grams` hashes a language."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return MaskFilter([], [])
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.element_at(size, F.col("lang"))) < sample)
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.element_at(size, F.col("lang"))) < sample)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lang, own in frame.groupby("lang"):
-                for at in range(0, len(own), 256):
-                    h, n = np.unique(np.concatenate([grams(t) for t in own["text"].iloc[at : at + 256]]), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "h": h.view(np.int64), "n": n.astype(np.int64)})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in stretches(batch):
+                langs = part.column("lang").to_pylist()
+                for lang in dict.fromkeys(langs):
+                    h, n = np.unique(np.concatenate([grams(t) for t, x in zip(texts, langs) if x == lang]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "h", "n"])
 
-    counts = chosen.select("lang", "text").mapInPandas(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "h"))
-    top = counts.withColumn("r", first).where(F.col("r") <= TOP).select("lang", "h").toPandas()
+    top = counts.withColumn("r", first).where(F.col("r") <= top_grams).select("lang", "h").toPandas()
     languages = sorted(sizes)
     return MaskFilter(languages, [top.loc[top["lang"] == x, "h"].to_numpy(np.int64).view(np.uint64) for x in languages])
 
@@ -128,10 +141,13 @@ def prediction(spark, learned: MaskFilter) -> Column:
     """struct(lang_pred, score) of the column `text`."""
     shared = spark.sparkContext.broadcast(learned)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
-        return pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        model, found = shared.value, []
+        for _, own in stretches(pa.RecordBatch.from_arrays([texts], ["text"])):
+            found += [model.predict(t) for t in own]
+        langs, scores = zip(*found) if found else ((), ())
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return run("text")
 
