@@ -4,8 +4,10 @@ On unit vectors the chord, sqrt(2 - 2 cos), is a metric and orders as the cosine
 vantage point at the median and keeps each side's least and greatest distance; by the triangle inequality a side whose
 lower bound, times `factor`, exceeds a query's k-th best distance so far is skipped. Factor 1 is exact; larger factors skip more.
 
-Shards hold some SHARD vectors, query blocks some BLOCK queries; a task searches one block in one shard, so memory is bounded, and
-each shard's best k are merged by query. The queries are a stated set (ids divisible by `every`), against all rows.
+Every vector goes to one shard of some SHARD vectors, the queries, a stated set (ids divisible by `every`), to each shard. A task
+reads a shard's vectors, builds its tree once and then takes the queries as they come, a batch at a time, so memory is bounded
+however many there are; each shard's best k are merged by query. Trees compare unit vectors; what comes within CLOSE of a query's
+k-th best is scored on the original vectors, and that score alone ranks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; neither do null ids. Only vectors of one
 dimension are compared. Rows that repeat a vec_id count once (the first in order of their components). Ties go to
@@ -14,10 +16,11 @@ the smaller vec_id. With fewer candidates all are returned. An empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,8 +28,11 @@ from pyspark.sql import Window as W
 from factloom.llm.common import table
 
 SHARD = 16_384
-BLOCK = 4_096
+#: Vectors a shard has at least where more cores wait.
+LEAST = 2_048
 LEAF = 128
+#: Unit vectors' products are that near to the cosine.
+CLOSE = 1e-9
 #: Slack for rounding: distances near 0 lose half the digits of the cosine.
 SLACK = 3e-6
 
@@ -68,35 +74,44 @@ def build(unit: np.ndarray, leaf: int = LEAF) -> Node:
 
 
 class Search:
-    """The best k of one shard for a block of queries."""
+    """The best k of one shard for a batch of queries."""
 
-    def __init__(self, ids: np.ndarray, unit: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
-        self.ids, self.unit, self.query_ids, self.queries, self.k, self.factor = ids, unit, query_ids, queries, k, factor
-        self.score = np.full((len(queries), k), -np.inf)
-        self.best = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.rows = np.full((len(queries), k), -1)
+    def __init__(self, shard: "Vectors", queries: "Vectors", k: int, factor: float):
+        self.shard, self.queries, self.k, self.factor = shard, queries, k, factor
+        self.score = np.full((len(queries.ids), k), -np.inf)
+        self.best = np.full((len(queries.ids), k), np.iinfo(np.int64).max)
         self.visited = 0
 
     def _leaf(self, q: np.ndarray, rows: np.ndarray) -> None:
         for at in range(0, len(rows), 1024):
             own = rows[at : at + 1024]
             self.visited += len(q) * len(own)
-            s = np.round(self.queries[q] @ self.unit[own].T, 12)  # equal vectors get equal scores wherever they stand
-            ids = self.ids[own]
-            s = np.where(ids[None, :] == self.query_ids[q][:, None], -np.inf, s)
-            live = (s >= self.score[q][:, -1:]).any(axis=1)
-            if not live.any():
-                continue
-            p = q[live]
-            all_s = np.concatenate([self.score[p], s[live]], axis=1)
-            all_i = np.concatenate([self.best[p], np.broadcast_to(ids, (len(p), len(own)))], axis=1)
-            all_r = np.concatenate([self.rows[p], np.broadcast_to(own, (len(p), len(own)))], axis=1)
-            top = np.lexsort((all_i, -all_s))[:, : self.k]
-            self.score[p], self.best[p], self.rows[p] = (np.take_along_axis(x, top, 1) for x in (all_s, all_i, all_r))
+            rough = self.queries.unit[q] @ self.shard.unit[own].T
+            rough[self.shard.ids[own][None, :] == self.queries.ids[q][:, None]] = -np.inf
+            least = self.score[q][:, -1]
+            if len(own) >= self.k:
+                least = np.maximum(least, np.partition(rough, len(own) - self.k, axis=1)[:, len(own) - self.k])
+            good = rough >= (least - CLOSE)[:, None]
+            good &= rough > -np.inf
+            live = np.flatnonzero(good.any(axis=1))
+            for part in np.array_split(live, max(1, int(good.sum()) // 65_536)):
+                self._keep(q[part], own, good[part])
+
+    def _keep(self, p: np.ndarray, own: np.ndarray, good: np.ndarray) -> None:
+        """Merge the candidates `good` of the shard's rows `own` into the best of the queries `p`."""
+        if not len(p):
+            return
+        i, j = np.nonzero(good)
+        s = np.full(good.shape, -np.inf)
+        s[i, j] = cosine(self.queries.raw[p[i]], self.shard.raw[own[j]])
+        all_s = np.concatenate([self.score[p], s], axis=1)
+        all_i = np.concatenate([self.best[p], np.broadcast_to(self.shard.ids[own], s.shape)], axis=1)
+        top = np.lexsort((all_i, -all_s))[:, : self.k]
+        self.score[p], self.best[p] = (np.take_along_axis(x, top, 1) for x in (all_s, all_i))
 
     def run(self, root: Node) -> None:
         # First each query's own leaf, which bounds its k-th distance; then all that the bound leaves.
-        every = np.arange(len(self.queries))
+        every = np.arange(len(self.queries.ids))
         seen: dict[int, np.ndarray] = {}
         todo = [(root, every)]
         while todo:
@@ -107,7 +122,7 @@ class Search:
                 self._leaf(q, node.rows)
                 seen[id(node)] = q
                 continue
-            d = _chord(self.queries[q] @ self.unit[node.vantage])
+            d = _chord(self.queries.unit[q] @ self.shard.unit[node.vantage])
             go = d <= (node.bounds[1] + node.bounds[2]) / 2
             todo += [(node.near, q[go]), (node.far, q[~go])]
         todo = [(root, every)]
@@ -121,7 +136,7 @@ class Search:
                 if len(q):
                     self._leaf(q, node.rows)
                 continue
-            d = _chord(self.queries[q] @ self.unit[node.vantage])
+            d = _chord(self.queries.unit[q] @ self.shard.unit[node.vantage])
             limit = _chord(self.score[q][:, -1])  # infinite where fewer than k are known
             limit = np.where(np.isfinite(self.score[q][:, -1]), limit, np.inf) + SLACK
             near_lo, near_hi, far_lo, far_hi = node.bounds
@@ -130,16 +145,21 @@ class Search:
                 todo.append((side, q[bound * self.factor <= limit]))
 
 
-def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, original vectors and unit vectors, one row an id."""
-    raw = np.asarray(np.stack(frame["v"].to_numpy()), np.float64)
-    ids = frame["vec_id"].to_numpy(np.int64)
-    order = np.lexsort((*raw.T[::-1], ids))
-    ids, raw = ids[order], raw[order]
-    first = np.concatenate([[True], ids[1:] != ids[:-1]])
-    ids, raw = ids[first], raw[first]
-    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
-    return ids, raw, scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+class Vectors:
+    """Ids, original and unit vectors, one row an id: of rows that repeat one, the first in order of components."""
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray):
+        order = np.lexsort((*raw.T[::-1], ids))
+        ids, raw = ids[order], raw[order]
+        first = np.concatenate([[True], ids[1:] != ids[:-1]])
+        self.ids, self.raw = ids[first], raw[first]
+        scaled = self.raw / np.abs(self.raw).max(axis=1, keepdims=True)
+        self.unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+    @classmethod
+    def of(cls, parts: list[pa.RecordBatch]) -> "Vectors":
+        ids = np.concatenate([p.column("vec_id").to_numpy() for p in parts])
+        return cls(ids, np.concatenate([p.column("v").flatten().to_numpy() for p in parts]).reshape(len(ids), -1))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,36 +177,50 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _numbers(n: int):
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def _searched(k: int, factor: float):
+    """Batches sorted by (key, asks): of each key first the shard's vectors, then the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, shard, root = None, [], None, None
+        for batch in batches:
+            pair = np.stack([batch.column("key").to_numpy(), batch.column("asks").to_numpy()])
+            cuts = np.concatenate([[0], np.flatnonzero((pair[:, 1:] != pair[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                own = batch.slice(a, b - a)
+                if pair[0, a] != key:
+                    key, held, shard, root = pair[0, a], [], None, None
+                if not pair[1, a]:
+                    held.append(own)
+                    continue
+                if shard is None and held:
+                    shard, held = Vectors.of(held), []
+                    root = build(shard.unit)
+                if shard is None:
+                    continue
+                queries = Vectors.of([own])
+                found = Search(shard, queries, k, factor)
+                found.run(root)
+                at, place = np.nonzero(np.isfinite(found.score))
+                yield pa.RecordBatch.from_arrays([pa.array(queries.ids[at]), pa.array(found.best[at, place]), pa.array(found.score[at, place])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0, shard: int = SHARD, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
     good = table(good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")), "ann-vectors")
-    asked = F.col("vec_id") % every == 0
-    n, q = good.agg(F.count("*"), F.sum(asked.cast("long"))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-(q or 0) // block))
-    # Rows go to their shard in every block of queries, queries to their block in every shard.
-    in_shard, in_block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    rows = good.select("dim", in_shard.alias("s"), F.explode(_numbers(blocks)).alias("b"), "vec_id", "v")
-    queries = good.where(asked).select("dim", F.explode(_numbers(shards)).alias("s"), in_block.alias("b"), "vec_id", "v")
-    names = ["query_id", "vec_id", "score"]
-
-    def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asking):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, raw, unit = _matrix(own)
-        query_ids, query_raw, query_unit = _matrix(asking)
-        found = Search(ids, unit, query_ids, query_unit, k, factor)
-        found.run(build(unit))
-        at, place = np.nonzero(np.isfinite(found.score))
-        hit = found.rows[at, place]
-        return pd.DataFrame(dict(zip(names, (query_ids[at], ids[hit], cosine(query_raw[at], raw[hit])))))
-
-    parts = rows.groupBy("dim", "s", "b").cogroup(queries.groupBy("dim", "s", "b")).applyInPandas(search, "query_id long, vec_id long, score double")
+    n = good.count()
+    shards = max(1, -(-n // shard), min(vectors.sparkSession.sparkContext.defaultParallelism, n // least))
+    asked = good.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min("v").alias("v"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    rows = good.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), F.lit(0).alias("asks"), "vec_id", "v")
+    queries = asked.select("dim", F.explode(numbers).alias("s"), F.lit(1).alias("asks"), "vec_id", "v")
+    both = rows.unionByName(queries).select((F.col("dim") * F.lit(shards) + F.col("s")).alias("key"), "asks", "vec_id", "v")
+    parts = both.repartition(shards, "key").sortWithinPartitions("key", "asks").mapInArrow(_searched(k, factor), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
