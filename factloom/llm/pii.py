@@ -4,13 +4,16 @@ Every value found by a base pattern is a protected entity. Words near an entity'
 either side) co-occur with it. Over the whole table, with N words, S_e words near entity e, c_t occurrences of
 term t and c_et of them near e, pointwise mutual information is PMI = log2(c_et N / (S_e c_t)), and an entity's own
 information content is IC = -log2(S_e / N). A term discloses e to the degree PMI / IC, which is 1 when t occurs nowhere
-else. With c_et of at least SUPPORT, terms at REMOVE or more are removed, those at GENERALISE or more are generalised;
-both are added as spans of kind `term` where they stand near e.
-
-Contexts are linear in the number of spans. Only (entity, term) counts are shuffled, after partial aggregation. Words of
-the corpus are counted in one pass; candidate terms are broadcast only while they are few (BROADCAST_ROWS), else joined
-by shuffle. Null text is empty; repeated rows stay, each with its spans; an empty table gives an empty result; extra
-columns are ignored.
+else. With c_et of at least SUPPORT, terms at REMOVE or more are removed, those at GENERALISE or more are generalised, and since
+such a term points to e wherever it is read, every occurrence of it in any text becomes a span of kind `term`. SUPPORT is two: a
+word that occurs once stands near whatever it stands near, which tells nothing of an association, so one co-occurrence is no
+estimate; an entity named once has no terms for that reason.
+
+Patterns run once; what they find and the words around are written. Contexts are linear in the number of spans. Only (entity, term)
+counts are shuffled, after partial aggregation; a term or an entity with very many partners is joined by broadcast of its one row.
+Words of the corpus are counted in one pass; candidate terms are broadcast only while they are few (BROADCAST_ROWS), else joined
+by shuffle. Null text is empty; repeated rows stay, each with the spans of its own text, whatever its doc_id is or lacks; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_ROWS, listed, masked, spans_of, table, with_matches
+from factloom.llm.common import BROADCAST_ROWS, join_skewed, listed, masked, spans_of, table, with_matches
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed. Possessive, so that long runs stay linear.
 PATTERNS = {
@@ -28,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WINDOW = 64
-SUPPORT = 3
+SUPPORT = 2
 GENERALISE = 0.85
 REMOVE = 0.95
 _WORD = r"\p{L}{3,}"
@@ -73,70 +76,100 @@ def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
     return df.withColumn("base", F.concat(*PATTERNS))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, term, s, e): every word near every base span, with its own span."""
-    text, length = F.col("__text"), F.length("__text")
+def _sides(text: Column) -> Column:
+    """The texts on both sides of every base span, with its entity and whether either end may cut a word."""
 
-    def sides(x: Column) -> Column:
-        """The texts on both sides, with where they begin and whether either end may cut a word."""
+    def around(x: Column) -> Column:
         entity = F.concat(x["k"], F.lit(":"), F.when(x["k"] == "email", F.lower(x["m"])).when(x["k"] == "ip", x["m"]).otherwise(_digits(x["m"])))
         begin = F.greatest(F.lit(0), x["s"] - WINDOW)
         return F.array(
-            F.struct(entity.alias("entity"), begin.alias("at"), F.substring(text, begin + 1, x["s"] - begin).alias("side"), (begin > 0).alias("cut_l"), F.lit(False).alias("cut_r")),
-            F.struct(entity.alias("entity"), x["e"].alias("at"), F.substring(text, x["e"] + 1, F.lit(WINDOW)).alias("side"), F.lit(False).alias("cut_l"), (x["e"] + WINDOW < length).alias("cut_r")),
+            F.struct(entity.alias("entity"), F.substring(text, begin + 1, x["s"] - begin).alias("side"), (begin > 0).alias("cut_l"), F.lit(False).alias("cut_r")),
+            F.struct(entity.alias("entity"), F.substring(text, x["e"] + 1, F.lit(WINDOW)).alias("side"), F.lit(False).alias("cut_l"), (x["e"] + WINDOW < F.length(text)).alias("cut_r")),
         )
 
-    near = found.where(F.size("base") > 0).select("doc_id", F.explode(F.flatten(F.transform("base", sides))).alias("x")).select("doc_id", "x.*")
+    return F.flatten(F.transform("base", around))
+
+
+def contexts(found: DataFrame) -> DataFrame:
+    """(entity, term): every word near every base span."""
+    near = found.where(F.size("base") > 0).select(F.explode("sides").alias("x")).select("x.*")
     near = with_matches(near, "side", {"term": _WORD}).withColumn("words", spans_of("term", len(PATTERNS)))
     whole = lambda w: ~(F.col("cut_l") & (w["s"] == 0)) & ~(F.col("cut_r") & (w["e"] == F.length("side")))
-    words = near.select("doc_id", "entity", "at", F.explode(F.filter("words", whole)).alias("w"))
-    return words.select("doc_id", "entity", F.lower("w.m").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e"))
+    return near.select("entity", F.explode(F.filter("words", whole)["m"]).alias("term")).withColumn("term", F.lower("term"))
+
+
+def _words(docs: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and term: every word of every text."""
+    every = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), F.lit(0))
+    return docs.select(*keep, F.explode(every if not keep else F.array_distinct(every)).alias("term")).withColumn("term", F.lower("term"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
     """(entity, term, degree) for pairs with support whose degree is at least GENERALISE."""
     pairs = table(near.groupBy("entity", "term").agg(F.count("*").alias("c_et")), "pii-pairs")
-    sizes = pairs.groupBy("entity").agg(F.sum("c_et").alias("s_e"))
+    sizes = table(pairs.groupBy("entity").agg(F.sum("c_et").alias("s_e"), F.count_if(F.col("c_et") >= SUPPORT).alias("group_size")), "pii-entities")
     pairs = pairs.where(F.col("c_et") >= SUPPORT)
-    terms = table(pairs.select("term").distinct(), "pii-terms")
+    terms = table(pairs.groupBy("term").agg(F.count("*").alias("group_size")), "pii-terms")
     few = terms.count() <= BROADCAST_ROWS
-    said = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_WORD), F.lit(0))).alias("word"))
+    known = terms.select("term", F.lit(True).alias("candidate"))
     if few:  # words that are no candidates are only counted together
-        known = said.join(F.broadcast(terms), said["word"] == terms["term"], "left").groupBy("term").agg(F.count("*").alias("c_t"))
+        said = _words(docs).join(F.broadcast(known), "term", "left").select(F.when(F.col("candidate"), F.col("term")).alias("term"))
+        counted = said.groupBy("term").agg(F.count("*").alias("c_t"))
     else:
-        every = said.groupBy("word").agg(F.count("*").alias("c_t"))
-        known = every.join(terms, every["word"] == terms["term"], "left").groupBy("term").agg(F.sum("c_t").alias("c_t"))
-    known = table(known, "pii-words")
-    n = known.agg(F.sum("c_t")).first()[0] or 1
-    joined = pairs.join(known.where("term IS NOT NULL"), "term").join(sizes, "entity")
+        counted = _words(docs).groupBy("term").agg(F.count("*").alias("c_t")).join(known, "term", "left")
+        counted = counted.groupBy(F.when(F.col("candidate"), F.col("term")).alias("term")).agg(F.sum("c_t").alias("c_t"))
+    counted = table(counted, "pii-words")
+    n = counted.agg(F.sum("c_t")).first()[0] or 1
+    total = pairs.count()
+    joined = join_skewed(pairs, counted.where("term IS NOT NULL"), "term", terms, total)
+    joined = join_skewed(joined, sizes.select("entity", "s_e"), "entity", sizes.select("entity", "group_size"), total)
     content = -F.log2(F.col("s_e") / n)
     degree = F.least(F.lit(1.0), 1 + F.log2(F.col("c_et") / F.col("c_t")) / content)
     return joined.where(F.col("s_e") < n).select("entity", "term", degree.alias("degree")).where(F.col("degree") >= GENERALISE)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, term): spans of base kinds, and the added ones, a row a document."""
-    found = base_spans(docs, "doc_id")
-    base = table(found.drop("__text").select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base"), "pii-base")
-    near = table(contexts(base_spans(docs, "doc_id")), "pii-contexts")
-    telling = table(disclosures(docs, near), "pii-telling")
+def _own(left: str, right: str) -> Column:
+    """Rows of the same doc_id (or of none) and the same text."""
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.fp") == F.col(f"{right}.fp"))
+
+
+def occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """(doc_id, fp, term): for texts of docs (doc_id, fp, text) with telling terms, the spans of all of them."""
     few = telling.count() <= BROADCAST_ROWS
-    hits = near.join(F.broadcast(telling) if few else telling, ["entity", "term"])
+    mark = F.broadcast(telling) if few else telling
+    # First which texts have any, then the places of those alone.
+    holders = table(_words(docs, "doc_id", "fp").join(mark, "term", "left_semi").select("doc_id", "fp").distinct(), "pii-holders")
+    some = holders.count() <= BROADCAST_ROWS
+    texts = docs.alias("a").join((F.broadcast(holders) if some else holders).alias("b"), _own("a", "b"), "left_semi").dropDuplicates(["doc_id", "fp"])
+    spans = with_matches(texts, "text", {"term": _WORD}).withColumn("words", spans_of("term", len(PATTERNS)))
+    words = spans.select("doc_id", "fp", F.explode("words").alias("w")).select("doc_id", "fp", "w.s", "w.e", F.lower("w.m").alias("term"))
     span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), F.lit("term").alias("k"), "e", F.when(F.col("degree") >= REMOVE, "remove").otherwise("generalise").alias("m"))
-    # What one document holds, at most its own words.
-    by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("term"))
-    df = base.join(by_doc, "doc_id", "left")
+    # What one text holds, at most its own words.
+    return words.join(mark, "term").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(span)).alias("term"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n_email, n_ip, n_card, n_phone, base, term): spans of base kinds, and the added ones, for every row.
+
+    fp is a hash of the text: spans belong to a text, so (doc_id, fp) is as good as a row.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    found = base_spans(rows, "doc_id", "fp").withColumn("sides", _sides(F.col("__text")))
+    base = table(found.select("doc_id", "fp", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "sides"), "pii-base")
+    degrees = disclosures(docs, table(contexts(base), "pii-contexts"))
+    telling = table(degrees.groupBy("term").agg(F.max("degree").alias("degree")), "pii-telling")
+    by_text = table(occurrences(rows, telling), "pii-terms-by-text")
+    df = base.drop("sides").alias("a").join(by_text.alias("b"), _own("a", "b"), "left").select("a.*", "b.term")
     off = F.filter("term", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    # Of two degrees for one place the higher stands.
-    once = F.filter(off, lambda t: ~((t["m"] == "generalise") & F.exists("term", lambda u: (u["s"] == t["s"]) & (u["m"] == "remove"))))
-    return df.withColumn("term", F.when(F.col("term").isNull(), F.array().cast(_NO_SPANS)).otherwise(once))
+    return df.withColumn("term", F.when(F.col("term").isNull(), F.array().cast(_NO_SPANS)).otherwise(off))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): base spans become [kind], terms [generalise] or [remove]; a null text stays null. doc_id must be unique."""
+    """(doc_id, text): base spans become [kind], terms [generalise] or [remove]; a null text stays null. Rows that repeat stay."""
     marks = lambda x: F.struct(x["s"], x["o"], F.when(x["k"] == "term", x["m"]).otherwise(x["k"]).alias("k"), x["e"], x["m"])
-    spans = scan(docs).select("doc_id", F.array_sort(F.transform(F.concat("base", "term"), marks)).alias("spans"))
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", masked(F.col("text"), "spans").alias("text"))
+    spans = scan(docs).select("doc_id", "fp", F.array_sort(F.transform(F.concat("base", "term"), marks)).alias("spans")).dropDuplicates(["doc_id", "fp"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    return rows.alias("a").join(spans.alias("b"), _own("a", "b"), "left").select("a.doc_id", "a.text", "b.spans").select("doc_id", masked(F.col("text"), "spans").alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
