@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import stretches, table
 from factloom.llm.tokens import byte_bpe, tokenizer_path
 
 WINDOW = 2048
@@ -34,21 +35,22 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     """Cut each document's ids into windows: (doc_id, start, length, ids_crc32, doc_tokens)."""
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer)
-        for frame in frames:
-            rows = []
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            for doc, ids in zip(frame["doc_id"], encoder.encode(texts)):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, window):
-                    part = ids[4 * at : 4 * (at + window)]
-                    rows.append((None if pd.isna(doc) else int(doc), at, len(part) // 4, zlib.crc32(part), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(cut, _PIECES)
+        for batch in batches:
+            for part, texts in stretches(batch):
+                owner, rows = [], []
+                for k, ids in enumerate(encoder.encode(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    for at in range(0, n, window):
+                        own = ids[4 * at : 4 * (at + window)]
+                        owner.append(k)
+                        rows.append((at, len(own) // 4, zlib.crc32(own), n))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
 
 
 def combinations(have: np.ndarray, window: int, deep: int = 24) -> list[tuple[int, ...]]:
@@ -153,10 +155,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     counts = table(counts, "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     slots = spark.createDataFrame(_slots(plan(histogram, window)), "length int, lo long, hi long, seq long, offset long")
+    # Parts times lengths may be many rows: this join shuffles, and part and length together are no hot key.
     before = counts.selectExpr("length", "part", "cast(sum(n) OVER (PARTITION BY length ORDER BY part) - n AS bigint) AS before")
     # Within a part ranks are local; each (part, length) holds no more rows than its part.
     ranked = cut.selectExpr("*", "row_number() OVER (PARTITION BY part, length ORDER BY place) - 1 AS local")
-    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("local") + F.col("before"))
+    ranked = ranked.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("local") + F.col("before"))
     here = F.broadcast(slots)
     placed = ranked.join(here, (ranked["length"] == here["length"]) & (ranked["rank"] >= here["lo"]) & (ranked["rank"] < here["hi"]))
     return placed.select(
