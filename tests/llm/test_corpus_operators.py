@@ -106,6 +106,52 @@ def test_pii(docs, empty):
     assert pii.scan(empty).count() == 0
 
 
+def disclosing(rows):
+    """The telling terms of (text, entity spans) rows by the definition, word by word."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    c_et, c_t = Counter(), Counter()
+    for text, entities in rows:
+        c_t.update(m[0].lower() for m in word.finditer(text))
+        for name, s, e in entities:
+            left, right = max(0, s - pii.WINDOW), min(len(text), e + pii.WINDOW)
+            for a, b in ((left, s), (e, right)):
+                for m in word.finditer(text[a:b]):
+                    if not (a == left and a > 0 and m.start() == 0) and not (b == right and b < len(text) and m.end() == b - a):
+                        c_et[name, m[0].lower()] += 1
+    n, s_e = sum(c_t.values()), Counter()
+    for (name, _), c in c_et.items():
+        s_e[name] += c
+    degree = defaultdict(float)
+    for (name, t), c in c_et.items():
+        if c >= pii.SUPPORT:
+            d = min(1.0, 1 + math.log2(c / c_t[t]) / -math.log2(s_e[name] / n))
+            if d >= pii.GENERALISE:
+                degree[t] = max(degree[t], d)
+    return {t: "remove" if d >= pii.REMOVE else "generalise" for t, d in degree.items()}
+
+
+def test_pii_terms(spark):
+    """Every occurrence of every telling term against the definition; one id on two texts, no id, repeated rows."""
+    rnd = random.Random(12)
+    common = [a + b for a in EN for b in EN if len(a + b) > 2]
+    rows = []
+    for k in range(120):
+        words = [rnd.choice(common) for _ in range(30)]
+        if k % 3 == 0:
+            words[10:10] = [f"Name{'abcdefgh'[k % 8]}x".replace("1", ""), f"user{k % 8}@mail.example"]
+        rows.append((k, " ".join(words)))
+    rows += [(3, "quite another text"), (None, "Nameax alone " + rows[0][1]), (None, "nothing here"), (0, rows[0][1]), (7, None), (8, "see NAMEAX, Nameax")]
+    found = [(t or "", [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t or "")]) for _, t in rows]
+    telling = disclosing([(t, [("email:" + n, s, e) for n, s, e in own]) for t, own in found])
+    assert {"nameax", "namedx"} <= set(telling)
+    want = []
+    for (i, t), (text, own) in zip(rows, found):
+        spans = [(m.start(), m.end(), telling[m[0].lower()]) for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in telling and not any(s < m.end() and m.start() < e for _, s, e in own)]
+        want.append((-1 if i is None else i, spans))
+    got = pii.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], [(x["s"], x["e"], x["m"]) for x in r["term"]]) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("bits", [256, 4])
 def test_exact(docs, empty, bits):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
@@ -141,6 +187,33 @@ def test_language(docs, empty):
     assert langid.MaskFilter([], []).predict("abc") == ("und", 0.0)
 
 
+def test_language_as_with_plain_sets(docs):
+    """Predictions are those of plain sets of n-gram strings; stretches, however short, change nothing."""
+    learned = langid.train(docs.where(~langid.held_out()))
+
+    def strings(t):
+        own = " " + " ".join(re.findall(r"[^\W\d_]+", (t or "").lower())) + " "
+        return [own[k : k + n] for n in langid.SIZES for k in range(len(own) - n + 1)] if own.strip() else []
+
+    teach = defaultdict(Counter)
+    for i, t, g in TEXTS:
+        if g and t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 5 == 0):
+            teach[g].update(strings(t))
+    for _, t, _ in TEXTS:
+        own = strings(t)
+        if len(own) < 20:
+            continue
+        hits = {g: sum(x in teach[g] for x in own) for g in sorted(teach)}
+        if len(set(hits.values())) == len(hits) and max(len(teach[g]) for g in teach) <= langid.TOP:
+            assert learned.predict(t)[0] == max(hits, key=hits.get), t[:40]
+    for t in (TEXTS[13][1], "Ab  1c. " * 50, "x" * 99, "", "1 2"):
+        whole = langid.grams(t or "")
+        before, langid._STRETCH = langid._STRETCH, 7
+        assert sorted(langid.grams(t or "").tolist()) == sorted(whole.tolist())
+        assert len(whole) == len(strings(t))
+        langid._STRETCH = before
+
+
 def test_language_model(docs, empty):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     seq = [(i, [*words_of(t), b" "]) for i, t, _ in TEXTS]
@@ -193,29 +266,74 @@ def test_language_model_has_every_pair(docs, monkeypatch, dictionary, states, ar
     assert np.allclose([x[2:] for x in have], [x[2:] for x in want], atol=1e-3)
 
 
+def shingles(t, w):
+    x = words_of(t)
+    return frozenset([tuple(x)] if 0 < len(x) < w else [tuple(x[k : k + w]) for k in range(len(x) - w + 1)])
+
+
+def linked_groups(rows):
+    """For (id, text) rows: the smallest id that links reach, by brute force over sets."""
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t, 4), []).append(i)
+    parent = {s: s for s in sets}
+
+    def root(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    known = [s for s in sets if s]
+    for a, s in enumerate(known):
+        for u in known[:a]:
+            if 100 * len(s & u) >= 80 * len(s | u):
+                parent[root(s)] = root(u)
+    low = defaultdict(list)
+    for s, ids in sets.items():
+        low[root(s)] += [i for i in ids if i is not None]
+    return [(i, len(s), min(low[root(s)], default=None) if s else i) for s, ids in sets.items() for i in ids]
+
+
+def as_key(row):
+    return tuple(-1 if x is None else x for x in row)
+
+
 def test_minhash(docs, empty):
-    def shingles(t, w):
-        x = words_of(t)
-        return frozenset([tuple(x)] if 0 < len(x) < w else [tuple(x[k : k + w]) for k in range(len(x) - w + 1)])
-
-    rows = [(i, shingles(t, 4)) for i, t, _ in TEXTS]
-    parent = {i: i for i, _ in rows}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, (i, s) in enumerate(rows):
-        for j, u in rows[:a]:
-            if s and u and i is not None and j is not None and 100 * len(s & u) >= 80 * len(s | u):
-                lo, hi = sorted((root(i), root(j)))
-                parent[hi] = lo
     got = minhash.near_groups(docs, 4).collect()
-    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == sorted((i or -1, len(s), root(i) if i is not None else -1) for i, s in rows)
+    assert sorted(as_key((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == sorted(map(as_key, linked_groups([(i, t) for i, t, _ in TEXTS])))
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert minhash.keep_one(docs).columns == docs.columns and minhash.near_groups(empty).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """One id on two texts links nothing; each text stays or goes for itself, of equal rows one stays."""
+    a, b = prose(EN, 60), prose(EN, 60)
+    rows = [(1, a), (5, a + " tail"), (5, b), (5, b), (None, b + " end"), (None, prose(FR, 30)), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in minhash.near_groups(df).collect())
+    assert got == Counter({(1, 1): 1, (5, 1): 1, (5, 5): 2, (None, 5): 1, (None, None): 1, (7, 7): 2})
+    left = [(r["doc_id"], r["text"]) for r in minhash.keep_one(df, 4).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (5, b), (None, rows[5][1]), (7, None), (7, None)], key=str)
+
+
+@pytest.mark.parametrize("chunk", [minhash.CHUNK, 400])
+def test_minhash_large_group(spark, chunk):
+    """Near copies about the threshold: links as by brute force, and fewer confirmed pairs than members, however the cluster is cut."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for k in range(260):
+        t = base[:]
+        for j in rnd.sample(range(70), rnd.choice((1, 2, 3, 4))):
+            t[j] = f"c{k}x{j}" if rnd.random() < 0.7 else f"s{j}"
+        rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.labelled(df, 4, chunk).collect()]
+    assert sorted(got) == sorted(linked_groups(rows))
+    sets = [minhash.shingle_set(t, 4) for _, t in rows]
+    assert len(minhash.linked(sets, np.arange(len(sets)))) < len(sets)
+
+
 def test_minhash_finds_links_that_no_star_has(spark):
     """A chain: each text is near the next only; and a crowd that shares most of a text without reaching the similarity."""
     base = [f"w{i}" for i in range(100)]
@@ -254,15 +372,40 @@ def test_pieces(docs, empty):
     assert piece_codec.digests(docs).count() == len(TEXTS) and piece_codec.digests(empty).count() == 0
 
 
-def test_character_map():
-    """A map that replaces the ligature by two letters and drops a mark, written as a double array by hand."""
-    codec_map = piece_codec.CharMap(b"")
-    assert codec_map.normalise("ﬁx") == ("ﬁx", None)
-    known = {"ﬁ".encode(): b"fi", b"ab": b"c", b"abc": b"", "é".encode(): "e".encode()}
-    codec_map.units = np.zeros(1, "<u4")
-    codec_map.longest = lambda data, at: max(((len(k), v) for k, v in known.items() if data.startswith(k, at)), default=None)
-    out, source = codec_map.normalise("xﬁabcdéab")
-    assert out == "xfidec" and source.tolist() == [0, 1, 1, 7, 8, 10, 12]
+@pytest.fixture(scope="module")
+def mapped_model(tmp_path_factory):
+    """The public model with a full compiled character map (NFKC and white space) in the place of its empty one."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as schema
+
+    rules, spec = schema.ModelProto(), schema.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(spec.SerializeToString())
+    return str(path)
+
+
+def test_character_map(spark, mapped_model):
+    """The double array of a real map: ids as the library's, spans that cover the original bytes, in the query's own operator too."""
+    import sentencepiece
+
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=mapped_model), piece_codec.PieceCodec(mapped_model)
+    assert codec.map.longest("ﬁx".encode(), 0) == (3, b"fi") and codec.map.longest(b"x", 0) is None
+    out, source = codec.map.normalise("x①ﬁ\u3000é")
+    assert out == "x1fi é" and source.tolist() == [0, 1, 4, 4, 7, 10, 10, 12]
+    parts = ["a", "b", " ", "  ", "▁", "the", "\n", "é", "e\u0301", "\x00", "😀", "ﬁ", "①", "Ａ", "ｶﾞ", "㍿", "\u200b", "\t", "가", "<s>", "\u3000", "½"]
+    texts = ["".join(RND.choice(parts) for _ in range(RND.randint(0, 12))) for _ in range(3000)]
+    for t, (_, ids, ends) in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == library.encode(t)
+        assert (np.diff(ends) >= 0).all() and (not len(ends) or ends[-1] <= len(t.encode()))
+    rows = piece_codec.encode(spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string"), mapped_model).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: library.encode(t) for i, t in enumerate(texts[:200])}
+    (row,) = piece_codec.encode(spark.createDataFrame([(1, "ﬁne  ①")], "doc_id long, text string"), mapped_model).collect()
+    spans = ["ﬁne  ①".encode()[a:b] for a, b in zip(row["begins"], row["ends"])]
+    assert b"".join(spans) == "ﬁne  ①".encode()
 
 
 def test_packing(docs, empty):
@@ -285,7 +428,7 @@ def test_packing(docs, empty):
         assert at <= 256
     assert sum(map(len, ids)) / (256 * len(seqs)) > 0.95
     assert packing.pack(empty, path).count() == 0
-    assert ByteBpe(path).encode(["a<|endoftext|>b"])[0] == np.asarray(whole.encode("a<|endoftext|>b", add_special_tokens=False).ids, "<u4").tobytes()
+    assert next(ByteBpe(path).encode(["a<|endoftext|>b"])) == np.asarray(whole.encode("a<|endoftext|>b", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_plan_uses_every_piece():
@@ -362,15 +505,40 @@ def test_nearest(spark):
     for q in (i for i in good if i % 50 == 0):
         c = [(float(v @ good[q] / math.sqrt(v @ v) / math.sqrt(good[q] @ good[q])), i) for i, v in good.items() if i != q and len(v) == len(good[q])]
         want[q] = [i for _, i in sorted(c, key=lambda x: (-round(x[0], 10), x[1]))[:5]]
-    for shard, block in ((100, 4), (16384, 4096)):
+    for shard in (100, 16384):
         got = defaultdict(list)
-        for r in ann.nearest(df, shard=shard, block=block).orderBy("query_id", "rank").collect():
+        for r in ann.nearest(df, shard=shard).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append(r["vec_id"])
             assert r["rank"] == len(got[r["query_id"]])
         assert dict(got) == {q: w for q, w in want.items() if w}
     assert ann.nearest(df.where("false")).count() == 0
-    loose = ann.nearest(df, factor=1.3).groupBy("query_id").count().count()
-    assert loose == len([w for w in want.values() if w])
+    assert ann.nearest(df, shard=100, factor=1.3).select("query_id").distinct().count() == len([w for w in want.values() if w])
+
+
+def test_nearest_by_the_last_digit(spark):
+    """Neighbours that differ by less than unit vectors can tell are ranked by the measure itself."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, 0.5 + i * 2.0**-48, 0.25]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    raw = {i: np.asarray([v]) for i, v in rows}
+    want = sorted((-float(ann.cosine(raw[0], raw[i])[0]), i) for i in range(1, 40))[:5]
+    got = [(-r["score"], r["vec_id"]) for r in ann.nearest(df).orderBy("rank").collect()]
+    assert got == want
+
+
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (1.5, 0.9)])
+def test_nearest_recall(factor, least):
+    """Recall against brute force on clustered vectors, and that pruning skips most of the shard."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 3
+    shard = ann.Vectors(np.arange(8000), centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 0.3)
+    queries = ann.Vectors(np.arange(0, 8000, 50), shard.raw[::50])
+    search = ann.Search(shard, queries, 5, factor)
+    search.run(ann.build(shard.unit))
+    scores = queries.unit @ shard.unit.T
+    scores[np.arange(160), queries.ids] = -2
+    true = np.argsort(-scores, axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(true.tolist(), search.best.tolist())]) >= least
+    assert search.visited < 0.5 * 8000 * 160
 
 
 def test_pipeline(spark, docs, empty):
