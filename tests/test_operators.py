@@ -111,6 +111,19 @@ def test_packing_conserves_pages(spark, lengths):
     assert fold == {p: c["ordinal"] for c in made for p in range(c["page_start"], c["page_end"] + 1)}
 
 
+def test_oversize_pages_stand_alone(spark):
+    """Parts of an oversize page are chunks of their own; pages are trimmed first; a short last chunk joins the one before."""
+    config = Config(chunk_target=300, runt_min=60, page_limit=200, page_min=5)
+    texts = ["a" * 100, "  " + "b" * 190 + " \n", "\n\n".join(["c" * 120] * 3), "d" * 40, "e" * 90, "tiny", "f" * 10]
+    pages = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(texts)], "doc_id long, page_index long, text string")
+    got = [(r["page_start"], r["page_end"], r["text"]) for r in chunking.chunks(pages, config).orderBy("ordinal").collect()]
+    mark = lambda k, t: f"[[page {k}]]\n{t}"
+    assert got == [
+        (1, 1, mark(1, "a" * 100)), (2, 2, mark(2, "b" * 190)), *[(3, 3, mark(3, "c" * 120))] * 3, (4, 7, "\n\n".join([mark(4, "d" * 40), mark(5, "e" * 90), mark(7, "f" * 10)])),
+    ]
+    assert {r["page_index"]: r["ordinal"] for r in chunking.packed(pages, config).collect()} == {1: 0, 2: 1, 3: 2, 4: 5, 5: 5, 7: 5}
+
+
 def test_oversize_page():
     parts = chunking.split_page("a" * 50 + "\n\n" + "b" * 50 + "\n\n" + "\n".join(["c" * 40] * 5), 100)
     assert all(len(p) <= 100 for p in parts) and "".join(parts).replace("\n", "") == "a" * 50 + "b" * 50 + "c" * 200
