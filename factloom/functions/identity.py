@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.values import nfkc
+
 # Cues in order of precedence, stop words, and period tokens.
 BASIS_CUES = (
     ("projection", ("projected", "projection", "forecast", "outlook for", "expected to", "is expected")),
@@ -32,8 +34,8 @@ def basis(given: Column, *hints: Column) -> Column:
 
 
 def slug_tokens(text: Column) -> Column:
-    """Lower-case tokens without stop words, crudely singular (ID2)."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " ")), " ")
+    """Folded lower-case tokens without stop words, crudely singular (ID2)."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(nfkc(text), F.lit(""))), r"[^a-z0-9]+", " ")), " ")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
     plural = lambda w: (F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss")
     return F.transform(kept, lambda w: F.when(plural(w), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))

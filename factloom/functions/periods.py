@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.values import nfkc
+
 # Month prefixes and number words.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
@@ -41,13 +43,19 @@ def _date(y: str, m: str, d: str) -> str:
 
 
 def with_periods(df: DataFrame, raw: str = "time_scope_raw", fallback: str | None = None, fy_start: int = 4, compat: bool = False) -> DataFrame:
-    """Add period_key, period_start, period_end, period_kind, period_inherited."""
+    """Add period_key, period_start, period_end, period_kind, period_inherited.
+
+    Facts repeat few phrases, so each distinct phrase is parsed once and joined back; a phrase of very many facts is one row there.
+    """
     blank = f"nullif(trim({raw}), '')"
     other = f"nullif(trim({fallback}), '')" if fallback else "cast(NULL AS string)"
-    df = df.withColumns({
-        "period_inherited": F.expr(f"{blank} IS NULL AND {other} IS NOT NULL"),
-        "_p": F.expr(f"translate(lower(coalesce({blank}, {other})), '–—', '--')"),
-    })
+    df = df.withColumns({"period_inherited": F.expr(f"{blank} IS NULL AND {other} IS NOT NULL"), "_phrase": F.expr(f"coalesce({blank}, {other})")})
+    return df.join(_parsed(df.select("_phrase").where("_phrase IS NOT NULL").distinct(), fy_start, compat), "_phrase", "left").drop("_phrase")
+
+
+def _parsed(df: DataFrame, fy_start: int, compat: bool) -> DataFrame:
+    """(_phrase, period_key, period_start, period_end, period_kind) of distinct phrases."""
+    df = df.withColumn("_p", F.translate(F.lower(nfkc(F.col("_phrase"))), "–—", "--"))
     fy_of = (lambda y, m: f"({y})") if fy_start == 1 else (lambda y, m: f"(CASE WHEN {m} < {fy_start} THEN {y} ELSE {y} + 1 END)")
     quarter = lambda m: f"cast(((({m}) + {12 - fy_start}) % 12) div 3 + 1 AS int)"
     first = lambda fy: f"make_date({fy}{'' if fy_start == 1 else ' - 1'}, {fy_start}, 1)"
@@ -122,5 +130,4 @@ def with_periods(df: DataFrame, raw: str = "time_scope_raw", fallback: str | Non
         ("_cy BETWEEN 1900 AND 2100", result("concat('CY', _cy)", "calendar_year", "make_date(_cy, 1, 1)", "make_date(_cy, 12, 31)")),
     ]
     df = df.withColumn("_r", F.expr("CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in rules) + " END"))
-    df = df.withColumns({"period_key": F.col("_r.key"), "period_start": F.col("_r.start"), "period_end": F.col("_r.end"), "period_kind": F.col("_r.kind")})
-    return df.drop("_p", "_r", "_ended", "_day", "_months", "_atm", "_aty", "_q", "_qy", "_h", "_hy", "_fy", "_ba", "_bb", "_by", "_mm", "_my", "_cy", "_dy", "_dm", "_dfy", "_dq")
+    return df.select("_phrase", F.col("_r.key").alias("period_key"), F.col("_r.start").alias("period_start"), F.col("_r.end").alias("period_end"), F.col("_r.kind").alias("period_kind"))

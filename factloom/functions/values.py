@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,14 @@ _NUMBER = r"[-+]?\d{1,3}(?:[, ]\d{2,3})+(?!\d)(?:\.\d+)?|[-+]?\d+(?:\.\d+)?|[-+]
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility folding (NV1); Spark has no built-in for it. Apply it only where a text is not ASCII."""
+    """Compatibility folding (NV1), for which Spark has no built-in. Arrow batches that are all ASCII pass as they are."""
 
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
+    def fold(texts: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
+            return texts
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
-    return F.pandas_udf(fold, "string")(text)
+    return F.arrow_udf(fold, "string")(text)
 
 
 def _bounded(token: str) -> str:
@@ -53,12 +56,13 @@ def _bounded(token: str) -> str:
 def _first(tokens: list[tuple[str, str]], low: Column) -> Column:
     """The answer of the first (token, answer) found. Tokens of letters stand alone, others match anywhere.
 
-    One expression over a literal table: a chain of conditions this long would not compile to one method.
+    One look-ahead finds, at each place of the text, the first token that begins there; the least rank of all decides.
     """
-    alone = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z]", " "), F.lit(" "))
-    table = F.array(*[F.struct(F.lit(t.isalpha()).alias("alone"), F.lit(f" {t} " if t.isalpha() else t).alias("needle"), F.lit(x).alias("answer")) for t, x in tokens])
-    texts = F.struct(alone.alias("alone"), low.alias("low"))
-    return F.get(F.transform(F.array(texts), lambda s: F.get(F.filter(table, lambda x: F.contains(F.when(x["alone"], s["alone"]).otherwise(s["low"]), x["needle"])), F.lit(0))["answer"]), F.lit(0))
+    one = [_bounded(t) if t.isalpha() else r"\Q" + t + r"\E" for t, _ in tokens]
+    names, answers = (F.array(*[F.lit(x) for x in side]) for side in zip(*tokens))
+    begun = F.regexp_extract_all(low, F.lit("(?=(" + "|".join(one) + "))"), F.lit(1))
+    rank = F.array_min(F.transform(begun, lambda t: F.array_position(names, t)))
+    return F.get(answers, rank.cast("int") - 1)
 
 
 def scale_token(low: Column) -> Column:
@@ -79,8 +83,8 @@ def currency(low: Column) -> Column:
 def with_values(df: DataFrame, value: str = "value_raw", unit: str = "unit_raw", compat: bool = False) -> DataFrame:
     """Add value_num, value_unit, value_dim, scale_applied, is_range and value_notes for a printed value and its unit."""
     as_number = lambda c: F.regexp_replace(c, "[, ]", "").try_cast("double")
-    v, u = F.trim(F.col(value)), F.trim(F.coalesce(F.col(unit), F.lit("")))
-    df = df.withColumns({"_v": v, "_u": u, "_low": F.lower(F.trim(F.concat_ws(" ", v, u)))})
+    df = df.withColumns({"_v": nfkc(F.col(value)), "_u": nfkc(F.coalesce(F.col(unit), F.lit("")))})
+    df = df.withColumns({"_v": F.trim("_v"), "_u": F.trim("_u")}).withColumn("_low", F.lower(F.trim(F.concat_ws(" ", "_v", "_u"))))
     df = df.withColumns({
         "_n": as_number(F.regexp_extract("_v", _NUMBER_COMPAT if compat else _NUMBER, 0)),
         "_lo": as_number(F.regexp_extract("_v", _RANGE, 1)),

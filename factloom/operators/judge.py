@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.config import DEFAULT
+from factloom.functions import jsonio
+from factloom.operators.pairs import needs_escalation
+
 RELATIONS = ("corroborates", "contradicts", "reconcilable_context", "unrelated")
 DIMENSIONS = ("time", "unit", "scope", "basis", "none")
 
@@ -50,21 +56,41 @@ def rule_judge(df: DataFrame) -> DataFrame:
     })
 
 
-def judge_with(df: DataFrame, model: Callable[[list[str]], list[dict]]) -> DataFrame:
-    """Ask a model, batch by batch of an Arrow stream: payloads in, verdict dicts out, in order (JD2). Write the result before use."""
+def judge_with(df: DataFrame, model: Callable[[list[str], bool], str], size: int = DEFAULT.batch) -> DataFrame:
+    """Ask a model about analysed pairs, `size` at a time within each route (JD2). Write the result before use.
+
+    `model` gets the payloads of a batch and whether they are escalated, and returns its answer as text; items are matched by the
+    pair_id that the payload states, else by place. A pair without an item keeps nulls. Batches are cut from the rows of a partition by
+    route, so no group is gathered; with `batch` given by `pairs.batched`, rows come sorted by it.
+    """
     columns = ("relation", "dimension", "reasoning", "reconciliation", "confidence")
     schema = "pair string, " + ", ".join(f"raw_{c} string" for c in columns)
 
-    def ask(frames):
+    def asked(rows: list[tuple[str, str]], escalated: bool) -> pd.DataFrame:
+        shown = [json.dumps(json.loads(text) | {"pair_id": f"p{k}"}, ensure_ascii=False) for k, (_, text) in enumerate(rows)]
+        got = jsonio.answers(model(shown, escalated), [f"p{k}" for k in range(len(rows))])
+        out = [(pair, *(None if (v := got.get(f"p{k}", {}).get(c)) is None else str(v) for c in columns)) for k, (pair, _) in enumerate(rows)]
+        return pd.DataFrame(out, columns=["pair", *(f"raw_{c}" for c in columns)])
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[bool, list[tuple[str, str]]] = {False: [], True: []}
         for frame in frames:
-            got = model(frame["payload"].tolist())
-            out = frame[["pair"]].copy()
-            for c in columns:
-                out[f"raw_{c}"] = [None if v.get(c) is None else str(v.get(c)) for v in got]
-            yield out
+            for pair, text, route in zip(frame["pair"], frame["payload"], frame["escalated"]):
+                own = waiting[bool(route)]
+                own.append((pair, text))
+                if len(own) == size:
+                    yield asked(own, bool(route))
+                    own.clear()
+        for route, own in waiting.items():
+            if own:
+                yield asked(own, route)
 
     pair = F.concat("a.fact_id", F.lit(":"), "b.fact_id")
-    verdicts = df.select(pair.alias("pair"), payload().alias("payload")).mapInPandas(ask, schema)
+    route = F.col("escalated") if "escalated" in df.columns else needs_escalation()
+    rows = df.select(pair.alias("pair"), payload().alias("payload"), route.alias("escalated"), *(["batch"] if "batch" in df.columns else []))
+    if "batch" in df.columns:
+        rows = rows.repartition("escalated", "batch").sortWithinPartitions("escalated", "batch", "pair")
+    verdicts = rows.select("pair", "payload", "escalated").mapInPandas(ask, schema)
     return df.withColumn("pair", pair).join(verdicts, "pair")
 
 

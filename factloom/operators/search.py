@@ -53,6 +53,65 @@ def fact_page(found: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return found.orderBy(F.desc("confidence"), F.asc_nulls_first("page_index"), "fact_id").offset(offset).limit(min(500, max(1, limit)))
 
 
+def fact_total(found: DataFrame) -> DataFrame:
+    """How many facts a search has in all, beside its page (Q1)."""
+    return found.agg(F.count("*").alias("total"))
+
+
+def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with their document's file name and title (SRC5, JN1); rows of unknown documents go."""
+    return rows.join(documents.select("doc_id", "filename", "title"), "doc_id")
+
+
+def fact_detail(facts: DataFrame, pages: DataFrame, documents: DataFrame, fact_id: str) -> DataFrame:
+    """One fact with its document and the text of the page it was found on, null where the page is not stored (Q3)."""
+    own = with_documents(facts.where(F.col("fact_id") == fact_id), documents)
+    return own.join(pages.select("doc_id", "page_index", F.col("text").alias("page_text")), ["doc_id", "page_index"], "left")
+
+
+def page(pages: DataFrame, doc_id: str, page_index: int) -> DataFrame:
+    """One page (Q10)."""
+    return pages.where((F.col("doc_id") == doc_id) & (F.col("page_index") == page_index))
+
+
+def job(jobs: DataFrame, job_id: str) -> DataFrame:
+    """One job (Q10)."""
+    return jobs.where(F.col("job_id") == job_id)
+
+
+def job_list(jobs: DataFrame, documents: DataFrame, limit: int = 20) -> DataFrame:
+    """Jobs with their file names, newest first (Q10)."""
+    named = jobs.join(documents.select("doc_id", "filename"), "doc_id", "left")
+    return named.orderBy(F.desc("created_at"), "job_id").limit(min(200, max(1, limit)))
+
+
+def issue_list(issues: DataFrame, documents: DataFrame, kind: str | None = None, limit: int = 100) -> DataFrame:
+    """Issues with file names and their payload decoded, newest first (Q9). A payload that is no JSON object is an empty map."""
+    some = issues.where(F.col("kind") == kind) if kind else issues
+    named = some.join(documents.select("doc_id", "filename"), "doc_id", "left").orderBy(F.desc("created_at"), "issue_id").limit(limit)
+    if "payload" not in issues.columns:
+        return named
+    decoded = F.from_json("payload", "map<string,string>")
+    return named.withColumn("payload", F.coalesce(decoded, F.create_map().cast("map<string,string>")))
+
+
+def document_detail(doc_id: str, issues: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(section, name, n) of a document: issues by kind, chunks by status, pages with and without a printed label (Q6)."""
+
+    def counted(df: DataFrame, section: str, name: Column) -> DataFrame:
+        return df.where(F.col("doc_id") == doc_id).groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "name", "n")
+
+    labelled = F.when(F.col("printed_label").isNotNull(), "labelled").otherwise("unlabelled")
+    return counted(issues, "issue", F.col("kind")).unionByName(counted(chunks, "chunk", F.col("status"))).unionByName(counted(pages, "page", labelled))
+
+
+def filter_count(counts: DataFrame) -> DataFrame:
+    """How many relations a list without the unrelated has, over all facts' counts by kind (Q28). Each is counted from both its ends."""
+    kept = F.map_filter("counts", lambda kind, n: kind != "unrelated")
+    own = F.aggregate(F.map_values(kept), F.lit(0).cast("long"), lambda a, n: a + n)
+    return counts.agg(F.coalesce(F.sum(own), F.lit(0)).alias("n"))
+
+
 def relation_counts(facts: DataFrame, relations: DataFrame) -> DataFrame:
     """(fact_id, counts): relations by kind for every fact given, an empty map where there are none (Q2)."""
     n = endpoints(relations).join(facts.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id", "relation").agg(F.count("*").alias("n"))

@@ -81,7 +81,7 @@ _KEPT = ("k", "fact_id", "doc_id", "subject", "predicate", "value_raw", "unit_ra
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored facts; normalised once."""
-    return once(spark, f"{sf_dir}/facts", lambda: normalised(restated(spark, sf_dir)).select(*_KEPT))
+    return once(spark, "facts", f"{sf_dir}/orders.parquet", lambda: normalised(restated(spark, sf_dir)).select(*_KEPT))
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored relations; judged once, as a judge must be."""
-    return once(spark, f"{sf_dir}/relations", lambda: judge.relations(judged(spark, sf_dir)))
+    return once(spark, "relations", f"{sf_dir}/orders.parquet", lambda: judge.relations(judged(spark, sf_dir)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

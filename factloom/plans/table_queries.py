@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.config import Config
 from factloom.functions import jsonio, security, text
-from factloom.operators import chunking, evidence, layout
+from factloom.operators import chunking, evaluate, evidence, layout, search
 from factloom.plans import fixtures as fx
 from factloom.plans.fixtures import read
 from factloom.plans.oracles import RELATIONS
 from factloom.sources import store
+from factloom.sources.tables import fresh_path
 from factloom.streaming import stateful
 
 _CHUNKS = Config(chunk_target=1500)
 
 
 def _doc_dedupe(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")).where("sha256 IS NOT NULL")
+    docs = read(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     fresh, again = store.new_documents(docs, docs.where("false"))
     return fresh.select("doc_id", F.lit("new").alias("outcome"), F.col("doc_id").alias("kept")).unionByName(again.select("doc_id", F.lit("duplicate").alias("outcome"), F.col("existing").alias("kept")))
 
 
-_DOC_DEDUPE = """WITH r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS kept FROM documents WHERE text IS NOT NULL)
+_DOC_DEDUPE = """WITH r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS kept FROM documents)
 SELECT doc_id, CASE WHEN doc_id = kept THEN 'new' ELSE 'duplicate' END AS outcome, kept FROM r"""
 
 
@@ -41,9 +40,9 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t
 
 
 def _label_runs(spark, d):
-    # A turn's footer states its number from the third turn on; every seventh is wrong.
+    # A turn's footer states its number; every seventh is wrong, and what stands there reads as a roman numeral.
     pages = read(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS page_index", "concat(text, '\n', CASE WHEN (conv_id + turn) % 7 = 3 THEN 'x' ELSE concat('Page ', turn + 10) END) AS text")
-    pages = pages.withColumn("candidates", F.filter(text.label_candidates(F.col("text")), lambda c: c.rlike("^[0-9]+$") & (F.length(c) == 2)))
+    pages = pages.withColumn("candidates", text.label_candidates(F.col("text")))
     return layout.label_runs(pages).select("doc_id", "page_index", "printed_label")
 
 
@@ -51,7 +50,7 @@ _LABEL_RUNS = """WITH p AS (SELECT conv_id AS doc_id, turn AS page_index, CASE W
 q AS (SELECT *, lead(n) OVER w AS nx, lag(n) OVER w AS pv FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_index)),
 c AS (SELECT *, CASE WHEN nx = n + 1 OR pv = n - 1 THEN n END AS l FROM q),
 f AS (SELECT *, lead(l) OVER w AS ln, lag(l) OVER w AS lp FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY page_index))
-SELECT doc_id, page_index, CAST(coalesce(l, CASE WHEN ln - lp = 2 THEN lp + 1 END) AS VARCHAR) AS printed_label FROM f"""
+SELECT doc_id, page_index, coalesce(CAST(coalesce(l, CASE WHEN ln - lp = 2 THEN lp + 1 END) AS VARCHAR), CASE WHEN n IS NULL THEN 'x' END) AS printed_label FROM f"""
 
 
 def _pages(spark, d):
@@ -96,21 +95,13 @@ def _quotes(spark, d):
     return read(spark, d, "benchmark").selectExpr("item_id AS quote_id", "text AS quote")
 
 
-def _cascade_pairs(spark, d):
-    """Benchmark passages against documents: pairs that share a rare run of six words are found by an equi-join, then looked at."""
-    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    run = lambda i: F.array_join(F.slice("w", i, F.lit(6)), " ")
-    q = _quotes(spark, d)
-    p = read(spark, d, "documents").selectExpr("doc_id AS page_id", "text")
-    # The words are a column: inside the lambda they would be split anew for every run.
-    keys = q.withColumn("w", words(F.col("quote"))).select("quote_id", run(F.lit(3)).alias("run"))
-    runs = p.withColumn("w", words(F.col("text"))).select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), run)).alias("run"))
-    hit = runs.join(keys, "run").select("quote_id", "page_id").distinct()
-    return hit.join(q, "quote_id").join(p, "page_id")
+def _quote_pages(spark, d):
+    return read(spark, d, "documents").selectExpr("doc_id AS page_id", "text")
 
 
 def _quote_exact(spark, d):
-    pairs = _cascade_pairs(spark, d)
+    q, p = _quotes(spark, d), _quote_pages(spark, d)
+    pairs = evidence.tier_candidates(q, p).join(q, "quote_id").join(p, "page_id")
     return pairs.where(evidence.tiers(F.col("quote"), F.col("text")) == 1.0).select("quote_id", "page_id")
 
 
@@ -118,10 +109,6 @@ _QUOTE_EXACT = r"""WITH n AS (SELECT item_id, trim(lower(regexp_replace(text, '\
 SELECT item_id AS quote_id, doc_id AS page_id FROM n JOIN m ON contains(p, q)"""
 
 
-def _quote_pages(spark, d):
-    return read(spark, d, "documents").selectExpr("doc_id AS page_id", "text")
-
-
 def _quote_cascade(spark, d):
     # Every passage three ways: as it is, with its stops as dashes, with a space lost. Without spaces and stops they are the same.
     q, p = _quotes(spark, d), _quote_pages(spark, d)
@@ -145,6 +132,26 @@ def _quote_relocate(spark, d):
     return evidence.relocate(facts, pages).select("fact_id", "page_index", "score", "outcome")
 
 
+#: Tiers of a quote in a page, as SQL over normalised texts.
+_MARKS = "".join(dict.fromkeys(evidence.SOFT)).replace("'", "''")
+_SOFT = lambda x: f"translate({x}, '{_MARKS}', '{' ' * len(dict.fromkeys(evidence.SOFT))}')"
+_ALONE = lambda x: f"trim(regexp_replace({_SOFT(x)}, ' +', ' ', 'g'))"
+_TIER = lambda q, p: f"CASE WHEN {q} = '' THEN NULL WHEN contains({p}, {q}) THEN 1.0 WHEN {_ALONE(q)} <> '' AND contains({_SOFT(p)}, {_ALONE(q)}) THEN 0.97 WHEN {_ALONE(q)} <> '' AND contains(replace({_SOFT(p)}, ' ', ''), replace({_ALONE(q)}, ' ', '')) THEN 0.93 END"
+_NORM = lambda x: f"lower(regexp_replace(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'), '^ ', ''))"
+
+_QUOTE_CASCADE = f"""WITH w AS (SELECT item_id AS quote_id, 'same' AS way, text AS q FROM benchmark UNION ALL SELECT item_id, 'punct', replace(text, ',', ' -') FROM benchmark
+  UNION ALL SELECT item_id, 'tight', regexp_replace(text, '^(\\S+) (\\S+) ', '\\1\\2 ') FROM benchmark),
+n AS (SELECT quote_id, way, trim({_NORM('q')}) AS q FROM w), m AS (SELECT doc_id AS page_id, {_NORM('text')} AS p FROM documents),
+s AS (SELECT quote_id, page_id, way, ({_TIER('q', 'p')})::DOUBLE AS score FROM n JOIN m ON contains(replace({_SOFT('p')}, ' ', ''), replace({_SOFT('q')}, ' ', '')))
+SELECT * FROM s WHERE score IS NOT NULL"""
+
+_QUOTE_RELOCATE = f"""WITH p AS (SELECT conv_id AS doc_id, turn AS page_index, text, {_NORM('text')} AS n FROM conversations),
+f AS (SELECT 'q_' || doc_id || '_' || page_index AS fact_id, doc_id, trim({_NORM('substring(text, 5, 50)')}) AS q, CASE WHEN (doc_id + page_index) % 3 = 0 THEN page_index + 1 ELSE page_index END AS claimed FROM p WHERE length(text) > 60),
+h AS (SELECT fact_id, page_index, claimed, ({_TIER('q', 'n')})::DOUBLE AS score FROM f JOIN p USING (doc_id) WHERE page_index BETWEEN 0 AND 100),
+b AS (SELECT * FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY page_index = claimed DESC, score DESC, page_index) = 1)
+SELECT fact_id, b.page_index, b.score, CASE WHEN b.page_index IS NULL THEN 'rejected' WHEN b.page_index = f.claimed THEN 'verified' ELSE 'relocated' END AS outcome FROM f LEFT JOIN b USING (fact_id)"""
+
+
 def _reverify(spark, d):
     pages = _pages(spark, d)
     facts = pages.where(F.length("text") > 60).selectExpr(
@@ -202,6 +209,13 @@ def _limiter(spark, d):
     return stateful.limited(e, 2, 36_000.0)
 
 
+_LIMITER = """WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS request_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT client, request_id, n, true AS allowed, 0 AS retry_after, [sec] AS hits FROM e WHERE n = 1
+  UNION ALL SELECT client, request_id, n, len(kept) < 2, CASE WHEN len(kept) < 2 THEN 0 ELSE greatest(1, CAST(trunc(36000.0 - (sec - kept[1])) AS INTEGER)) END, CASE WHEN len(kept) < 2 THEN list_append(kept, sec) ELSE kept END
+  FROM (SELECT e.*, list_filter(r.hits, lambda h: e.sec - h < 36000.0) AS kept FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1))
+SELECT client, request_id, allowed, CAST(retry_after AS INTEGER) AS retry_after FROM r"""
+
+
 def _breaker(spark, d):
     e = _events(spark, d).select(F.col("event_type").alias("model"), F.col("event_id").alias("call_id"), (F.col("user_id") % 5).alias("key"), (F.col("event_id") % 3 != 0).alias("refused"), (F.unix_micros("at") / 1e6).alias("at"))
     return stateful.breaker_states(e)
@@ -233,13 +247,14 @@ def _json_coerce(spark, d):
     fact = "to_json(named_struct('subject', concat('S', event_id), 'predicate', 'p', 'value', cast(event_id AS string), 'quote', CASE WHEN event_id % 4 = 1 THEN '' ELSE 'q' END, 'unit', CASE WHEN event_id % 2 = 0 THEN 'null' ELSE 'INR' END, 'confidence', event_id % 3))"
     shape = f"CASE event_id % 5 WHEN 0 THEN {fact} WHEN 1 THEN concat('[', {fact}, ']') WHEN 2 THEN concat('{{\"results\": [', {fact}, ']}}') WHEN 3 THEN concat('Sure: {{\"facts\": [', {fact}, ',', {fact}, ']}} ') ELSE '{{\"other\": 1}}' END"
     raw = read(spark, d, "events").selectExpr("event_id", f"{shape.replace('{{', '{').replace('}}', '}')} AS raw")
-    facts, issues = jsonio.coerced(raw.where("event_id % 5 != 3"), "raw", "event_id")
+    facts, issues = jsonio.coerced(raw, "raw", "event_id")
     ok = facts.select("event_id", F.lit("fact").alias("kind"), F.concat_ws("|", "subject", "value_raw", F.coalesce("unit_raw", F.lit("-"))).alias("detail"))
     return ok.unionByName(issues.select("event_id", "kind", F.when(F.col("kind") == "incomplete_fact", F.col("detail")).otherwise("").alias("detail")))
 
 
 _JSON_COERCE = """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'unexpected_shape' WHEN event_id % 4 = 1 THEN 'incomplete_fact' ELSE 'fact' END AS kind,
-  CASE WHEN event_id % 5 = 4 THEN '' WHEN event_id % 4 = 1 THEN 'missing quote' ELSE 'S' || event_id || '|' || event_id || '|' || CASE WHEN event_id % 2 = 0 THEN '-' ELSE 'INR' END END AS detail FROM events WHERE event_id % 5 <> 3"""
+  CASE WHEN event_id % 5 = 4 THEN '' WHEN event_id % 4 = 1 THEN 'missing quote' ELSE 'S' || event_id || '|' || event_id || '|' || CASE WHEN event_id % 2 = 0 THEN '-' ELSE 'INR' END END AS detail
+FROM events, range(2) t(copy) WHERE copy = 0 OR event_id % 5 = 3"""
 
 
 def _json_repair(spark, d):
@@ -268,6 +283,60 @@ def _opening(spark, d):
     return layout.opening(p, 3, 400).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
+_OPENING = """WITH p AS (SELECT conv_id AS doc_id, turn AS page_index, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+q AS (SELECT doc_id, page_index, length('[[page ' || page_index || ']]' || chr(10) || trim(text)) AS size FROM p WHERE r <= 3 AND trim(coalesce(text, '')) <> ''),
+u AS (SELECT doc_id, least(size, 400 - coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM q)
+SELECT doc_id, CAST(sum(room) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM u WHERE room > 0 GROUP BY 1"""
+
+
+def _parse_report(spark, d):
+    labelled = F.when((F.col("doc_id") + F.col("page_index")) % 4 != 0, F.col("page_index").cast("string"))
+    return evaluate.parse_report(_pages(spark, d).withColumn("printed_label", labelled))
+
+
+_PARSE_REPORT = """SELECT conv_id AS doc_id, count(*) AS pages, sum(length(coalesce(text, '')))::BIGINT AS chars, count(*) FILTER ((conv_id + turn) % 4 <> 0) AS labelled, count(*) FILTER (length(coalesce(text, '')) < 50) AS near_empty FROM conversations GROUP BY 1"""
+
+
+def _job_updates(spark, d):
+    """Updates of jobs, a job a user and day: status by event type, progress by event, some fields untouched."""
+    return _events(spark, d).selectExpr(
+        "concat(user_id, '/', date(at)) AS job_id", "event_id AS seq", "at", "CASE WHEN event_id % 3 = 0 THEN concat('d_', user_id) END AS doc_id", "event_type AS status",
+        "CASE WHEN event_id % 2 = 0 THEN cast(event_id AS int) END AS done", "100 AS total", "CASE WHEN event_id % 5 = 0 THEN concat('m', event_id) END AS message",
+    )
+
+
+def _job_progress(spark, d):
+    return stateful.job_states(_job_updates(spark, d))
+
+
+_JOB_PROGRESS = """SELECT user_id || '/' || CAST(ts AS DATE) AS job_id, CASE WHEN max(event_id) FILTER (event_id % 3 = 0) IS NOT NULL THEN 'd_' || user_id END AS doc_id, max_by(event_type, event_id) AS status,
+  CAST(max(event_id) FILTER (event_id % 2 = 0) AS INTEGER) AS done, CAST(100 AS INTEGER) AS total, 'm' || max(event_id) FILTER (event_id % 5 = 0) AS message, min(ts) AS created_at, max(ts) AS updated_at
+FROM events GROUP BY user_id, CAST(ts AS DATE)"""
+
+
+def _job_list(spark, d):
+    docs = read(spark, d, "events").selectExpr("concat('d_', user_id) AS doc_id", "concat('report_', user_id, '.pdf') AS filename").distinct()
+    return search.job_list(stateful.job_states(_job_updates(spark, d)), docs, 50).select("job_id", "filename", "status", "created_at")
+
+
+_JOB_LIST = f"""WITH j AS ({_JOB_PROGRESS}) SELECT job_id, 'report_' || substr(doc_id, 3) || '.pdf' AS filename, status, created_at FROM j ORDER BY created_at DESC, job_id LIMIT 50"""
+
+
+def _page_lookup(spark, d):
+    return search.page(_pages(spark, d), 3, 1)
+
+
+_PATHS = ("assets/app.js", "../etc/passwd", "a/../../b", "a/./b//c", "/etc/passwd", "C:\\\\x", "..\\\\..\\\\x", "a/b/../c", "..", "")
+
+
+def _path_guard(spark, d):
+    df = read(spark, d, "pages").select("page_id", F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("page_id") % len(_PATHS) + 1).cast("int")).alias("path"))
+    return df.select("page_id", security.resolved(F.col("path")).alias("resolved"), security.inside(F.col("path")).alias("inside"))
+
+
+_PATH_GUARD = "WITH a AS (SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'assets/app.js' WHEN 3 THEN 'a/b/c' WHEN 7 THEN 'a/c' WHEN 9 THEN '' END AS resolved FROM pages) SELECT *, resolved IS NOT NULL AS inside FROM a"
+
+
 def _tumbling(spark, d):
     return stateful.tumbling(_events(spark, d)).select("start", "event_type", "n", "total")
 
@@ -287,7 +356,7 @@ def _stream_tumbling(spark, d):
     """The tumbling windows as a stream over the table's file, run to its end."""
     schema = read(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).withColumn("at", F.col("ts").cast("timestamp"))
-    return stateful.drained(stateful.tumbling(source), spark, "t_" + next(tempfile._get_candidate_names()), "complete")
+    return stateful.drained(stateful.tumbling(source), fresh_path(spark, "tumbling"), "complete")
 
 
 QUERIES = {
@@ -297,17 +366,22 @@ QUERIES = {
     "chunk_pack": (_chunk_pack, f"WITH RECURSIVE {_CHUNK_CTE} SELECT doc_id, page_index, ordinal FROM packed"),
     "chunk_text": (_chunk_text, _CHUNK_TEXT),
     "ingest_plan": (_ingest_plan, _INGEST_PLAN),
-    "document_opening": (_opening, None),
+    "document_opening": (_opening, _OPENING),
+    "parse_report": (_parse_report, _PARSE_REPORT),
+    "job_progress": (_job_progress, _JOB_PROGRESS),
+    "jobs_list": (_job_list, _JOB_LIST),
+    "page_lookup": (_page_lookup, "SELECT conv_id AS doc_id, turn AS page_index, text FROM conversations WHERE conv_id = 3 AND turn = 1"),
+    "path_guard": (_path_guard, _PATH_GUARD),
     "quote_exact": (_quote_exact, _QUOTE_EXACT),
-    "quote_cascade": (_quote_cascade, None),
+    "quote_cascade": (_quote_cascade, _QUOTE_CASCADE),
     "quote_fuzzy": (_quote_fuzzy, None),
-    "quote_relocate": (_quote_relocate, None),
+    "quote_relocate": (_quote_relocate, _QUOTE_RELOCATE),
     "reverify": (_reverify, _REVERIFY),
     "cascade_delete": (_cascade_delete, _CASCADE_DELETE),
     "upsert_keep_last": (_upsert, _UPSERT),
     "insert_ignore": (_insert, _INSERT),
     "budget_24h": (_budget, _BUDGET),
-    "rate_limit": (_limiter, None),
+    "rate_limit": (_limiter, _LIMITER),
     "breaker_state": (_breaker, None),
     "injection_scan": (_injection, _INJECTION),
     "redact": (_redact, _REDACT),

@@ -7,28 +7,48 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir, else, on one machine only, one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, stored and read again."""
-    path = f"{shared_dir(df.sparkSession)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def once(spark: SparkSession, name: str, make) -> DataFrame:
-    """The table of that name, made and stored at the first call of an application."""
-    key = (spark.sparkContext.applicationId, name)
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Files of a table with their sizes and times: another state, another table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def once(spark: SparkSession, name: str, source: str, make) -> DataFrame:
+    """The table of that name, made from the table `source` and stored at the first call, and again when `source` has changed."""
+    key = (spark.sparkContext.applicationId, name, source, _state(spark, source))
     if key not in _WRITTEN:
-        _WRITTEN[key] = written(make(), name.rsplit("/", 1)[-1])
+        _WRITTEN[key] = written(make(), name)
     return _WRITTEN[key]
+
+
+def forget() -> None:
+    """The next call of `once` makes its table anew."""
+    _WRITTEN.clear()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,65 +46,93 @@ def limited(requests: DataFrame, limit: int = DEFAULT.limiter_per_minute, window
     return ordered.mapInPandas(run, f"client {kind['client']}, request_id {kind['request_id']}, allowed boolean, retry_after int")
 
 
-def limited_stream(requests: DataFrame, limit: int = DEFAULT.limiter_per_minute, window: float = 60.0) -> DataFrame:
-    """The limiter on a stream of (client string, request_id long, at double): a client's state lives for a window after its last request."""
+def limited_stream(requests: DataFrame, limit: int = DEFAULT.limiter_per_minute, window: float = 60.0, late: str = "10 seconds") -> DataFrame:
+    """The limiter on a stream of (client string, request_id long, at timestamp).
+
+    Event time drives it: a client's state holds the window's hits and goes when the watermark has passed them, so a stream that is
+    run to the end of its input ends, whatever the clock says.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         hits: list[float] = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values(["at", "request_id"])
-            out = []
-            for at in frame["at"]:
-                ok, wait, hits = allow(hits, at, limit, window)
-                out.append((ok, wait))
-            yield pd.DataFrame({"client": key[0], "request_id": frame["request_id"].to_numpy(), "allowed": [x[0] for x in out], "retry_after": [x[1] for x in out]})
+        every = pd.concat(list(frames)).sort_values(["at", "request_id"])  # one client's requests of one micro-batch
+        out, last = [], 0.0
+        for at in every["at"]:
+            last = at.value / 1e9
+            ok, wait, hits = allow(hits, last, limit, window)
+            out.append((ok, wait))
+        yield pd.DataFrame({"client": key[0], "request_id": every["request_id"].to_numpy(), "allowed": [x[0] for x in out], "retry_after": [x[1] for x in out]})
         state.update((hits,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((last + window) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client string, request_id long, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark("at", late)
+    return timed.groupBy("client").applyInPandasWithState(step, "client string, request_id long, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker_states(calls: DataFrame, keys: int = DEFAULT.breaker_keys, seconds: float = DEFAULT.breaker_seconds) -> DataFrame:
     """Calls (model, call_id, key, refused, at) with `skipped` and `open`, replayed by model (ST4).
 
-    A model is skipped for `seconds` after `keys` different keys were refused; a success clears it.
+    A model is skipped for `seconds` after `keys` different keys were refused; a success clears it. A model's calls are cut where the
+    state is known to be blank: a success that comes at least `seconds` after the call before it finds nothing open and leaves
+    nothing refused. The stretches between are replayed apart; only finding the cuts reads a model's calls in one order.
     """
+    own = W.partitionBy("model").orderBy("at", "call_id")
+    blank = ~F.col("refused") & (F.col("at") - F.lag("at").over(own) >= seconds)
+    timed = calls.select("model", "call_id", "key", "refused", F.col("at").cast("double").alias("at"))
+    # A blank call itself is neither skipped nor opens anything: it begins the stretch behind it.
+    cut = timed.withColumn("stretch", F.sum(F.coalesce(blank, F.lit(False)).cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, refused, until = None, set(), float("-inf")
+        place, state = None, Breaker(keys, seconds)
         for frame in frames:
             out = []
-            for m, key, bad, at in zip(frame["model"], frame["key"], frame["refused"], frame["at"]):
-                if m != model:
-                    model, refused, until = m, set(), float("-inf")
-                skip = at < until
+            for here, key, bad, at in zip(zip(frame["model"], frame["stretch"]), frame["key"], frame["refused"], frame["at"]):
+                if here != place:
+                    place, state = here, Breaker(keys, seconds)
+                skip = not state.available(at)
                 if not skip:
-                    if until != float("-inf"):
-                        refused, until = set(), float("-inf")
-                    if bad:
-                        refused = refused | {key}
-                        until = at + seconds if len(refused) >= keys else until
-                    else:
-                        refused = set()
-                out.append((skip, at < until))
+                    state.refused(key, at) if bad else state.succeeded()
+                out.append((skip, not state.available(at)))
             frame["skipped"], frame["open"] = [x[0] for x in out], [x[1] for x in out]
             yield frame[["model", "call_id", "skipped", "open"]]
 
     kind = dict(calls.dtypes)
-    ordered = calls.select("model", "call_id", "key", "refused", F.col("at").cast("double").alias("at")).repartition("model").sortWithinPartitions("model", "at", "call_id")
+    ordered = cut.repartition("model", "stretch").sortWithinPartitions("model", "stretch", "at", "call_id")
     return ordered.mapInPandas(run, f"model {kind['model']}, call_id {kind['call_id']}, skipped boolean, open boolean")
 
 
+class Breaker:
+    """One model's quota: open for a while once enough different keys were refused."""
+
+    def __init__(self, keys: int = DEFAULT.breaker_keys, seconds: float = DEFAULT.breaker_seconds):
+        self.keys, self.seconds = keys, seconds
+        self.turned_away: set = set()
+        self.until = float("-inf")
+
+    def available(self, now: float) -> bool:
+        return now >= self.until
+
+    def refused(self, key, now: float) -> None:
+        if self.until != float("-inf") and now >= self.until:  # what opened it has lapsed
+            self.turned_away, self.until = set(), float("-inf")
+        self.turned_away.add(key)
+        if len(self.turned_away) >= self.keys:
+            self.until = now + self.seconds
+
+    def succeeded(self) -> None:
+        self.turned_away, self.until = set(), float("-inf")
+
+
 class KeyPool:
-    """Keys with a sliding minute each, cool-down and disabling; the client's own state, on the driver (ST3)."""
+    """Keys with a sliding minute each, cool-down and disabling; the client's own state, on the driver (ST3). Repeated keys count once."""
 
     def __init__(self, keys: list[str], rpm: int = DEFAULT.rpm_per_key, cooldown: float = DEFAULT.cooldown_seconds):
-        self.keys, self.rpm, self.cooldown = list(keys), rpm, cooldown
-        self.hits: dict[str, list[float]] = {k: [] for k in keys}
-        self.free_at: dict[str, float] = dict.fromkeys(keys, 0.0)
+        self.keys, self.rpm, self.cooldown = list(dict.fromkeys(keys)), rpm, cooldown
+        self.hits: dict[str, list[float]] = {k: [] for k in self.keys}
+        self.free_at: dict[str, float] = dict.fromkeys(self.keys, 0.0)
         self.turn = 0
 
     def acquire(self, now: float) -> tuple[str | None, float]:
@@ -125,7 +153,9 @@ class KeyPool:
         return best[3], 0.0
 
     def refused(self, key: str, now: float, retry_after: float | None = None) -> None:
-        self.free_at[key] = now + (retry_after or self.cooldown)
+        """The key rests until the later of what was known and this; its minute is used up. A disabled key stays disabled."""
+        self.free_at[key] = max(self.free_at[key], now + (retry_after if retry_after and retry_after > 0 else self.cooldown))
+        self.hits[key] += [now] * (self.rpm - len(self.hits[key]))
 
     def disable(self, key: str) -> None:
         self.free_at[key] = float("inf")
@@ -158,13 +188,30 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return df.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
-    """Run a streaming query over what is there, to its end, and return its rows."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a streaming query over what is there, to its end, into Parquet below `path`, and read its rows.
+
+    In `complete` mode each batch replaces the one before; otherwise batches add to each other, each written under its number.
+    """
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/rows").select(*schema.names)
 
 
-def ingest(stream: DataFrame, write, checkpoint: str):
+def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Process a stream of documents batch by batch: write(batch, batch_id) sees the batch's documents; the store is what was written before (ST1)."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def job_states(updates: DataFrame) -> DataFrame:
+    """(job_id, doc_id, status, done, total, message, created_at, updated_at): jobs as their updates leave them (ST7).
+
+    An update (job_id, seq, at, and any of the other fields, null where untouched) changes what it names: the last value of each
+    field that is not null stands. On a stream of updates the same aggregation runs in `complete` mode.
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return updates.groupBy("job_id").agg(*[last(c) for c in ("doc_id", "status", "done", "total", "message")], F.min("at").alias("created_at"), F.max("at").alias("updated_at"))

@@ -1,5 +1,7 @@
 """Operators over rows: pairs, verdicts, evidence, chunks, layout, store, state."""
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,7 +50,7 @@ def test_validation(spark):
 
 def test_model_judge(spark):
     df = analysed(spark, fact("a"), fact("b", "B", num=85.0))
-    said = judge.judge_with(df, lambda payloads: [{"relation": "CONTRADICTS", "dimension": "odd", "confidence": "7"} for _ in payloads])
+    said = judge.judge_with(df, lambda payloads, escalated: json.dumps({"results": [{"relation": "CONTRADICTS", "dimension": "odd", "confidence": "7"} for _ in payloads]}))
     r = judge.validated(judge.whitelist(said)).first()
     assert (r["relation"], r["dimension"], r["confidence"], r["decided_by"]) == ("contradicts", "none", 1.0, "llm")
 
