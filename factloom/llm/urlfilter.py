@@ -7,10 +7,14 @@ when rules of one kind decide most of its pages, or, where it has none and is on
 then counts as one page. Both run at once over one table of host edges, (kind, src, dst, share), until the summed change of
 either kind, whose scores sum to at most one, is SETTLED or less, or ROUNDS have passed, and in any case until no host is reached
 for the first time; so neither the number of hosts nor their distance decides who gets a score.
-A host is blocked when its distrust exceeds THRESHOLD times its trust.
+A host is blocked when its distrust exceeds THRESHOLD times its trust. Mass that reaches a host without edges ends there.
 
-Edges and scores are aggregated by host before and after each join, so a hub costs one row a task; verdicts are joined with
-the pages such that hosts with a thousandth of all pages or more are broadcast (at most a thousand of them).
+Edges are links to another host (href, src, action and cite, a page's base included, absolute or without a scheme), and in both
+directions that of a host with its direct parent (m.example.org and example.org) where the parent has pages or is linked to. A table
+whose links are all relative has no other edges; its seeds alone score then.
+
+Edges and scores are aggregated by host before each join, and the joins along edges split hosts with very many of them: a thousandth of
+all edges or more, at most a thousand hosts a kind, whose scores are broadcast. Verdicts are joined with the pages in the same way.
 
 A null url, or one without "://", has an empty host and path, no rule, and the method's verdict for the empty host: allow.
 A null html has no links. Repeated rows stay; an empty table gives an empty result; extra columns are ignored.
@@ -31,8 +35,10 @@ DAMPING = 0.85
 ROUNDS = 30
 SETTLED = 1e-6
 THRESHOLD = 1.0
+#: Weight of the edge between a host and its parent, in links.
+KINSHIP = 1
 #: Hosts of absolute and of scheme-less links.
-_LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)\b(?:href|src|action|cite)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,18 +63,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.withColumn("dst", ascii_lower(F.col("dst"))).where("src != dst AND src != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def with_parents(edges: DataFrame, hosts: DataFrame) -> DataFrame:
+    """`edges` and those between a host and its direct parent, both of which have pages (hosts) or are linked to."""
+    known = table(hosts.select("host").union(edges.select("dst")).where("host != ''").distinct(), "url-known")
+    parent = F.regexp_replace("host", r"^[^.]*\.", "")
+    kin = known.select("host", parent.alias("parent")).where(F.contains("parent", F.lit("."))).join(known.select(F.col("host").alias("parent")), "parent").where("host != parent")
+    n = F.lit(KINSHIP).cast("long").alias("n")
+    every = edges.unionByName(kin.select(F.col("host").alias("src"), F.col("parent").alias("dst"), n)).unionByName(kin.select(F.col("parent").alias("src"), F.col("host").alias("dst"), n))
+    return every.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, host, score) from seeds (kind, host, mass) over edges (src, dst, n); trust runs along links, distrust against them."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
-    out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    both = table(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "url-edges")
+    # One key of kind and host, so that hosts with very many edges can be split from the rest.
+    key = lambda host: F.concat("kind", F.lit("|"), host).alias("key")
+    both = table(both.select("kind", key("src"), "dst", "n"), "url-both")
+    out = table(both.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("group_size")), "url-out")
+    n_edges = both.count()
+    along = lambda rows, right: join_skewed(rows, right, "key", out.select("key", "group_size"), n_edges)
+    both = table(along(both, out.select("key", "all")).select("kind", "key", "dst", (F.col("n") / F.col("all")).alias("share")), "url-edges")
     totals = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     seeds = table(seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("seed")), "url-seeds")
     if both.isEmpty():  # nothing is carried anywhere
         return seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("score"))
     scores = seeds.withColumnRenamed("seed", "score")
     for done in itertools.count(1):
-        carried = both.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("share") * F.col("score")).alias("new"), F.lit(0.0).alias("old"))
+        carried = along(both, scores.select(key("host"), "score")).where("score IS NOT NULL")
+        carried = carried.select("kind", F.col("dst").alias("host"), (DAMPING * F.col("share") * F.col("score")).alias("new"), F.lit(0.0).alias("old"))
         given = seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("new"), F.lit(0.0).alias("old"))
         before = scores.select("kind", "host", F.lit(0.0).alias("new"), F.col("score").alias("old"))
         summed = carried.unionByName(given).unionByName(before).groupBy("kind", "host").agg(F.sum("new").alias("score"), F.sum("old").alias("old"))
@@ -85,14 +107,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    split = table(split.select("*", name.alias("rule"), verdict.alias("ruling")), "url-pages")
+    split = table(split.select("*", name.alias("rule"), verdict.alias("ruling")), "url-pages", scan=True)
     hosts = table(split.groupBy("host").agg(F.count("*").alias("group_size"), F.count_if(F.col("ruling") == "allow").alias("allowed"), F.count_if(F.col("ruling") == "block").alias("blocked")), "url-hosts")
     # A seed is a host most of whose pages a rule decides one way; its mass is their number.
     seeds = hosts.where("2 * allowed > group_size").select(F.lit("trust").alias("kind"), "host", F.col("allowed").cast("double").alias("mass"))
     seeds = seeds.union(hosts.where("2 * blocked > group_size").select(F.lit("distrust"), "host", F.col("blocked").cast("double")))
-    edges = table(host_edges(pages), "url-links")
+    links = table(host_edges(pages), "url-links")
+    edges = table(with_parents(links, hosts), "url-all-links")
     # A rule that fits the path "/" covers the whole host.
-    covered = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").select("host", ruled(F.col("host"), F.lit("/"), rules)[1].alias("ruling"))
+    covered = links.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").select("host", ruled(F.col("host"), F.lit("/"), rules)[1].alias("ruling"))
     seeds = seeds.union(covered.where("ruling IS NOT NULL").select(F.when(F.col("ruling") == "allow", "trust").otherwise("distrust"), "host", F.lit(1.0)))
     scores = propagate(seeds, edges)
     flat = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
