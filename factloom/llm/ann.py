@@ -212,7 +212,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0
     """(query_id, rank, vec_id, score): each query's k nearest."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
-    good = table(good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")), "ann-vectors")
+    good = table(good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")), "ann-vectors", scan=True)
     n = good.count()
     shards = max(1, -(-n // shard), min(vectors.sparkSession.sparkContext.defaultParallelism, n // least))
     asked = good.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min("v").alias("v"))

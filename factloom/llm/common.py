@@ -34,14 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+#: Files of a written intermediate result, for each core that the session has.
+FILES_PER_CORE = 4
+
+
+def table(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back, which cuts its lineage for good.
 
-    A lost executor costs a re-read of the files, never a recomputation, and readers prune columns.
+    A lost executor costs a re-read of the files, never a recomputation, and readers prune columns. What comes out of a shuffle goes
+    to FILES_PER_CORE files a core at most, since many small files cost more than they bring; `scan` keeps the parts of what is read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if scan else df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +79,11 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     return hot.unionByName(rest)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table with the hint to broadcast it if it is small; past the bound the same join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import BROADCAST_ROWS, join_skewed, stretches, table
+from factloom.llm.common import BROADCAST_ROWS, bounded, join_skewed, stretches, table
 from factloom.llm.words import hasher, mix, text_of
 
 UNIVERSE = 1 << 21
@@ -278,8 +278,7 @@ def _verified(words: int):
 def verify(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Links (a, b) inside each key of `wanted` (key, node, label, doc_id, fp), confirmed on the full sets of the texts of `docs`."""
     wanted = table(wanted.select("key", "node", "label", F.col("doc_id").alias("own_id"), F.col("fp").alias("own_fp")), "nd-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = _marked(docs).join(F.broadcast(wanted) if few else wanted, F.col("fp").eqNullSafe(F.col("own_fp")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    texts = _marked(docs).join(bounded(wanted), F.col("fp").eqNullSafe(F.col("own_fp")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     grouped = texts.select("key", "node", "label", "text").repartition("key").sortWithinPartitions("key")
     return table(grouped.mapInArrow(_verified(words), "a long, b long"), "nd-confirmed")
 
@@ -291,8 +290,7 @@ def confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, words: int
     big = table(sizes.where(F.col("size") > chunk).select("cluster", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")), "nd-big")
     if big.isEmpty():
         return verify(members.select(F.col("cluster").alias("key"), "node", F.col("node").alias("label"), "doc_id", "fp"), docs, words)
-    few = big.count() <= BROADCAST_ROWS
-    members = members.join(F.broadcast(big) if few else big, "cluster", "left").withColumn("at", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
+    members = members.join(bounded(big), "cluster", "left").withColumn("at", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     members = table(members, "nd-chunks")
     links = verify(members.select(F.xxhash64("cluster", "at").alias("key"), "node", F.col("node").alias("label"), "doc_id", "fp"), docs, words)
 
@@ -334,10 +332,10 @@ def clustered(members: DataFrame, sides: DataFrame) -> DataFrame:
 
     # Buckets that still hold more than one cluster.
     placed = table(members.join(labels, "node", "left").select("band", "node", "m", F.coalesce("label", "node").alias("label")), "nd-placed")
-    main = placed.groupBy("band").agg(F.min("label").alias("main"), F.max("label").alias("other")).where("main != other").select("band", "main")
-    mixed = table(placed.join(main, "band"), "nd-mixed")
-    outer = mixed.groupBy("band").agg(F.count_if(F.col("label") != F.col("main")).alias("m_outer"))
-    inside = mixed.join(outer, "band").join(sides, "node")
+    main = table(placed.groupBy("band").agg(F.min("label").alias("main"), F.max("label").alias("other")).where("main != other").select("band", "main"), "nd-main-label")
+    mixed = table(placed.join(bounded(main), "band"), "nd-mixed")
+    outer = table(mixed.groupBy("band").agg(F.count_if(F.col("label") != F.col("main")).alias("m_outer")), "nd-outer")
+    inside = mixed.join(bounded(outer), "band").join(sides, "node")
     # Up to two blocks of members are compared at once. Larger buckets: blocks of those outside the main cluster,
     # each against blocks of all members.
     small = F.col("m") <= 2 * BLOCK
@@ -355,13 +353,14 @@ def clustered(members: DataFrame, sides: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame, words: int, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id, chosen_id, chosen_fp): for each row the smallest doc_id of its component and the row that stands for it."""
-    every = table(described(docs, words), "nd-docs")
+    every = table(described(docs, words), "nd-docs", scan=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "fp")).alias("first")
     nodes = every.where("n > 0").groupBy("d").agg(first, F.count("*").alias("group_size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nd-nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    members = table(banded.join(buckets, "band"), "nd-members")
+    buckets = table(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1"), "nd-buckets")
+    total = buckets.agg(F.sum("m")).first()[0] or 0
+    members = table(join_skewed(banded, buckets, "band", buckets.select("band", F.col("m").alias("group_size")), total).where("m IS NOT NULL"), "nd-members")
     clusters = clustered(members, nodes.select("node", "n", "sketch"))
     links = confirmed(clusters, nodes.select("node", "n", "first"), docs, words, chunk)
 
@@ -390,9 +389,8 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     found = table(labelled(docs, words).where("n_shingles > 0").select("doc_id", "fp", (F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("fp") == F.col("chosen_fp"))).alias("stays")), "nd-found")
     gone = table(found.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct(), "nd-gone")
     twice = table(found.where("stays").groupBy("doc_id", "fp").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("fp").alias("twice_fp")), "nd-twice")
-    few = gone.count() <= BROADCAST_ROWS
     own_fp = F.xxhash64("text")
-    rest = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (own_fp == F.col("gone_fp")), "left_anti")
+    rest = docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (own_fp == F.col("gone_fp")), "left_anti")
     if twice.isEmpty():
         return rest
     same = F.col("doc_id").eqNullSafe(F.col("twice_id")) & (own_fp == F.col("twice_fp"))

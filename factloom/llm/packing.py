@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     cut = pieces(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), window, end_id)
     # The part and the place in it are stored with the rows: read again, they are the same whatever fails.
     # monotonically_increasing_id is the part's number times 2^33 plus the place.
-    cut = table(cut.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33).cast("int")), "pack-pieces")
+    cut = table(cut.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33).cast("int")), "pack-pieces", scan=True)
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = table(counts, "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows

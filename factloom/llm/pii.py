@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_ROWS, join_skewed, listed, masked, spans_of, table, with_matches
+from factloom.llm.common import BROADCAST_ROWS, bounded, join_skewed, listed, masked, spans_of, table, with_matches
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed. Possessive, so that long runs stay linear.
 PATTERNS = {
@@ -135,12 +135,10 @@ def _own(left: str, right: str) -> Column:
 
 def occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
     """(doc_id, fp, term): for texts of docs (doc_id, fp, text) with telling terms, the spans of all of them."""
-    few = telling.count() <= BROADCAST_ROWS
-    mark = F.broadcast(telling) if few else telling
+    mark = bounded(telling)
     # First which texts have any, then the places of those alone.
     holders = table(_words(docs, "doc_id", "fp").join(mark, "term", "left_semi").select("doc_id", "fp").distinct(), "pii-holders")
-    some = holders.count() <= BROADCAST_ROWS
-    texts = docs.alias("a").join((F.broadcast(holders) if some else holders).alias("b"), _own("a", "b"), "left_semi").dropDuplicates(["doc_id", "fp"])
+    texts = docs.alias("a").join(bounded(holders).alias("b"), _own("a", "b"), "left_semi").dropDuplicates(["doc_id", "fp"])
     spans = with_matches(texts, "text", {"term": _WORD}).withColumn("words", spans_of("term", len(PATTERNS)))
     words = spans.select("doc_id", "fp", F.explode("words").alias("w")).select("doc_id", "fp", "w.s", "w.e", F.lower("w.m").alias("term"))
     span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), F.lit("term").alias("k"), "e", F.when(F.col("degree") >= REMOVE, "remove").otherwise("generalise").alias("m"))
@@ -155,7 +153,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
     found = base_spans(rows, "doc_id", "fp").withColumn("sides", _sides(F.col("__text")))
-    base = table(found.select("doc_id", "fp", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "sides"), "pii-base")
+    base = table(found.select("doc_id", "fp", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "sides"), "pii-base", scan=True)
     degrees = disclosures(docs, table(contexts(base), "pii-contexts"))
     telling = table(degrees.groupBy("term").agg(F.max("degree").alias("degree")), "pii-telling")
     by_text = table(occurrences(rows, telling), "pii-terms-by-text")
