@@ -172,6 +172,31 @@ def test_exact(docs, empty, bits):
     assert exact_dedup.exact_groups(empty, bits).count() == 0
 
 
+def test_exact_repeated_ids(spark):
+    """One id on two texts, copies with and without an id, equal rows: of each text one row stays."""
+    rows = [(3, "b b"), (7, "a a"), (7, "b b"), (7, "a a"), (None, "c"), (None, "c"), (None, "d"), (9, "c"), (9, "a  a"), (4, None), (5, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = [(r["doc_id"], r["text"]) for r in exact_dedup.keep_first(df).collect()]
+    assert sorted(left, key=str) == sorted([(3, "b b"), (9, "a  a"), (None, "c"), (None, "d"), (5, " ")], key=str)
+
+
+def test_exact_index(spark):
+    """Filters lack no digest and turn most absent ones away; merging looks at hits only, whatever the number of memtables."""
+    from pyspark.sql import functions as F
+
+    text = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    older, newer = (exact_dedup.flush(exact_dedup.written_log(t), "digest") for t in (text(0, 4000), text(3900, 8000)))
+    asked = exact_dedup.maybe_in(newer, exact_dedup.filter_of(older))
+    n = asked.where("maybe").count()
+    assert 100 <= n < 100 + 0.1 * 4000, "most look-ups are skipped"
+    assert asked.where("NOT maybe").join(older, "digest", "left_semi").isEmpty()
+    index = exact_dedup.merged(older, newer)
+    assert index.count() == 8000 and index.where("group_size = 2").count() == 100
+    docs = text(0, 300).union(text(100, 250)).union(text(200, 220)).repartition(7)
+    sizes = [sorted((r["doc_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs, memtables=k).collect()) for k in (1, 2, 3, 5)]
+    assert all(s == sizes[0] for s in sizes) and sizes[0][210] is not None and Counter(g for _, g in sizes[0]) == {1: 150, 2: 260, 3: 60}
+
+
 def test_language(docs, empty):
     learned = langid.train(docs.where(~langid.held_out()))
     assert learned.languages == ["en", "fr"]
@@ -464,6 +489,26 @@ def test_urls_seed_from_hosts_only_linked_to(spark):
     assert got[2]["distrust"] > got[3]["distrust"] > 0 and got[4]["distrust"] == 0
 
 
+def test_urls_of_kin_and_hubs(spark):
+    """A host and its direct parent share what is known of either; a hub with very many edges gives what plain sums give."""
+    rows = [(1, "x://ads.evil.example/a", '<img src="//spam.net/x.gif">'), (2, "x://evil.example/", None), (3, "x://example.org/", None), (4, "x://good.example/", None)]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i]["verdict"] for i in (1, 2, 3, 4)] == ["block", "block", "allow", "allow"]
+    edges = [("hub", f"h{i}", 1 + i % 3) for i in range(3000)] + [(f"h{i}", "hub", 1) for i in range(0, 3000, 2)] + [("h1", "h2", 5)]
+    seeds = spark.createDataFrame([("trust", "hub", 1.0), ("distrust", "h2", 1.0)], "kind string, host string, mass double")
+    got = {(r["kind"], r["host"]): r["score"] for r in urlfilter.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, n long"), 3).collect()}
+    for kind, seed, flow in (("trust", "hub", edges), ("distrust", "h2", [(b, a, n) for a, b, n in edges])):
+        total, score = Counter(), {seed: 1.0}
+        for a, _, n in flow:
+            total[a] += n
+        for _ in range(3):
+            new = defaultdict(float, {seed: 0.15})
+            for a, b, n in flow:
+                new[b] += 0.85 * score.get(a, 0.0) * n / total[a]
+            score = new
+        assert all(abs(got.get((kind, host), 0.0) - x) < 1e-9 for host, x in score.items())
+
+
 def test_propagation_reaches_all_whatever_the_size(spark):
     """So many seeds that each score is below SETTLED; and a chain of more links than rounds."""
     from pyspark.sql import functions as F
