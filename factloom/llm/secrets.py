@@ -3,12 +3,17 @@
 Base kinds are regular expressions: assign (a named credential with its value), access (a cloud access key), hex (a long
 run of hexadecimal digits). The battery adds `random`: unbroken tokens of at least MIN_LENGTH characters with letters and
 digits whose characters look uniformly drawn. For each token the encoding is inferred (hex, base32, base36, base62,
-base64, or the letters of both base64 forms, which every token meets), and three tests against a uniform source over that alphabet give p-values: chi-squared over eight equal bins
-of the alphabet, the number of runs above and below its middle, and the lag-one serial correlation. The token's p is
-three times the least of them. Natural tokens fail (small p). A Benjamini-Hochberg step over all tokens of the
-whole table, one for each length class because longer tokens have more power, decides which are declared natural at
-false-discovery rate FDR; what is not declared natural is kept as a secret. It needs one small histogram (length class by
-p-bin, bounded by their numbers), gathered in a first pass; the second pass is map-only and shuffles nothing.
+base64, or the letters of both base64 forms, which every token meets), and three tests ask whether it may come from a uniform source over
+that alphabet: chi-squared over eight stretches of the alphabet, each with its own probability, the number of runs above and below
+the middle, and the lag-one serial correlation. A token that fails them together at UNIFORM is no secret.
+
+What passes may still be natural, the more easily the shorter it is. So each token is also held against written language: letters with
+the frequencies of LETTERS, digits, capitals and signs in fixed shares. For n such characters the chi-squared statistic is
+noncentral, its noncentrality n times how far those frequencies are from uniform in that alphabet; how small the token's own
+statistic is under that law is its p. A Benjamini-Hochberg step over all tokens of the whole table, one for each length class because
+longer tokens have more power, rejects language at false-discovery rate FDR: at most that share of the reported tokens is expected to
+be natural. It needs one small histogram (length class by p-bin, bounded by their numbers), gathered from the texts with a token
+in a first pass; the second pass is map-only and shuffles nothing.
 
 Null text is empty and has no spans; repeated rows stay; an empty table gives an empty result; extra columns are ignored.
 """
@@ -31,6 +36,8 @@ _ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 MIN_VALUE = 6
 MIN_LENGTH = 20
 FDR = 0.05
+#: Tokens that a uniform source would give more rarely than this are not uniform.
+UNIFORM = 0.01
 #: Length classes of the false-discovery step: a token's class is the number of these that it reaches.
 CLASSES = (24, 32, 40, 48, 64, 96, 128)
 _P_BINS = 160  # tenths of -log10(p)
@@ -49,6 +56,34 @@ _ENCODINGS = (
 )
 
 
+# Per cent of each letter in English text, a to z, and the shares of other characters in identifiers.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+_DIGITS, _CAPITALS, _SIGNS = 0.12, 0.1, 0.05
+_CELLS = 8
+
+
+def _cells(letters: str) -> list[int]:
+    """The stretch of the alphabet in which each of its characters lies."""
+    return [int((i + 0.5) / len(letters) * _CELLS) for i in range(len(letters))]
+
+
+def _shares(letters: str) -> tuple[list[float], float]:
+    """The uniform probability of each stretch, and how far written language is from it, per character."""
+
+    def natural(c: str) -> float:
+        if c.isdigit():
+            return _DIGITS / 10
+        if not c.isalpha():
+            return _SIGNS / 4
+        own = LETTERS[ord(c.lower()) - 97] / sum(LETTERS)
+        return own * (_CAPITALS if c.isupper() and any(x.islower() for x in letters) else 1.0 - _CAPITALS)
+
+    cells, weights = _cells(letters), [natural(c) for c in letters]
+    uniform = [cells.count(b) / len(letters) for b in range(_CELLS)]
+    said = [sum(w for w, c in zip(weights, cells) if c == b) / sum(weights) for b in range(_CELLS)]
+    return uniform, sum((f - u) ** 2 / u for f, u in zip(said, uniform))
+
+
 def _let(value: Column, body) -> Column:
     """`body` of `value`, which is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -60,36 +95,46 @@ def _upper_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """p of the battery for one token: three times the least p of the three tests, at most 1; 1 below eight characters."""
-    alphabet = F.lit("")
+    """struct(uniform, natural) for one token: p of the three tests together under a uniform source, and p under written language.
+
+    Below eight characters of the alphabet there is nothing to test: both are 1. A token that is not uniform has natural 1.
+    """
+    known = None
     for pattern, letters in reversed(_ENCODINGS):
-        alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    # Places in the alphabet, scaled to (0, 1); padding has none.
-    places = _let(
-        alphabet,
-        lambda a: F.transform(F.filter(F.split(token, ""), lambda c: (c != "") & (F.instr(a, c) > 0)), lambda c: (F.instr(a, c) - 0.5) / F.length(a)),
-    )
-
-    def tests(u: Column) -> Column:
+        uniform, apart = _shares(letters)
+        one = F.struct(F.lit(letters).alias("letters"), F.array(*[F.lit(x) for x in uniform]).alias("shares"), F.lit(apart).alias("apart"))
+        known = one if known is None else F.when(token.rlike(pattern), one).otherwise(known)
+
+    def tested(a: Column) -> Column:
+        # Places in the alphabet, scaled to (0, 1); padding has none.
+        places = F.transform(F.filter(F.split(token, ""), lambda c: (c != "") & (F.instr(a["letters"], c) > 0)), lambda c: (F.instr(a["letters"], c) - 0.5) / F.length(a["letters"]))
+        return _let(places, lambda u: F.when(F.size(u) >= 8, statistics(u, a)).otherwise(F.struct(F.lit(1.0).alias("uniform"), F.lit(1.0).alias("natural"))))
+
+    def statistics(u: Column, a: Column) -> Column:
         n = F.size(u).cast("double")
         steps = lambda f: F.transform(F.sequence(F.lit(1), F.size(u) - 1), f)
-        cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter(u, lambda q: F.floor(q * 8) == b)))
-        chi = F.aggregate(cells, F.lit(0.0), lambda s, c: s + (c - n / 8) * (c - n / 8) / (n / 8))
-        runs = 1 + F.aggregate(steps(lambda i: ((F.get(u, i) >= 0.5) != (F.get(u, i - 1) >= 0.5)).cast("double")), F.lit(0.0), lambda s, x: s + x)
-        lag = F.aggregate(steps(lambda i: (F.get(u, i) - 0.5) * (F.get(u, i - 1) - 0.5)), F.lit(0.0), lambda s, x: s + x)
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+        cells = F.transform(a["shares"], lambda share, b: (F.size(F.filter(u, lambda q: F.floor(q * _CELLS) == b)) - n * share) * (F.size(F.filter(u, lambda q: F.floor(q * _CELLS) == b)) - n * share) / (n * share))
+        runs = 1 + total(steps(lambda i: ((F.get(u, i) >= 0.5) != (F.get(u, i - 1) >= 0.5)).cast("double")))
+        lag = total(steps(lambda i: (F.get(u, i) - 0.5) * (F.get(u, i - 1) - 0.5)))
         above = F.size(F.filter(u, lambda q: q >= 0.5)).cast("double")
-        return _let(F.struct(chi.alias("chi"), runs.alias("runs"), lag.alias("lag"), (2 * above * (n - above) / n + 1).alias("mean")), lambda x: combined(n, x))
+        return _let(F.struct(total(cells).alias("chi"), runs.alias("runs"), lag.alias("lag"), (2 * above * (n - above) / n + 1).alias("mean")), lambda x: judged(n, x, a))
 
-    def combined(n: Column, x: Column) -> Column:
+    def judged(n: Column, x: Column, a: Column) -> Column:
         # Wilson-Hilferty for chi-squared with 7 degrees; the normal approximation for runs; the product of two
-        # independent uniform deviations has variance 1/144.
+        # independent uniform deviations has variance 1/144. The least of three, each taken for independent.
         p_chi = _upper_tail((F.pow(x["chi"] / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / (2 / 63) ** 0.5)
         spread = (x["mean"] - 1) * (x["mean"] - 2) / (n - 1)
         p_runs = F.when(spread > 0, 2 * _upper_tail(F.abs(x["runs"] - x["mean"]) / F.sqrt(spread))).otherwise(F.lit(0.0))
         p_lag = 2 * _upper_tail(F.abs(x["lag"]) * 12 / F.sqrt(n - 1))
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_lag))
+        uniform = 1 - F.pow(1 - F.least(F.lit(1.0), p_chi, p_runs, p_lag), F.lit(3.0))
+        # Noncentral chi-squared by Patnaik's central one with (7 + l)^2 / (7 + 2 l) degrees; Wilson-Hilferty again for its lower tail.
+        l = n * a["apart"]  # noqa: E741
+        rest = 2 * (7 + 2 * l) / (9 * (7 + l) * (7 + l))
+        natural = _upper_tail((1 - rest - F.pow(x["chi"] / (7 + l), F.lit(1 / 3))) / F.sqrt(rest))
+        return F.struct(uniform.alias("uniform"), F.when(uniform < UNIFORM, 1.0).otherwise(natural).alias("natural"))
 
-    return _let(places, lambda u: F.when(F.size(u) >= 8, tests(u)).otherwise(F.lit(1.0)))
+    return _let(known, tested)
 
 
 def _class(length: Column) -> Column:
@@ -102,7 +147,7 @@ def _bin(p: Column) -> Column:
 
 
 def thresholds(histogram: list[tuple[int, int, int]], rate: float = FDR) -> dict[int, int]:
-    """From (class, bin, count): the least bin of each class whose tokens Benjamini-Hochberg declares natural.
+    """From (class, bin, count): the least bin of each class for whose tokens Benjamini-Hochberg rejects written language.
 
     A bin's upper edge stands for every p in it, which is conservative. No bin qualifies: _P_BINS + 1.
     """
@@ -134,12 +179,13 @@ def _prepared(docs: DataFrame, *keep: str) -> DataFrame:
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep`, then __text, assign, access, hex, random, base and all: arrays of struct(s, o, k, e, m)."""
-    tokens = _prepared(docs).select(F.explode("__tokens.m").alias("t")).withColumn("p", battery(F.col("t")))
+    # Few texts have a token: the first pass looks for one and takes only those texts apart.
+    tokens = _prepared(docs.where(F.col("text").rlike(_TOKEN))).select(F.explode("__tokens.m").alias("t")).withColumn("p", battery(F.col("t"))["natural"])
     histogram = tokens.groupBy(_class(F.length("t")).alias("c"), _bin(F.col("p")).alias("b")).agg(F.count("*").alias("n"))
     limits = thresholds([tuple(r) for r in histogram.collect()])  # at most (len(CLASSES) + 1) x (_P_BINS + 1) rows
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
     # Tokens of a row are judged in the row itself: no explode, no shuffle, no key.
-    kept = F.filter("__tokens", lambda x: _bin(battery(x["m"])) < F.element_at(limit, _class(F.length(x["m"]))))
+    kept = F.filter("__tokens", lambda x: _bin(battery(x["m"])["natural"]) >= F.element_at(limit, _class(F.length(x["m"]))))
     df = _prepared(docs, *keep).withColumn("random", F.when(F.size("__tokens") > 0, kept).otherwise(F.col("__tokens")))
     return df.withColumn("all", F.array_sort(F.concat("base", "random"))).drop("__tokens")
 
