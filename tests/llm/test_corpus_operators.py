@@ -83,6 +83,70 @@ def test_secrets_mixed_alphabet(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {**{i: f"see {t} there" for i, t in enumerate(paths)}, 4: "see [random] there"}
 
 
+def by_hand(token):
+    """The battery in plain Python, with exact normal tails."""
+    letters = next(a for p, a in secrets._ENCODINGS if re.search(p, token))
+    uniform, apart = secrets._shares(letters)
+    u = [(letters.index(c) + 0.5) / len(letters) for c in token if c in letters]
+    n, tail = len(u), lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    if n < 8:
+        return 1.0, 1.0
+    counts = Counter(int(x * 8) for x in u)
+    chi = sum((counts[b] - n * w) ** 2 / (n * w) for b, w in enumerate(uniform))
+    p_chi = tail(((chi / 7) ** (1 / 3) - (1 - 2 / 63)) / (2 / 63) ** 0.5)
+    side = [x >= 0.5 for x in u]
+    runs, above = 1 + sum(a != b for a, b in zip(side, side[1:])), sum(side)
+    mean = 2 * above * (n - above) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / spread**0.5) if spread > 0 else 0.0
+    p_lag = 2 * tail(abs(sum((a - 0.5) * (b - 0.5) for a, b in zip(u, u[1:]))) * 12 / (n - 1) ** 0.5)
+    p = 1 - (1 - min(1.0, p_chi, p_runs, p_lag)) ** 3
+    rest = 2 * (7 + 2 * n * apart) / (9 * (7 + n * apart) ** 2)
+    return p, 1.0 if p < secrets.UNIFORM else tail((1 - rest - (chi / (7 + n * apart)) ** (1 / 3)) / rest**0.5)
+
+
+def identifiers(rnd, n):
+    """Natural tokens: words with digits, joined by signs or not at all."""
+    words = "report summer holiday getting started command line image index train part data version great post title user profile account static docs window river mountain paper quality".split()
+    out = []
+    while len(out) < n:
+        sign = rnd.choice(["-", "_", "/", "", ""])
+        t = sign.join(rnd.choice([str.lower, str.lower, str.title])(rnd.choice(words)) if rnd.random() < 0.75 else str(rnd.randint(0, 2999)) for _ in range(rnd.randint(4, 9)))
+        if len(t) >= secrets.MIN_LENGTH and any(c.isdigit() for c in t):
+            out.append(t)
+    return out
+
+
+def test_secret_battery(spark):
+    """Both p of every token as by hand; uniform tokens pass at the stated rate; language is rejected falsely at most as often as stated."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(21)
+    keys = ["".join(rnd.choices(a, k=rnd.choice((20, 24, 32, 40, 64)))) for _, a in secrets._ENCODINGS for _ in range(150)]
+    natural = identifiers(rnd, 1500)
+    tokens = [*keys, *natural, "a1" * 10, "==========1a=========", "0" * 19 + "a"]
+    df = spark.createDataFrame(list(enumerate(tokens)), "i long, t string").withColumn("p", secrets.battery(F.col("t")))
+    got = {r["i"]: (r["p"]["uniform"], r["p"]["natural"]) for r in df.collect()}
+    for i, t in enumerate(tokens):
+        want = by_hand(t)
+        assert abs(got[i][0] - want[0]) < 2e-3 and (abs(got[i][1] - want[1]) < 2e-3 or abs(want[0] - secrets.UNIFORM) < 2e-3), t
+    assert np.mean([got[i][0] < secrets.UNIFORM for i in range(len(keys))]) < 0.04
+    p = [got[len(keys) + i][1] for i in range(len(natural))]
+    assert all(np.mean([x <= level for x in p]) <= 1.2 * level for level in (0.2, 0.1, 0.05, 0.01))
+
+
+def test_secret_discoveries(spark):
+    """Of the tokens reported from a mixture few are natural, and most long keys are among them."""
+    rnd = random.Random(22)
+    natural = identifiers(rnd, 900)
+    keys = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=rnd.choice((40, 48, 64)))) for _ in range(150)]
+    keys = [k for k in keys if not re.search("[0-9a-f]{24}", k)]
+    df = spark.createDataFrame(list(enumerate(f"see {t} there" for t in [*natural, *keys])), "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.scan(df, "doc_id").where("size(random) > 0").select("doc_id").collect()}
+    false = sum(i < len(natural) for i in found)
+    assert false <= 2 * secrets.FDR * len(found) and len(found) - false > 0.85 * len(keys)
+
+
 def luhn(x):
     return sum((2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) if i % 2 else int(c) for i, c in enumerate(reversed(x))) % 10 == 0
 
