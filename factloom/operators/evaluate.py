@@ -43,17 +43,53 @@ def values_match(wanted: Column, have: Column, wanted_text: Column, have_text: C
     return F.coalesce(near, F.lit(False)) | F.coalesce(same, F.lit(False))
 
 
+#: Values within the tolerance differ by less than this in their logarithm, so their buckets are neighbours.
+_LOG_STEP = 0.0051
+
+
+def _bucket(value: Column) -> Column:
+    """A value's logarithmic bucket; zero has one of its own."""
+    return F.when(value == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs(value)) / _LOG_STEP)).cast("long")
+
+
+def value_hits(labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs of a label and a fact of its document whose values match, by equi-joins alone.
+
+    Values within the tolerance share a bucket or lie in neighbouring ones, and other matches share their digits; both joins have the
+    document in their key, and every pair that they bring is tested. No label meets all facts of its document.
+    """
+    own = facts.select("doc_id", "fact_id", "page_index", "subject", "predicate", "value_raw", "value_num", F.signum("value_num").alias("side"), _bucket(F.col("value_num")).alias("bucket"), digits(F.col("value_raw")).alias("digits"))
+    near = labels.withColumn("side", F.signum("canonical_value")).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(F.col("canonical_value")) + k)))
+    same = labels.withColumn("digits", digits(F.col("value_text"))).where("digits != ''")
+    names = [*labels.columns, "fact_id", "page_index", "subject", "predicate", "value_raw", "value_num"]
+    pairs = near.join(own.drop("digits"), ["doc_id", "side", "bucket"]).select(*names).unionByName(same.join(own.drop("side", "bucket"), ["doc_id", "digits"]).select(*names))
+    return pairs.where(values_match(F.col("canonical_value"), F.col("value_num"), F.col("value_text"), F.col("value_raw")))
+
+
 def recall_ladder(labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """(label_id, difficulty, rung): found, offpage, renamed or missed, by the best fact of the label's document (Q21, JN11)."""
-    df = labels.join(facts.select("doc_id", "fact_id", "page_index", "subject", "predicate", "value_raw", "value_num"), "doc_id", "left")
-    have = F.concat_ws(" ", "subject", "predicate")
-    metric = token_overlap(F.col("metric"), have) >= 2 / 3
-    value = values_match(F.col("canonical_value"), F.col("value_num"), F.col("value_text"), F.col("value_raw"))
+    """(label_id, difficulty, rung): found, offpage, renamed or missed, by the best fact of the label's document (Q21, JN11).
+
+    Every rung but the last needs the value, so facts are looked up by it.
+    """
+    hits = value_hits(labels, facts)
+    metric = token_overlap(F.col("metric"), F.concat_ws(" ", "subject", "predicate")) >= 2 / 3
     here = F.col("label_page") == F.col("page_index")
-    rung = F.when(metric & value & here, 0).when(metric & value, 1).when(value & here, 2).otherwise(3)
-    best = df.groupBy("label_id", "difficulty").agg(F.min(F.coalesce(rung, F.lit(3))).alias("r"))
+    best = hits.groupBy("label_id").agg(F.min(F.when(metric & here, 0).when(metric, 1).when(here, 2).otherwise(3)).alias("r"))
     names = F.array(*[F.lit(x) for x in ("found", "offpage", "renamed", "missed")])
-    return best.select("label_id", "difficulty", F.element_at(names, F.col("r") + 1).alias("rung"))
+    return labels.select("label_id", "difficulty").join(best, "label_id", "left").select("label_id", "difficulty", F.element_at(names, F.coalesce("r", F.lit(3)) + 1).alias("rung"))
+
+
+def correct_among_found(labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """(aspect, correct, of): of labels found on their page, how many have a fact there with the same value, and with the same period (Q21).
+
+    Labels without a `period_key` are not counted for the period.
+    """
+    metric = token_overlap(F.col("metric"), F.concat_ws(" ", "subject", "predicate")) >= 2 / 3
+    hits = value_hits(labels, facts).where(metric & (F.col("label_page") == F.col("page_index"))).withColumnRenamed("period_key", "wanted").join(facts.select("fact_id", "period_key"), "fact_id")
+    near = F.abs(F.col("canonical_value") - F.col("value_num")) <= DEFAULT.tolerance * F.greatest(F.abs("canonical_value"), F.abs("value_num"))
+    one = hits.groupBy("label_id").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("value"), F.bool_or(F.coalesce(F.col("wanted") == F.col("period_key"), F.lit(False))).alias("period"), F.first("wanted").alias("wanted"))
+    stacked = one.select(F.explode(F.array(F.struct(F.lit("value").alias("aspect"), F.col("value").alias("good"), F.lit(True).alias("asked")), F.struct(F.lit("period").alias("aspect"), F.col("period").alias("good"), F.col("wanted").isNotNull().alias("asked")))).alias("x"))
+    return stacked.groupBy("x.aspect").agg(F.count_if(F.col("x.good") & F.col("x.asked")).alias("correct"), F.count_if("x.asked").alias("of"))
 
 
 def changed_fields(before: DataFrame, after: DataFrame, fields: list[str], examples: int = 4) -> DataFrame:

@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "o_orderpriority AS pr", "cast(floor(o_totalprice) AS bigint) AS w", "cast(year(o_orderdate) AS bigint) AS y")
 
 
@@ -29,7 +29,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = "CASE k % 11 WHEN 0 THEN 'INR' WHEN 1 THEN 'INR' WHEN 2 THEN 'INR thousand' WHEN 3 THEN 'INR' WHEN 5 THEN 'per cent' WHEN 6 THEN 'bps' WHEN 7 THEN 'per cent' WHEN 9 THEN 'USD million' WHEN 10 THEN 'lakh tonnes' END"
     period = f"""CASE k % 10 WHEN 0 THEN concat('FY', {yy}) WHEN 1 THEN concat('Q3 FY', {yy}) WHEN 2 THEN concat('March 31, ', y) WHEN 3 THEN concat('for the year ended March 31, ', y)
       WHEN 4 THEN concat(y, '-', lpad(cast((y + 1) % 100 AS string), 2, '0')) WHEN 5 THEN concat('Dec-', {yy}) WHEN 6 THEN concat('CY', y) WHEN 7 THEN concat('as at March ', y) WHEN 8 THEN concat('nine months ended December 31, ', y) END"""
-    return _orders(spark, sf_dir).selectExpr(
+    return orders(spark, sf_dir).selectExpr(
         "k", "w", "y", "concat('f_', k) AS fact_id", "concat('d_', k % 6) AS doc_id", "concat('Account C', c) AS subject",
         f"CASE k % 3 WHEN 0 THEN 'order value' WHEN 1 THEN 'the order values' ELSE concat('FY', {yy}, ' order value') END AS predicate",
         f"{value} AS value_raw", f"{unit} AS unit_raw", f"{period} AS time_scope_raw",
@@ -40,7 +40,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw facts: A states the order's value, B restates it in another document, C (every fiftieth) disagrees in A's own."""
-    o = _orders(spark, sf_dir)
+    o = orders(spark, sf_dir)
     yy = lambda y: f"lpad(cast(({y}) % 100 AS string), 2, '0')"
     b_year = "(y - CASE WHEN k % 8 = 4 THEN 1 ELSE 0 END)"
     sides = {
@@ -86,11 +86,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
-    return candidates.metric_blocking(f).unionByName(candidates.same_doc_conflicts(f))
+    return candidates.with_facts(candidates.metric_pairs(f).unionByName(candidates.same_doc_pairs(f)), f)
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.with_priority(pairs.analyse(candidate_pairs(spark, sf_dir)))
+    """Analysed candidate pairs; eight queries read them, so they are stored."""
+    return once(spark, "pairs", f"{sf_dir}/orders.parquet", lambda: pairs.with_priority(pairs.analyse(candidate_pairs(spark, sf_dir))))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.identity import basis, canonical_claim, metric_key
 from factloom.functions.periods import with_periods
-from factloom.functions.values import with_values
+from factloom.functions.values import CURRENCIES, with_values
 from factloom.operators import candidates, evaluate, judge, pairs, search
 from factloom.plans import fixtures as fx
 from factloom.plans.oracles import DOCUMENTS, FACTS, ISSUES, ORDERS, PAIRS, RELATIONS, SYNTHETIC
@@ -37,6 +37,56 @@ SELECT 'f_' || k AS fact_id,
   CASE WHEN n IN (0, 3, 4) THEN 'fiscal_year' WHEN n = 1 THEN 'quarter' WHEN n IN (2, 7) THEN 'instant' WHEN n = 5 THEN 'month' WHEN n = 6 THEN 'calendar_year' WHEN n = 8 THEN 'range' END AS period_kind FROM p"""
 
 
+_FULL = ("0123456789", "０１２３４５６７８９")
+
+
+def _value_notations(spark, d):
+    """Every currency token of the table, full-width figures, percentage points and a range in basis points."""
+    tokens = F.array(*[F.lit(t) for t, _ in CURRENCIES])
+    n, few = F.col("k") % (len(CURRENCIES) + 3), (F.col("w") % 1000).cast("string")
+    value = F.when(n == len(CURRENCIES), F.translate(few, *_FULL)).when(n == len(CURRENCIES) + 2, F.concat(few, F.lit("-"), (F.col("w") % 1000 + 50).cast("string"))).otherwise(few)
+    unit = F.when(n == len(CURRENCIES), "ＩＮＲ　crore").when(n == len(CURRENCIES) + 1, "percentage points").when(n == len(CURRENCIES) + 2, "bps").otherwise(F.concat(F.get(tokens, n.cast("int")), F.lit(" million")))
+    df = with_values(fx.orders(spark, d).select(F.concat(F.lit("f_"), "k").alias("fact_id"), value.alias("value_raw"), unit.alias("unit_raw")))
+    return df.select("fact_id", F.round("value_num", 6).alias("value_num"), "value_unit", "value_dim", "is_range")
+
+
+_N = len(CURRENCIES)
+_VALUE_NOTATIONS = f"""WITH {ORDERS}, q AS (SELECT k, w % 1000 AS v, k % {_N + 3} AS n FROM o)
+SELECT 'f_' || k AS fact_id, round(CASE n WHEN {_N} THEN v * 1e7 WHEN {_N + 1} THEN v WHEN {_N + 2} THEN (v + 25) / 100 ELSE v * 1e6 END::DOUBLE, 6) AS value_num,
+  CASE WHEN n = {_N} THEN 'INR' WHEN n > {_N} THEN 'pp' ELSE [{", ".join(f"'{iso}'" for _, iso in CURRENCIES)}][CAST(n + 1 AS INTEGER)] END AS value_unit,
+  CASE WHEN n > {_N} THEN 'rate_delta' ELSE 'currency' END AS value_dim, n = {_N + 2} AS is_range FROM q"""
+
+#: Period phrases of an order of year y (yy: two digits), and what each is: key, start, end, kind.
+_PHRASES = (
+    ("concat('H1 FY', yy)", "'H1FY' || y", "NULL", "NULL", "half"),
+    ("concat('quarter ended June 30, ', y)", "'Q1FY' || (y + 1)", "NULL", "make_date(y, 6, 30)", "quarter"),
+    ("concat('half year ended September 30, ', y)", "'H1FY' || (y + 1)", "NULL", "make_date(y, 9, 30)", "half"),
+    ("concat('year ended December 31, ', y)", "'CY' || y", "make_date(y, 1, 1)", "make_date(y, 12, 31)", "calendar_year"),
+    ("concat('FY ', y - 1, '-', yy)", "'FY' || y", "make_date(y - 1, 4, 1)", "make_date(y, 3, 31)", "fiscal_year"),
+    ("concat('first half of FY', yy)", "'H1FY' || y", "NULL", "NULL", "half"),
+    ("concat('third quarter of ', y)", "'Q3FY' || y", "make_date(y - 1, 10, 1)", "make_date(y - 1, 12, 31)", "quarter"),
+    ("concat(y, '-05-17')", "'@' || y || '-05-17'", "make_date(y, 5, 17)", "make_date(y, 5, 17)", "instant"),
+    ("concat('March ', y)", "y || '-03'", "make_date(y, 3, 1)", "NULL", "month"),
+    ("concat('17th May ', y)", "'@' || y || '-05-17'", "make_date(y, 5, 17)", "make_date(y, 5, 17)", "instant"),
+    ("concat('six months ended September 30, ', y)", "'H1FY' || (y + 1)", "NULL", "make_date(y, 9, 30)", "half"),
+    ("concat('ＦＹ', translate(cast(y AS string), '0123456789', '０１２３４５６７８９'))", "'FY' || y", "make_date(y - 1, 4, 1)", "make_date(y, 3, 31)", "fiscal_year"),
+    ("concat('four months ended July 31, ', y)", "'4M@' || y || '-07-31'", "NULL", "make_date(y, 7, 31)", "range"),
+    ("concat('calendar year ', y)", "'CY' || y", "make_date(y, 1, 1)", "make_date(y, 12, 31)", "calendar_year"),
+)
+
+
+def _period_notations(spark, d):
+    o = fx.orders(spark, d).withColumn("yy", F.lpad((F.col("y") % 100).cast("string"), 2, "0"))
+    phrase = "CASE k % {} {} END".format(len(_PHRASES), " ".join(f"WHEN {i} THEN {x[0]}" for i, x in enumerate(_PHRASES)))
+    df = with_periods(o.selectExpr("concat('f_', k) AS fact_id", f"{phrase} AS time_scope_raw"))
+    return df.select("fact_id", "period_key", "period_start", "period_end", "period_kind")
+
+
+_PERIOD_NOTATIONS = f"WITH {ORDERS} SELECT 'f_' || k AS fact_id, " + ", ".join(
+    "CASE k % {} {} END AS {}".format(len(_PHRASES), " ".join(f"WHEN {i} THEN " + (f"'{x[j]}'" if j == 4 else x[j]) for i, x in enumerate(_PHRASES)), name) for j, name in ((1, "period_key"), (2, "period_start"), (3, "period_end"), (4, "period_kind"))
+) + " FROM o"
+
+
 def _identity(spark, d):
     g = fx.grid(spark, d)
     return g.select("fact_id", basis(F.lit("actual"), F.col("quote"), F.col("predicate"), F.col("time_scope_raw")).alias("period_basis"), metric_key(F.col("subject"), F.col("predicate")).alias("metric_key"), canonical_claim(F.col("subject"), F.col("predicate"), F.col("qualifiers")).alias("claim_text"))
@@ -48,11 +98,11 @@ SELECT 'f_' || k AS fact_id, CASE k % 7 WHEN 1 THEN 'projection' WHEN 2 THEN 'es
 
 
 def _blocking(spark, d):
-    return candidates.metric_blocking(fx.facts(spark, d)).select(F.col("a.fact_id").alias("a_id"), F.col("b.fact_id").alias("b_id"), "similarity")
+    return candidates.metric_pairs(fx.facts(spark, d))
 
 
 def _conflicts(spark, d):
-    return candidates.same_doc_conflicts(fx.facts(spark, d)).select(F.col("a.fact_id").alias("a_id"), F.col("b.fact_id").alias("b_id"), "similarity")
+    return candidates.same_doc_pairs(fx.facts(spark, d))
 
 
 def _vectors(spark, d):
@@ -74,9 +124,7 @@ def _union(spark, d):
     # Facts f_0 to f_499 carry the vectors; a vector hit wins over a blocking hit.
     f = fx.facts(spark, d)
     v = fx.read(spark, d, "embeddings").selectExpr("concat('f_', vec_id) AS id", "embedding AS vec").join(f.selectExpr("fact_id AS id", "doc_id"), "id")
-    hits = candidates.cosine_topk(v, v, 5, 0.25).select("a", "b", "similarity")
-    one = lambda n: f.select(F.col("fact_id").alias(n), F.struct(*f.columns).alias(f"s{n}"))
-    vector = hits.join(one("a"), "a").join(one("b"), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"), "similarity")
+    vector = candidates.with_facts(candidates.cosine_topk(v, v, 5, 0.25).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "similarity"), f)
     df = candidates.union_candidates(vector, candidates.metric_blocking(f), candidates.same_doc_conflicts(f))
     return df.select(F.least("a.fact_id", "b.fact_id").alias("lo"), F.greatest("a.fact_id", "b.fact_id").alias("hi"), F.round("similarity", 6).alias("similarity"), "source")
 
@@ -162,6 +210,46 @@ def _detail(spark, d):
 _DETAIL = f"""WITH {RELATIONS} SELECT relation_id, 'f_100' AS a_id, CASE WHEN fact_a = 'f_100' THEN fact_b ELSE fact_a END AS b_id, relation, confidence FROM rel WHERE 'f_100' IN (fact_a, fact_b)"""
 
 
+def _fact_total(spark, d):
+    found = search.find_facts(fx.facts(spark, d), fx.relations(spark, d), doc_id="d_1", q="order o1", verification="verified", numeric_only=True, linked=True)
+    return search.fact_total(found)
+
+
+_FACT_TOTAL = _FACT_SEARCH.split(" ORDER BY confidence")[0].replace("SELECT fact_id, confidence, page_index FROM facts f", "SELECT count(*) AS total FROM facts f")
+
+
+def _with_documents(spark, d):
+    return search.with_documents(fx.facts(spark, d), fx.documents(spark, d)).select("fact_id", "filename", "title")
+
+
+_WITH_DOCUMENTS = f"""WITH {FACTS} SELECT fact_id, 'report_' || substr(doc_id, 3) || '.pdf' AS filename, 'Report ' || substr(doc_id, 3) AS title FROM facts"""
+
+
+def _stored_pages(spark, d):
+    """Pages of the six documents: every third is missing, every fourth has no printed label."""
+    return spark.range(240).selectExpr("concat('d_', id % 6) AS doc_id", "cast(id div 6 + 1 AS int) AS page_index", "concat('page ', id div 6 + 1, ' of report ', id % 6) AS text", "CASE WHEN id % 4 > 0 THEN cast(id AS string) END AS printed_label").where("page_index % 3 > 0")
+
+
+def _fact_page_text(spark, d):
+    f = fx.facts(spark, d)
+    return search.fact_detail(f, _stored_pages(spark, d), fx.documents(spark, d), "f_100").unionByName(search.fact_detail(f, _stored_pages(spark, d), fx.documents(spark, d), "f_101")).select("fact_id", "filename", "page_text")
+
+
+_FACT_PAGE_TEXT = f"""WITH {FACTS} SELECT fact_id, 'report_' || substr(doc_id, 3) || '.pdf' AS filename, CASE WHEN page_index % 3 > 0 THEN 'page ' || page_index || ' of report ' || substr(doc_id, 3) END AS page_text FROM facts WHERE fact_id IN ('f_100', 'f_101')"""
+
+
+def _chunks(spark, d):
+    """A chunk a fact's page: done, or failed where the page's number is a multiple of seven."""
+    return fx.facts(spark, d).select("doc_id", "page_index").distinct().withColumn("status", F.when(F.col("page_index") % 7 == 0, "failed").otherwise("done"))
+
+
+def _filter_count(spark, d):
+    return search.filter_count(search.relation_counts(fx.facts(spark, d), fx.relations(spark, d)))
+
+
+_FILTER_COUNT = f"""WITH {RELATIONS} SELECT CAST(2 * count(*) AS BIGINT) AS n FROM rel WHERE relation <> 'unrelated'"""
+
+
 def _relation_search(spark, d):
     return search.find_relations(fx.relations(spark, d), min_confidence=0.75).select("relation_id", "relation", "severity", "confidence").offset(100).limit(300)
 
@@ -187,7 +275,13 @@ SELECT doc_id, filename, (SELECT count(*) FROM facts f WHERE f.doc_id = docs.doc
 
 
 def _document_detail(spark, d):
-    return fx.issues(spark, d).where("doc_id = 'd_3'").groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    return search.document_detail("d_3", fx.issues(spark, d), _chunks(spark, d), _stored_pages(spark, d))
+
+
+_DOCUMENT_DETAIL = f"""WITH {ISSUES}
+SELECT 'issue' AS section, kind AS name, count(*) AS n FROM issues WHERE doc_id = 'd_3' GROUP BY kind
+UNION ALL SELECT 'chunk', CASE WHEN page_index % 7 = 0 THEN 'failed' ELSE 'done' END, count(DISTINCT page_index) FROM facts WHERE doc_id = 'd_3' GROUP BY 2
+UNION ALL SELECT 'page', CASE WHEN id % 4 > 0 THEN 'labelled' ELSE 'unlabelled' END, count(*) FROM range(240) t(id) WHERE id % 6 = 3 AND (id // 6 + 1) % 3 > 0 GROUP BY 2"""
 
 
 def _stats(spark, d):
@@ -218,11 +312,12 @@ def _telemetry(spark, d):
 
 
 def _issue_list(spark, d):
-    df = fx.issues(spark, d).join(F.broadcast(fx.documents(spark, d).select("doc_id", "filename")), "doc_id", "left")
-    return df.where("kind = 'judgment_inconsistent'").orderBy(F.desc("created_at"), "issue_id").limit(100).select("issue_id", "filename", "severity")
+    payload = F.when(F.col("issue_id").endswith("1"), F.lit("no object")).otherwise(F.to_json(F.struct("kind", F.col("doc_id").alias("of"))))
+    df = search.issue_list(fx.issues(spark, d).withColumn("payload", payload), fx.documents(spark, d), "judgment_inconsistent", 100)
+    return df.select("issue_id", "filename", "severity", F.try_element_at("payload", F.lit("of")).alias("of"))
 
 
-_ISSUE_LIST = f"""WITH {ISSUES}, {DOCUMENTS} SELECT issue_id, filename, severity FROM issues LEFT JOIN docs USING (doc_id) WHERE kind = 'judgment_inconsistent' ORDER BY issues.at DESC, issue_id LIMIT 100"""
+_ISSUE_LIST = f"""WITH {ISSUES}, {DOCUMENTS} SELECT issue_id, filename, severity, CASE WHEN NOT ends_with(issue_id, '1') THEN doc_id END AS of FROM issues LEFT JOIN docs USING (doc_id) WHERE kind = 'judgment_inconsistent' ORDER BY issues.at DESC, issue_id LIMIT 100"""
 
 
 def _examples(spark, d):
@@ -298,23 +393,39 @@ def _in_quote(spark, d):
 _IN_QUOTE = f"""WITH {FACTS} SELECT CASE WHEN k % 13 = 0 THEN 'absent' ELSE 'present' END AS outcome, count(*) AS n FROM facts GROUP BY 1"""
 
 
-def _recall(spark, d):
-    # Labels: an order's value on its page; some name another page, another metric, or another value.
-    f = fx.facts(spark, d)
-    labels = f.where("fact_id LIKE 'f%' AND k % 20 = 0").selectExpr(
+def _labels(spark, d):
+    # Labels: an order's value on its page; some name another page, another metric, another value or another period.
+    return fx.facts(spark, d).where("fact_id LIKE 'f%' AND k % 20 = 0").selectExpr(
         "concat('l_', k) AS label_id", "doc_id", "CASE k % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty",
         "CASE WHEN k % 60 = 20 THEN page_index + 1 ELSE page_index END AS label_page", "CASE WHEN k % 140 = 40 THEN 'shipments delivered' ELSE concat(subject, ' ', predicate) END AS metric",
         "CASE WHEN k % 100 = 60 THEN -value_num ELSE value_num END AS canonical_value", "CASE WHEN k % 100 = 60 THEN concat('-', value_raw) ELSE value_raw END AS value_text",
+        "CASE WHEN k % 80 = 0 THEN 'FY1900' WHEN k % 200 = 20 THEN NULL ELSE period_key END AS period_key",
     )
-    own = f.where("fact_id LIKE 'f%' AND k % 20 = 0")
-    # One fact a label: labels carry their order's key, and the document narrows the rest.
-    rungs = evaluate.recall_ladder(labels.withColumn("doc_id", F.concat("doc_id", F.lit("/"), "label_id")), own.withColumn("doc_id", F.concat("doc_id", F.lit("/l_"), "k")))
+
+
+def _recall(spark, d):
+    rungs = evaluate.recall_ladder(_labels(spark, d).drop("period_key"), fx.facts(spark, d))
     return rungs.groupBy("difficulty", "rung").agg(F.count("*").alias("n"))
 
 
-_RECALL = f"""WITH {FACTS} SELECT CASE k % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty,
-  CASE WHEN k % 100 = 60 THEN 'missed' WHEN k % 140 = 40 AND k % 60 = 20 THEN 'missed' WHEN k % 140 = 40 THEN 'renamed' WHEN k % 60 = 20 THEN 'offpage' ELSE 'found' END AS rung, count(*) AS n
-FROM facts WHERE fact_id LIKE 'f%' AND k % 20 = 0 GROUP BY 1, 2"""
+def _correct(spark, d):
+    return evaluate.correct_among_found(_labels(spark, d), fx.facts(spark, d))
+
+
+_HITS = f"""{FACTS},
+labels AS (SELECT 'l_' || k AS label_id, k, c, doc_id, CASE k % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN k % 60 = 20 THEN page_index + 1 ELSE page_index END AS label_page,
+  k % 140 = 40 AS odd, CASE WHEN k % 100 = 60 THEN -value_num ELSE value_num END AS v, CASE WHEN k % 100 = 60 THEN '-' || value_raw ELSE value_raw END AS t,
+  CASE WHEN k % 80 = 0 THEN 'FY1900' WHEN k % 200 = 20 THEN NULL ELSE period_key END AS wanted FROM facts WHERE fact_id LIKE 'f%' AND k % 20 = 0),
+hits AS (SELECT l.*, f.page_index, f.value_num, f.period_key AS have, NOT odd AND (f.c = l.c OR f.k = l.k) AS metric FROM labels l JOIN facts f ON f.doc_id = l.doc_id
+  AND (abs(v - value_num) <= 0.005 * greatest(abs(v), abs(value_num)) OR (regexp_replace(t, '[^0-9]', '', 'g') = regexp_replace(value_raw, '[^0-9]', '', 'g') AND starts_with(t, '-') = starts_with(value_raw, '-'))))"""
+
+# Of five tokens (account, customer, order, key, value) four agree where customer or key does.
+_RECALL = f"""WITH {_HITS}, b AS (SELECT label_id, min(CASE WHEN metric AND page_index = label_page THEN 0 WHEN metric THEN 1 WHEN page_index = label_page THEN 2 ELSE 3 END) AS r FROM hits GROUP BY 1)
+SELECT difficulty, ['found', 'offpage', 'renamed', 'missed'][CAST(coalesce(r, 3) + 1 AS INTEGER)] AS rung, count(*) AS n FROM labels LEFT JOIN b USING (label_id) GROUP BY 1, 2"""
+
+_CORRECT = f"""WITH {_HITS}, of_label AS (SELECT label_id, bool_or(abs(v - value_num) <= 0.005 * greatest(abs(v), abs(value_num))) AS good, coalesce(bool_or(wanted = have), false) AS period, any_value(wanted) AS wanted
+  FROM hits WHERE metric AND page_index = label_page GROUP BY 1)
+SELECT 'value' AS aspect, count(*) FILTER (good) AS correct, count(*) AS of FROM of_label UNION ALL SELECT 'period', count(*) FILTER (period AND wanted IS NOT NULL), count(wanted) FROM of_label"""
 
 
 def _renormalise(spark, d):
@@ -334,6 +445,8 @@ def _export(spark, d):
 QUERIES = {
     "value_parse": (_value_parse, _VALUE_PARSE),
     "period_parse": (_period_parse, _PERIOD_PARSE),
+    "value_notations": (_value_notations, _VALUE_NOTATIONS),
+    "period_notations": (_period_notations, _PERIOD_NOTATIONS),
     "identity_keys": (_identity, _IDENTITY),
     "metric_blocking": (_blocking, f"WITH {PAIRS} SELECT a_id, b_id, similarity FROM an WHERE a_doc <> b_doc"),
     "same_doc_conflict": (_conflicts, f"WITH {PAIRS} SELECT a_id, b_id, similarity FROM an WHERE a_doc = b_doc"),
@@ -351,7 +464,11 @@ QUERIES = {
     "relation_search": (_relation_search, _RELATION_SEARCH),
     "relations_of_document": (_touching, _TOUCHING),
     "document_list": (_document_list, _DOCUMENT_LIST),
-    "document_detail": (_document_detail, f"WITH {ISSUES} SELECT kind, severity, count(*) AS n FROM issues WHERE doc_id = 'd_3' GROUP BY 1, 2"),
+    "document_detail": (_document_detail, _DOCUMENT_DETAIL),
+    "fact_search_total": (_fact_total, _FACT_TOTAL),
+    "facts_with_documents": (_with_documents, _WITH_DOCUMENTS),
+    "fact_page_text": (_fact_page_text, _FACT_PAGE_TEXT),
+    "relation_filter_count": (_filter_count, _FILTER_COUNT),
     "corpus_stats": (_stats, _STATS),
     "health": (_health, _HEALTH),
     "call_telemetry": (_telemetry, "SELECT event_type AS purpose, CASE WHEN event_id % 9 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n, round(avg(value), 3) AS mean_ms FROM events GROUP BY 1, 2"),
@@ -366,6 +483,7 @@ QUERIES = {
     "evidence_integrity": (_integrity, _INTEGRITY),
     "value_in_quote": (_in_quote, _IN_QUOTE),
     "recall_ladder": (_recall, _RECALL),
+    "correct_among_found": (_correct, _CORRECT),
     "renormalize_diff": (_renormalise, _RENORMALISE),
     "export_facts": (_export, f"WITH {FACTS} SELECT fact_id, confidence FROM facts ORDER BY confidence DESC, fact_id LIMIT 400"),
 }

@@ -60,10 +60,23 @@ def test_topk_takes_places_of_the_same_document(spark):
     df = spark.createDataFrame(rows, "id string, doc_id string, vec array<double>")
     got = {(r["a"], r["b"]) for r in candidates.cosine_topk(df, df, 1, 0.5).collect()}
     assert got == {("b", "c"), ("c", "b")}, "a's only place goes to b, of its own document"
-    got = {(r["a"], r["b"]) for r in candidates.cosine_topk(df, df, 2, 0.5, block=2).collect()}
+    got = {(r["a"], r["b"]) for r in candidates.cosine_topk(df, df, 2, 0.5, shard=2).collect()}
     assert got == {("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")}
 
 
+def test_keys_of_many_facts_are_split(spark, monkeypatch):
+    """Pairs of a key are the same whether one task has them all or many."""
+    monkeypatch.setattr(candidates, "SPLIT", 7)
+    facts = spark.createDataFrame([fact(f"f{i:03}", "ABC"[i % 3], num=float(i % 4), key="m|k" if i < 60 else f"m|{i % 5}") for i in range(80)], FACT)
+    rows = facts.collect()
+    want = {(x["fact_id"], y["fact_id"]) for x in rows for y in rows if y["fact_id"] < x["fact_id"] and x["metric_key"] == y["metric_key"]}
+    doc = {r["fact_id"]: (r["doc_id"], r["value_num"]) for r in rows}
+    got = [(r["a_id"], r["b_id"]) for r in candidates.metric_pairs(facts).collect()]
+    assert sorted(got) == sorted((a, b) for a, b in want if doc[a][0] != doc[b][0])
+    got = [(r["a_id"], r["b_id"]) for r in candidates.same_doc_pairs(facts).collect()]
+    assert sorted(got) == sorted((a, b) for a, b in want if doc[a][0] == doc[b][0] and doc[a][1] != doc[b][1])
+
+
 PAGE = "Revenue from operations\n grew 12.5% to  INR 8,142 crore in FY24.\nTotal | 1,234 | 5,678"
 
 
