@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from factloom.llm.common import BROADCAST_ROWS, bounded, join_skewed, listed, masked, spans_of, table, with_matches
 
@@ -139,8 +140,11 @@ def occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
     # First which texts have any, then the places of those alone.
     holders = table(_words(docs, "doc_id", "fp").join(mark, "term", "left_semi").select("doc_id", "fp").distinct(), "pii-holders")
     texts = docs.alias("a").join(bounded(holders).alias("b"), _own("a", "b"), "left_semi").dropDuplicates(["doc_id", "fp"])
-    spans = with_matches(texts, "text", {"term": _WORD}).withColumn("words", spans_of("term", len(PATTERNS)))
-    words = spans.select("doc_id", "fp", F.explode("words").alias("w")).select("doc_id", "fp", "w.s", "w.e", F.lower("w.m").alias("term"))
+    both = with_matches(texts, "text", {"term": _WORD}).select("doc_id", "fp", F.posexplode(F.arrays_zip("term_m", "term_g")).alias("place", "x"))
+    # A word ends where all gaps and words up to it end.
+    so_far = W.partitionBy("doc_id", "fp").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    words = both.where("x.term_m IS NOT NULL").select("doc_id", "fp", F.col("x.term_m").alias("word"), F.sum(F.length("x.term_g") + F.length("x.term_m")).over(so_far).cast("int").alias("e"))
+    words = words.select("doc_id", "fp", (F.col("e") - F.length("word")).alias("s"), "e", F.lower("word").alias("term"))
     span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), F.lit("term").alias("k"), "e", F.when(F.col("degree") >= REMOVE, "remove").otherwise("generalise").alias("m"))
     # What one text holds, at most its own words.
     return words.join(mark, "term").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(span)).alias("term"))
