@@ -50,14 +50,14 @@ def table(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stretches(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch cut where its column `text` reaches some `size` bytes, each part with its texts (null: empty).
+def stretches(batch: pa.RecordBatch, size: int = 1 << 20, rows: int = 1 << 15) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch cut where its column `text` reaches some `size` bytes or `rows` rows, each part with its texts (null: empty).
 
     Whatever number of rows Arrow brings at once, Python holds the strings of one part only.
     """
     lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0, 0]
+    edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(part), rows), [len(part)]])) if len(part) else [0, 0]
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
             own = batch.slice(a, b - a)

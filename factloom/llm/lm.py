@@ -5,99 +5,137 @@ add-one unigram distribution P1(v) = (c + 1) / (N + V + 1), the automaton's empt
 is a state of its own. From state u the arc for v, one for every pair seen, weighs log10((c_uv - D) / c_u + b_u P1(v)),
 absolute discounting with the freed mass b_u = D n_u / c_u, n_u being the distinct words seen behind u; the failure arc of u
 weighs log10 b_u and leads to the empty state, whose arcs weigh log10 P1(v). Every state's probabilities sum to one. A text is
-read once from left to right, carrying the state (the last word where training saw it) and adding weights.
+read once from left to right; the state carried is its last word, and a word that training lacks is the empty state.
 
-All counts, of tokens and of pairs, are whole and lie in written tables. What goes to the workers is a cache, its size bounded
-by DICTIONARY (words and failure arcs), STATES and ARCS (the most frequent pairs of the most frequent words) whatever the
-corpus. What a text needs beyond it is left as (text, key, count) rows, joined with the full tables by shuffle and added: a
-token outside the dictionary its log10 P1, such a history its log10 b_u, a pair that is no cached arc what its arc weighs
-more than the failure path. None of these is frequent in training, so no key is hot.
+No pair and no word is left out, and none is held by all workers: the automaton is dealt by state.
 
-Words are told apart by 64-bit hashes, pairs with a word outside the dictionary too (expected wrong pairs: V^2 / 2^65). Null
-text is empty: one token, the end. Repeated rows are scored, and counted, as often as they occur. An empty table gives an empty
-result; with no training text every token is unknown, at P1 = 1. Extra columns are ignored.
+1. One pass counts the tokens, and for the HOT histories that a sample finds frequent the distinct words behind them.
+2. The traversal reads each text once. Words of the DICTIONARY, a broadcast cache of the most frequent ones, get their P1 there; for each
+   step it hands on the arc (state, word) that it takes, packed by the task that owns it: by the state, or, where the state is
+   hot, by state and word. What a task gets is bounded by BUCKET tokens, as far as one state that is not hot allows.
+3. There the arcs' counts are summed over training texts, n_u and b_u follow, and each step's weight goes back, summed by text. Only steps
+   to words outside the dictionary wait for one more join with the counts of words.
+
+DICTIONARY, HOT and BUCKET say where things happen; scores do not depend on them. Words are told apart by 63-bit hashes (expected wrong
+pairs: V^2 / 2^64). Null text is empty: one token, the end. Repeated rows are scored, and counted, as often as they occur. An empty table gives
+an empty result; with no training text every token is unknown, at P1 = 1. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
-from factloom.llm.words import hasher, text_of
+from factloom.llm.common import stretches, table
+from factloom.llm.words import WordHashes
 
 DICTIONARY = 500_000
-STATES = 65_536
-ARCS = 1_000_000
+HOT = 512
+#: Tokens met in one task; bounds its memory (some 200 MB).
+BUCKET = 2_000_000
 DISCOUNT = 0.75
-#: A word cannot hold a space, so this is no word.
-_END = xxhash.xxh3_64_intdigest(b" end")
-#: (pair) keys a worker gathers before it hands them on.
+#: Of the texts one in so many finds the hot histories.
+SAMPLED = 64
+#: A word cannot hold a space, so these are no words.
+_END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
+_START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
+#: Tokens that a worker counts together.
 _MEMTABLE = 2_000_000
-#: Stands for the word in the key of a history alone.
-_HISTORY = np.int64(-1)
+_TOP_BIT = np.uint64(1 << 63)
 
 
-def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _mixed(x: np.ndarray, y: np.ndarray | int = 0) -> np.ndarray:
     """One 64-bit hash for each pair."""
-    x = np.asarray(before, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) + np.asarray(word, np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x = np.asarray(x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) + np.asarray(y, np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    return x ^ (x >> np.uint64(31))
+
+
+def _finder(hashes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Places among sorted hashes, -1 for those that are not there."""
+
+    def find(h: np.ndarray) -> np.ndarray:
+        if not len(hashes):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, at, -1)
+
+    return find
+
+
+class Sheet:
+    """The token sequences of some texts, one behind the other, each with its end."""
+
+    def __init__(self, words: WordHashes, texts: list[str], end_tag: int, start_tag: int):
+        read = [words.tagged(t) for t in texts]
+        self.sizes = np.asarray([len(h) + 1 for h, _ in read], np.int64)
+        ends = np.cumsum(self.sizes) - 1
+        inner = np.ones(int(self.sizes.sum()), bool)
+        inner[ends] = False
+        self.hash, self.tag = np.full(len(inner), _END), np.full(len(inner), end_tag, np.int64)
+        self.hash[inner], self.tag[inner] = np.concatenate([h for h, _ in read]), np.concatenate([t for _, t in read])
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        #: The state in which each token is read.
+        self.state_hash, self.state_tag = np.append(_START, self.hash[:-1]), np.append(start_tag, self.tag[:-1])
+        self.state_hash[ends[:-1] + 1], self.state_tag[ends[:-1] + 1] = _START, start_tag
+
+
+def _unsigned(column: str) -> Column:
+    """A 64-bit hash as workers name words outside the dictionary: with its top bit set."""
+    return F.col(column).bitwiseOR(F.lit(-(2**63)))
 
 
-def _sequence(text) -> np.ndarray:
-    return np.append(hasher().of(text_of(text)), np.uint64(_END))
+def hot_words(train: DataFrame) -> np.ndarray:
+    """Hashes of the words that a sample of the texts holds most often. They decide where arcs are counted, never how."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for _, texts in stretches(batch):
+                k, n = np.unique(np.concatenate([words.of(t) for t in texts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["h", "c"])
 
-def _flush(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate(parts), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate(counts), len(keys)).astype(np.int64)
+    some = train.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long, c long")
+    rows = some.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HOT).collect()
+    return np.sort(np.asarray([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-def _counted(frames: Iterator[pd.DataFrame], keys_of) -> Iterator[pd.DataFrame]:
-    """Partial counts of the keys of every text, merged within the part while they fit."""
-    parts: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    raw: list[np.ndarray] = []
-    size = 0
-    for frame in frames:
-        for text in frame["text"]:
-            raw.append(keys_of(text))
-            size += len(raw[-1])
-            if size > _MEMTABLE:
-                k, n = np.unique(np.concatenate(raw), return_counts=True)
-                parts, counts, raw, size = [*parts, k], [*counts, n], [], 0
-                if len(parts) > 1:
-                    k, n = _flush(parts, counts)
-                    parts, counts = [k], [n]
-                if len(parts[0]) > _MEMTABLE:
-                    yield pd.DataFrame({"h": parts[0].view(np.int64), "c": counts[0]})
-                    parts, counts = [], []
-    if raw:
-        k, n = np.unique(np.concatenate(raw), return_counts=True)
-        parts, counts = [*parts, k], [*counts, n]
-    if parts:
-        k, n = _flush(parts, counts)
-        yield pd.DataFrame({"h": k.view(np.int64), "c": n})
+def counted(train: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(u, h, c, kinds): of every token h its count (u null); of every hot history u, the start being its last, the distinct words behind it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = WordHashes(_finder(hot)), [], 0
 
-def count_tokens(train: DataFrame) -> DataFrame:
-    """(h, c): every token of every text, counted."""
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, n = np.unique(np.concatenate([s.hash for s in held]), return_counts=True)
+            state, after = np.concatenate([s.state_tag for s in held]), np.concatenate([s.hash for s in held])
+            state, after = state[state >= 0], after[state >= 0]
+            _, first = np.unique(_mixed(after, state), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int32()), pa.array(token.view(np.int64)), pa.array(n)], ["u", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(state[first].astype(np.int32)), pa.array(after[first].view(np.int64)), pa.array(np.ones(len(first), np.int64))], ["u", "h", "c"])
 
-    def run(frames):
-        return _counted(frames, _sequence)
+        for batch in batches:
+            for _, texts in stretches(batch):
+                held.append(Sheet(words, texts, -1, len(hot)))
+                size += len(held[-1].hash)
+                if size > _MEMTABLE:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
-    return train.select("text").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    once = train.select("text").mapInArrow(run, "u int, h long, c long").groupBy("u", "h").agg(F.sum("c").alias("c"))
+    own = F.when(F.col("u").isNull(), F.col("h")).alias("h")
+    return once.groupBy("u", own).agg(F.sum("c").alias("c"), F.count("*").alias("kinds"))
 
 
-def _least_count(counts: DataFrame, most: int, least: int = 1) -> int:
+def _least_count(counts: DataFrame, most: int) -> int:
     """The least count such that at most `most` rows have it or more, from a histogram of exact small and binned large counts."""
     c = F.col("c")
     edge = F.when(c < 4096, c.cast("double")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(c) * 16) / 16))
@@ -109,233 +147,249 @@ def _least_count(counts: DataFrame, most: int, least: int = 1) -> int:
             break
         out = at
     if out is None:  # even the top bin holds more than `most`
-        return int(rows[0][0] * 2) + 1 if rows else least
-    return max(least, int(np.ceil(out)))
+        return int(rows[0][0] * 2) + 1 if rows else 1
+    return max(1, int(np.ceil(out)))
 
 
 class Automaton:
-    """The dictionary with its counts, the states, and the arcs; arrays only, so that it travels well."""
+    """What every worker knows: the dictionary with its counts, and n_u of the hot states. Arrays only, so that it travels well."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, hot: dict[int, int], start_kinds: int):
         order = np.argsort(hashes.view(np.uint64))
-        self.hashes, self.counts = hashes.view(np.uint64)[order], counts[order].astype(np.int64)
+        self.hashes = hashes.view(np.uint64)[order]
+        #: Of each word, and last of the start of a text: how often it is a state.
+        self.counts = np.append(counts[order], starts).astype(np.int64)
         self.total, self.distinct = int(total), int(distinct)
-        #: A word's number as a state, or -1. The start of a text is the last state.
-        rank = np.lexsort((self.hashes, -self.counts))
-        states = rank[: STATES - 1]
-        self.state = np.full(len(self.hashes) + 1, -1, np.int64)
-        self.state[states] = np.arange(len(states))
-        self.start = len(states)
-        self.log_p1 = np.append(np.log10((self.counts + 1) / (self.total + self.distinct + 1)), 0.0)
-        #: By place, then the start of a text: counts as a history, and log10 of the failure arc.
-        self.history = np.append(self.counts, 0).astype(float)
-        self.fail = np.zeros(len(self.hashes) + 1)
-        self.back = np.zeros(self.start + 2)  # the failure arcs by state; the empty state's is 0
-        self.keys = np.zeros(0, np.int64)
-        self.weights = np.zeros(0)
-        #: Whether the arcs are all pairs that training saw.
-        self.whole = True
-
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """Places in the dictionary; its length for words outside."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, len(self.hashes))
-
-    def ids(self, h: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(history, word) of each token: places, the number of words for the start of a text, hashes for words outside."""
-        word = np.where(places == len(self.hashes), h.view(np.int64), places)
-        return np.append(len(self.hashes), word[:-1]), word
-
-    def inside(self, ids: np.ndarray) -> np.ndarray:
-        return (ids >= 0) & (ids <= len(self.hashes))
-
-    def look_up_keys(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The keys of pairs in the table of weights."""
-        near = self.inside(before) & self.inside(word)
-        return np.where(near, before * (len(self.hashes) + 1) + word, _mixed(before, word))
-
-    def pairs(self, places: np.ndarray) -> np.ndarray:
-        """For each token its (state before, word as state) key, or -1 where either is no state."""
-        word = self.state[places]
-        before = np.append(self.start, word[:-1])
-        return np.where((before >= 0) & (word >= 0), before * (self.start + 1) + word, -1)
-
-    def set_failures(self, before: np.ndarray, kinds: np.ndarray, starts: int) -> None:
-        """`kinds`: distinct words behind each history of the dictionary; `starts`: training texts, the count of the start."""
-        self.history[-1] = starts
-        self.fail[before] = np.log10(DISCOUNT * kinds / self.history[before])
-        known = np.flatnonzero(self.state >= 0)
-        self.back[self.state[known]] = self.fail[known]
-        self.back[self.start] = self.fail[-1]
-
-    def gain(self, counts: np.ndarray, history: np.ndarray, fail: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
-        """How much more the arc of a pair weighs than the failure path."""
-        return np.log10(1 + (counts - DISCOUNT) / history / 10 ** (fail + log_p1))
-
-    def set_arcs(self, before: np.ndarray, word: np.ndarray, counts: np.ndarray) -> None:
-        """Keep the pairs (places) of which both words are states as arcs."""
-        states = np.append(self.state[:-1], self.start)
-        held = (states[before] >= 0) & (self.state[word] >= 0)
-        before, word, counts = before[held], word[held], counts[held]
-        keys = states[before] * (self.start + 1) + self.state[word]
-        order = np.argsort(keys)
-        base = self.fail[before] + self.log_p1[word]
-        self.keys, self.weights = keys[order], (base + self.gain(counts, self.history[before], self.fail[before], self.log_p1[word]))[order]
-
-    def read(self, h: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
-        """One traversal: (sum of log10 P1, sum of the automaton's weights) as far as the cache goes, where words are outside
-        the dictionary, and the keys of histories and pairs that are left to the table of weights.
+        self.log_p1 = np.log10((self.counts[:-1] + 1) / (self.total + self.distinct + 1))
+        self.start = len(self.hashes)
+        self.hot_kinds = np.full(len(self.counts), -1, np.int64)
+        self.hot_kinds[self.start] = start_kinds
+        keys = np.asarray(list(hot), np.int64).view(np.uint64)
+        at = _finder(self.hashes)(keys)
+        self.hot_kinds[at[at >= 0]] = np.asarray(list(hot.values()), np.int64)[at >= 0]
+        self.end = int(_finder(self.hashes)(np.asarray([_END]))[0])
+        self.key_bytes = max(1, -(-max(1, len(self.counts) * max(1, self.start)).bit_length() // 8))
+
+    def arcs(self, state: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(c_uv - D) / c_u, not below 0, and b_u for distinct pairs with the number of times training saw them.
+
+        States and words are places in the dictionary or, outside, negative. All pairs of a state that is not hot are here.
         """
-        places = self.look_up(h)
-        outside = places == len(self.hashes)
-        base = self.log_p1[places]  # 0 outside
-        before, word = self.ids(h, places)
-        near = self.inside(before)
-        step = base + np.where(near, self.fail[np.where(near, before, 0)], 0.0)
-        left = np.ones(len(h), bool)
-        if len(self.keys):
-            key = self.pairs(places)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            left = self.keys[at] != key
-            step = np.where(left, step, self.weights[at])
-        if self.whole:
-            return float(base.sum()), float(step.sum()), outside, np.zeros(0, np.int64)
-        keys = np.append(_mixed(before[~near], _HISTORY), self.look_up_keys(before[left], word[left]))
-        return float(base.sum()), float(step.sum()), outside, keys
-
-
-def _count_pairs(texts: DataFrame, model: Automaton) -> DataFrame:
-    """(u, v, c): every pair of neighbouring tokens, counted, as `ids` names them."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        wide = len(m.hashes) + 1
-        for frame in frames:
-            far: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def keys_of(text):
-                h = _sequence(text)
-                before, word = m.ids(h, m.look_up(h))
-                near = m.inside(before) & m.inside(word)
-                if not near.all():
-                    far.append((before[~near], word[~near]))
-                return before[near] * wide + word[near]
-
-            for part in _counted(iter([frame]), keys_of):
-                yield pd.DataFrame({"u": part["h"] // wide, "v": part["h"] % wide, "c": part["c"]})
-            if far:  # rare pairs: nothing is gained by counting them here
-                before, word = (np.concatenate(x) for x in zip(*far))
-                yield pd.DataFrame({"u": before, "v": word, "c": 1})
-
-    return texts.select("text").mapInPandas(run, "u long, v long, c long").groupBy("u", "v").agg(F.sum("c").alias("c"))
-
-
-def _gains(pairs: DataFrame, failures: DataFrame, counts: DataFrame, model: Automaton) -> DataFrame:
-    """(h, w): for each pair what its arc weighs more than the failure path, and log10 of the failure arcs outside the dictionary."""
-    shared = pairs.sparkSession.sparkContext.broadcast(model)
-    norm = float(model.total + model.distinct + 1)
-    within = lambda c: F.col(c).between(0, len(model.hashes))
-    none = F.lit(None).cast("double")
-    fail = F.log10(DISCOUNT * F.col("kinds") / F.col("c"))
-    # A history outside the dictionary is rare, and so is such a word: no key of these joins is hot.
-    outer = failures.where(~within("u")).join(counts.withColumnRenamed("h", "u"), "u").select("u", F.col("c").cast("double").alias("history"), fail.alias("fail"))
-    if len(model.hashes) < model.distinct:
-        pairs = pairs.where(within("u")).select("*", none.alias("history"), none.alias("fail")).union(pairs.where(~within("u")).join(outer, "u").select("u", "v", "c", "history", "fail"))
-        words = counts.select(F.col("h").alias("v"), F.log10((F.col("c") + 1) / F.lit(norm)).alias("log_p1"))
-        pairs = pairs.where(within("v")).select("*", none.alias("log_p1")).union(pairs.where(~within("v")).join(words, "v").select("u", "v", "c", "history", "fail", "log_p1"))
-    else:
-        pairs = pairs.select("*", none.alias("history"), none.alias("fail"), none.alias("log_p1"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for frame in frames:
-            u, v = frame["u"].to_numpy(), frame["v"].to_numpy()
-            before, word = np.where(m.inside(u), u, 0), np.where(m.inside(v), v, 0)
-            given = {c: frame[c].to_numpy(dtype=float, na_value=np.nan) for c in ("history", "fail", "log_p1")}
-            history = np.where(m.inside(u), m.history[before], given["history"])
-            back = np.where(m.inside(u), m.fail[before], given["fail"])
-            base = np.where(m.inside(v), m.log_p1[word], given["log_p1"])
-            yield pd.DataFrame({"h": m.look_up_keys(u, v), "w": m.gain(frame["c"].to_numpy(), history, back, base)})
+        seen = times > 0
+        states, kinds = np.unique(state[seen], return_counts=True)
+        at = np.minimum(np.searchsorted(states, state), max(0, len(states) - 1))
+        known = states[at] == state if len(states) else np.zeros(len(state), bool)
+        own_kinds = np.where(known, kinds[at] if len(states) else 0, 0)
+        inside = state >= 0
+        hot = np.where(inside, self.hot_kinds[np.where(inside, state, 0)], -1)
+        own_kinds = np.where(hot >= 0, hot, own_kinds)
+        rare = np.bincount(at[known], times[known], len(states)) if len(states) else np.zeros(1)
+        history = np.where(inside, self.counts[np.where(inside, state, 0)], np.where(known, rare[at], 0)).astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = np.where(history > 0, np.maximum(times - DISCOUNT, 0.0) / history, 0.0)
+            b = np.where(history > 0, DISCOUNT * own_kinds / history, 1.0)
+        return a, b
+
+
+_STEPS = "bucket int, sheet long, docs binary, keys binary, far_docs binary, far_states binary, far_words binary, doc_id array<long>, n_tokens binary, n_known binary, base binary"
+
+
+def steps(docs: DataFrame, model: Automaton, buckets: int) -> DataFrame:
+    """The traversal of docs (doc_id, text, train): each step's arc, packed by the task that owns it, and what is known of each text.
+
+    Texts are numbered within sheets of at most 32,768; in `docs` a number's lowest bit says whether the text trains.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"h": _mixed(frame["u"].to_numpy(), _HISTORY), "w": frame["fail"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return pairs.mapInPandas(run, "h long, w double").union(outer.select("u", "fail").mapInPandas(marked, "h long, w double"))
+        m = shared.value
+        words, number = WordHashes(_finder(m.hashes)), TaskContext.get().partitionId() << 32
+        owner = (_mixed(np.arange(len(m.counts))) % np.uint64(buckets)).astype(np.int64)
+        hot = m.hot_kinds >= 0
+        schema = pa.schema([("bucket", pa.int32()), ("sheet", pa.int64()), *((c, pa.binary()) for c in ("docs", "keys", "far_docs", "far_states", "far_words")), ("doc_id", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_tokens", "n_known", "base"))])
+        for batch in batches:
+            for part, texts in stretches(batch, 4 << 20):
+                s = Sheet(words, texts, m.end, m.start)
+                train = part.column("train").to_numpy(zero_copy_only=False)
+                doc = (2 * s.doc + train[s.doc]).astype(np.uint16)
+                known = s.tag >= 0
+                base = np.bincount(s.doc, np.where(known, m.log_p1[np.where(known, s.tag, 0)] if m.start else 0.0, 0.0), len(texts))
+                mine = [int(number % buckets)], [number], [None], [None], [None], [None], [None], [part.column("doc_id").to_pylist()], [s.sizes.tobytes()], [np.bincount(s.doc, known, len(texts)).astype(np.int64).tobytes()], [base.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(mine, schema)], schema=schema)
+                state = np.where(s.state_tag >= 0, s.state_tag, (s.state_hash | _TOP_BIT).view(np.int64))
+                word = np.where(known, s.tag, (s.hash | _TOP_BIT).view(np.int64))
+                inside = state >= 0
+                at = np.where(inside, state, 0)
+                split = inside & hot[at]
+                home = np.where(inside, owner[at], (_mixed(state) % np.uint64(buckets)).astype(np.int64))
+                home = np.where(split, (_mixed(state, word) % np.uint64(buckets)).astype(np.int64), home)
+                near = inside & known
+                keys = (state[near] * max(1, m.start) + word[near]).view(np.uint8).reshape(-1, 8)[:, : m.key_bytes]
+                yield packed_arcs(schema, number, home, near, doc, keys, state, word)
+                number += 1
+
+    def packed_arcs(schema, number, home, near, doc, keys, state, word) -> pa.RecordBatch:
+        """A row for each task that owns an arc of the sheet."""
+
+        def dealt(which: np.ndarray, *values: np.ndarray) -> list[list[bytes | None]]:
+            own = home[which]
+            order = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[order], np.append(tasks, buckets + 1))
+            out = []
+            for v in values:
+                raw, width = np.ascontiguousarray(v[order]).tobytes(), v.itemsize * (v.shape[1] if v.ndim > 1 else 1)
+                out.append([raw[width * a : width * b] for a, b in zip(edges[:-1], edges[1:])])
+            return out
+
+        tasks = np.unique(home)
+        far = ~near
+        columns = [*dealt(near, doc[near], keys), *dealt(far, doc[far], state[far], word[far])]
+        none = [None] * len(tasks)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([tasks.tolist(), [number] * len(tasks), *columns, none, none, none, none], schema)], schema=schema)
+
+    return docs.select("doc_id", "text", "train").mapInArrow(run, _STEPS)
+
+
+_RESOLVED = "sheet long, docs binary, sums binary, doc_id array<long>, n_tokens binary, n_known binary, base binary, doc int, word long, a double, b double"
+
+
+def resolved(packed: DataFrame, model: Automaton, buckets: int) -> DataFrame:
+    """Steps with their weights, summed by text (docs, sums); steps to words outside the dictionary as rows (doc, word, a, b)."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("sheet", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.binary()), ("n_known", pa.binary()), ("base", pa.binary()), ("doc", pa.int32()), ("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def joined(parts: list[tuple[int, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all sheets, and the number of each value's sheet."""
+        values = [np.frombuffer(raw, kind) for _, raw in parts]
+        if not values:
+            return np.zeros(0, kind), np.zeros(0, np.int64)
+        return np.concatenate(values), np.repeat(np.asarray([x for x, _ in parts], np.int64), [len(v) for v in values])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        held: dict[str, list[tuple[int, bytes]]] = {c: [] for c in ("docs", "keys", "far_docs", "far_states", "far_words")}
+        numbers: dict[int, int] = {}  # of sheets, in this task
+        for batch in batches:
+            texts = batch.filter(batch.column("doc_id").is_valid())
+            if texts.num_rows:
+                yield rows(texts.num_rows, **{c: texts.column(c) for c in ("sheet", "doc_id", "n_tokens", "n_known", "base")})
+            arcs = batch.filter(batch.column("doc_id").is_null())
+            sheets = [numbers.setdefault(x, len(numbers)) for x in arcs.column("sheet").to_pylist()]
+            for c, own in held.items():
+                own += [(k, raw) for k, raw in zip(sheets, arcs.column(c).to_pylist()) if raw]
+        doc, sheet = joined(held["docs"], np.uint16)
+        raw = np.frombuffer(b"".join(x for _, x in held["keys"]), np.uint8).reshape(-1, m.key_bytes)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, : m.key_bytes] = raw
+        key = key.view(np.int64).ravel()
+        far_doc, far_sheet = joined(held["far_docs"], np.uint16)
+        far_state, far_word = joined(held["far_states"], np.int64)[0], joined(held["far_words"], np.int64)[0]
+        held.clear()
+        if not len(key) and not len(far_doc):
+            return
+        # Distinct pairs, and for each step its pair.
+        near, pair = np.unique(key, return_inverse=True)
+        order = np.lexsort((far_word, far_state))
+        new = np.concatenate([[True], (np.diff(far_state[order]) != 0) | (np.diff(far_word[order]) != 0)])[: len(order)]
+        far_pair = np.empty(len(order), np.int64)
+        far_pair[order] = np.cumsum(new) - 1
+        state = np.concatenate([near // max(1, m.start), far_state[order][new]])
+        word = np.concatenate([near % max(1, m.start), far_word[order][new]])
+        pair = np.concatenate([pair, far_pair + len(near)])
+        doc, sheet = np.concatenate([doc, far_doc]), np.concatenate([sheet, far_sheet])
+        a, b = m.arcs(state, word, np.bincount(pair, doc & 1, len(state)))
+        inside = word >= 0
+        p1 = 10 ** m.log_p1[np.where(inside, word, 0)] if m.start else np.zeros(len(word))
+        weight = np.log10(np.where(inside, a + b * p1, 1.0))
+        doc >>= 1
+        # Back by text, sheet by sheet.
+        names = np.asarray(list(numbers), np.int64)
+        place, where = np.unique((sheet << 16) | doc, return_inverse=True)
+        sums = np.bincount(where, weight[pair], len(place)).astype(np.float32)
+        at, texts = place >> 16, (place & 0xFFFF).astype(np.uint16)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+        own = [(int(names[at[i]]), texts[i:j].tobytes(), sums[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:])]
+        yield rows(len(own), sheet=pa.array([x[0] for x in own]), docs=pa.array([x[1] for x in own]), sums=pa.array([x[2] for x in own]))
+        out = np.flatnonzero(~inside[pair])
+        for k in range(0, len(out), 100_000):
+            i = out[k : k + 100_000]
+            yield rows(len(i), sheet=pa.array(names[sheet[i]]), doc=pa.array(doc[i].astype(np.int32)), word=pa.array(word[pair[i]]), a=pa.array(a[pair[i]]), b=pa.array(b[pair[i]]))
+
+    return packed.repartitionById(buckets, "bucket").mapInArrow(run, _RESOLVED)
+
+
+def assembled(parts: DataFrame, late: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every text from the sums of all tasks; `late` has (sheet, doc, known, more_base, more)."""
+    names = ("sheet", "docs", "sums", "doc_id", "n_tokens", "n_known", "base")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["sheet"], []).append(row)
+        for rows in held.values():
+            own = next(r for r in rows if r["doc_id"] is not None)
+            n, known, base = (np.frombuffer(own[c], k).copy() for c, k in (("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64)))
+            score = np.zeros(len(n))
+            for r in rows:
+                if r["sums"] is not None:
+                    score[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["sums"], np.float32)
+                elif r["doc"] is not None:
+                    known[r["doc"]] += r["known"]
+                    base[r["doc"]] += r["more_base"]
+                    score[r["doc"]] += r["more"]
+            yield pa.RecordBatch.from_arrays([pa.array(own["doc_id"], pa.int64()), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    every = parts.where("word IS NULL").select(*names).unionByName(late, allowMissingColumns=True)
+    return every.repartition("sheet").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the full table of weights (h, token, w): log10 P1 of tokens, and what `_gains` has for the rest."""
-    counts = table(count_tokens(texts), "lm-counts")
+    """What every worker knows, and the counts (h, c) of all words."""
+    hot = hot_words(texts)
+    every = table(counted(texts, hot), "lm-counts")
+    counts = every.where("u IS NULL").select("h", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = counts.where(F.col("c") >= _least_count(counts, DICTIONARY)).toArrow()  # at most DICTIONARY rows
-    model = Automaton(known["h"].to_numpy(), known["c"].to_numpy(), total, distinct)
-    weights = counts.select("h", F.lit(True).alias("token"), F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("w"))
-    starts = counts.where(F.col("h") == int(np.uint64(_END).astype(np.int64))).first()
-    if starts is None:
-        return model, weights
-    pairs = table(_count_pairs(texts, model), "lm-pairs")
-    failures = table(pairs.groupBy("u").agg(F.count("*").alias("kinds")), "lm-failures")
-    near = failures.where(F.col("u").between(0, len(model.hashes))).toArrow()  # at most DICTIONARY + 1 rows
-    model.set_failures(near["u"].to_numpy(), near["kinds"].to_numpy(), starts["c"])
-    among = pairs.where(F.col("u").between(0, len(model.hashes)) & F.col("v").between(0, len(model.hashes)))
-    kept = among.where(F.col("c") >= _least_count(among, ARCS)).toArrow()  # at most ARCS rows
-    model.set_arcs(kept["u"].to_numpy(), kept["v"].to_numpy(), kept["c"].to_numpy())
-    model.whole = len(model.keys) == pairs.count()
-    if not model.whole:
-        weights = weights.union(_gains(pairs, failures, counts, model).select("h", F.lit(False), "w"))
-    return model, weights
-
-
-def score(docs: DataFrame, model: Automaton, weights: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for every row of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, far array<long>, often array<int>"
+    kinds = {r["u"]: r["kinds"] for r in every.where("u IS NOT NULL").collect()}  # at most HOT + 1 rows
+    starts = counts.where(F.col("h") == int(_END.astype(np.int64))).first()
+    by_hash = {int(h): kinds[k] for k, h in enumerate(hot.view(np.int64)) if k in kinds}
+    model = Automaton(known["h"].to_numpy(), known["c"].to_numpy(), total, distinct, starts["c"] if starts else 0, by_hash, kinds.get(len(hot), 0))
+    return model, counts
+
+
+def score(docs: DataFrame, apart: Column | None = None) -> tuple[DataFrame, Automaton]:
+    """(doc_id, n_tokens, n_known, base_score, score) for every row of docs (doc_id, text); rows for which `apart` holds teach nothing."""
+    apart = F.lit(False) if apart is None else apart
+    marked = docs.select("doc_id", "text", (~apart).alias("train"))
+    model, counts = train(marked.where("train"))
+    tokens = model.total + model.total // 4
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, -(-tokens // BUCKET), min(cores, tokens // (BUCKET // 8)))
+    parts = table(resolved(steps(marked, model, buckets), model, buckets), "lm-parts")
+    norm = float(model.total + model.distinct + 1)
+    # Words outside the dictionary are rare, so no key of this join is hot. What training never saw counts 0.
+    rare = counts.select(_unsigned("h").alias("word"), "c")
+    if len(model.hashes):
+        rare = rare.where(F.col("c") <= int(model.counts[:-1].min()))
+    waiting = parts.where("word IS NOT NULL").select("sheet", "doc", "word", "a", "b").join(rare, "word", "left")
+    p1 = (F.coalesce("c", F.lit(0)) + 1) / F.lit(norm)
+    late = waiting.groupBy("sheet", "doc").agg(F.count("c").alias("known"), F.sum(F.log10(p1)).alias("more_base"), F.sum(F.log10(F.col("a") + F.col("b") * p1)).alias("more"))
+    return assembled(parts, late), model
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                h = _sequence(text)
-                base, full, outside, keys = m.read(h)
-                rare, times = np.unique(h[outside], return_counts=True)
-                far, often = np.unique(keys, return_counts=True)
-                rows.append((None if pd.isna(doc) else int(doc), len(h), len(h) - int(outside.sum()), base, full, rare.view(np.int64), times.astype(np.int32), far, often.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times", "far", "often"]).astype({"doc_id": "Int64"})
-
-    read = table(docs.select("doc_id", "text").mapInPandas(run, columns).withColumn("place", F.monotonically_increasing_id()), "lm-read")
-    unknown = -math.log10(model.total + model.distinct + 1)
-
-    def rows(keys: str, times: str, token: bool) -> DataFrame:
-        return read.select("place", F.explode(F.arrays_zip(keys, times)).alias("x")).select("place", F.col(f"x.{keys}").alias("h"), F.lit(token).alias("token"), F.col(f"x.{times}").alias("n"))
-
-    left = rows("rare", "times", True)
-    if not model.whole:
-        left = left.union(rows("far", "often", False))
-    # A token that training never saw has no row in `weights`: it counts 0. A pair or history without one adds nothing.
-    weight = F.col("n") * F.coalesce("w", F.when(F.col("token"), F.lit(unknown)).otherwise(F.lit(0.0)))
-    found = left.join(weights, ["h", "token"], "left").groupBy("place").agg(
-        F.sum(F.when(F.col("token") & F.col("w").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(F.col("token"), weight).otherwise(0.0)).alias("more_base"),
-        F.sum(weight).alias("more"),
-    )
-    return read.drop("rare", "times", "far", "often").join(found, "place", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
-
-
-def held_out(modulus: int, rest: int):
+
+def held_out(modulus: int, rest: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     apart = F.coalesce(held_out(7, 2), F.lit(False))
-    model, weights = train(docs.where(~apart))
-    df = score(docs, model, weights)
-    return df.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    df, model = score(docs, apart)
+    per_token = F.col("score") / F.col("n_tokens")
+    return df.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", per_token.alias("mean_score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -18,33 +20,47 @@ class Ids(dict):
 
 
 class WordHashes:
-    """Lower-cases A to Z and splits at space and U+0009 to U+000D, which is what bytes.lower and bytes.split do."""
+    """Lower-cases A to Z and splits at space and U+0009 to U+000D, which is what bytes.lower and bytes.split do.
+
+    `tagger`, if given, says a number for each hash; like the hash itself it is found once a word.
+    """
 
-    def __init__(self):
+    def __init__(self, tagger: Callable[[np.ndarray], np.ndarray] | None = None):
         self.ids = Ids()
+        self.tagger = tagger
         self.hashes = np.zeros(0, np.uint64)
+        self.tags = np.zeros(0, np.int64)
 
-    def of(self, text: str) -> np.ndarray:
-        """The hash of every word, in order."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
+    def _places(self, text: str) -> np.ndarray:
+        """Each word's place in the tables, which hold until the next text."""
         ids = self.ids
+        if len(ids) > REMEMBERED:
+            ids.clear()
+        words = text.encode("utf-8", "surrogatepass").lower().split()
         known = len(ids)
         at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         if len(ids) > known:
-            fresh = [xxhash.xxh3_64_intdigest(w) for w in list(ids)[known:]] if known == 0 else self._fresh(words, known)
             if len(ids) > len(self.hashes):
-                grown = np.zeros(max(1024, 2 * len(ids)), np.uint64)
-                grown[:known] = self.hashes[:known]
-                self.hashes = grown
-            self.hashes[known : len(ids)] = fresh
-        out = self.hashes[at]
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        return out
+                for name in ("hashes", "tags"):
+                    old = getattr(self, name)
+                    grown = np.zeros(max(1024, 2 * len(ids)), old.dtype)
+                    grown[:known] = old[:known]
+                    setattr(self, name, grown)
+            fresh = ids if known == 0 else [w for w in dict.fromkeys(words) if ids[w] >= known]
+            self.hashes[known : len(ids)] = [xxhash.xxh3_64_intdigest(w) for w in fresh]
+            if self.tagger:
+                self.tags[known : len(ids)] = self.tagger(self.hashes[known : len(ids)])
+        return at
 
-    def _fresh(self, words: list[bytes], known: int) -> list[int]:
-        ids = self.ids
-        return [xxhash.xxh3_64_intdigest(w) for w in dict.fromkeys(words) if ids[w] >= known]
+    def of(self, text: str) -> np.ndarray:
+        """The hash of every word, in order."""
+        at = self._places(text)
+        return self.hashes[at]
+
+    def tagged(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and the tag of every word, in order."""
+        at = self._places(text)
+        return self.hashes[at], self.tags[at]
 
 
 _HASHER: list[WordHashes] = []
