@@ -303,56 +303,65 @@ def test_language_as_with_plain_sets(docs):
         langid._STRETCH = before
 
 
-def test_language_model(docs, empty):
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    seq = [(i, [*words_of(t), b" "]) for i, t, _ in TEXTS]
-    count = Counter(w for i, s in seq if not held(i) for w in s)
-    n, v = sum(count.values()), len(count)
-    from pyspark.sql import functions as F
-
-    apart = F.coalesce(lm.held_out(7, 2), F.lit(False))
-    model, counts = lm.train(docs.where(~apart))
-    assert (model.total, model.distinct) == (n, v)
-    got = sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs, model, counts).collect())
-    assert got == sorted((len(s), sum(count[w] > 0 for w in s), round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in s), 6)) for _, s in seq)
-    # The automaton is a distribution: from any state, all words and the unknown one sum to one.
-    p1 = np.append((model.counts + 1) / (n + v + 1), 1 / (n + v + 1))
-    assert abs(p1.sum() - 1) < 1e-9
-    for state in (0, model.start):
-        arcs = {int(k % (model.start + 1)): 10**w for k, w in zip(model.keys, model.weights) if k // (model.start + 1) == state}
-        place = {int(s): i for i, s in enumerate(model.state[:-1]) if s >= 0}
-        total = sum(arcs.values()) + 10 ** model.back[state] * (1 - sum(p1[place[s]] for s in arcs))
-        assert abs(total - 1) < 1e-6
-    bare, none = lm.train(empty)
-    assert lm.score(docs, bare, none).where("n_known != 0").count() == 0 and lm.score(empty, bare, none).count() == 0
-
-
-@pytest.mark.parametrize("dictionary, states, arcs", [(lm.DICTIONARY, lm.STATES, lm.ARCS), (lm.DICTIONARY, 8, 10), (40, 8, 10), (0, 2, 0)])
-def test_language_model_has_every_pair(docs, monkeypatch, dictionary, states, arcs):
-    """Whatever the size of the cache, scores are those of all words and all pairs counted by hand."""
-    for name, size in (("DICTIONARY", dictionary), ("STATES", states), ("ARCS", arcs)):
-        monkeypatch.setattr(lm, name, size)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    seq = [(i, [*words_of(t), b" "]) for i, t, _ in TEXTS]
+def by_definition(rows, held):
+    """(tokens, known, base, score) of every text from counts by hand, and the bigram's probability."""
+    seq = [(i, [*words_of(t), b" "]) for i, t in rows]
     count = Counter(w for i, s in seq if not held(i) for w in s)
     pair = Counter(p for i, s in seq if not held(i) for p in zip([b""] + s, s))
-    history = Counter()
-    kinds = Counter(u for u, _ in pair)
+    history, kinds = Counter(), Counter(u for u, _ in pair)
     for (u, _), c in pair.items():
         history[u] += c
     norm = sum(count.values()) + len(count) + 1
 
-    def log_p(u, v):
+    def p(u, v):
         p1 = (count[v] + 1) / norm
-        return math.log10(p1 if not history[u] else (max(0, pair[u, v] - lm.DISCOUNT) + lm.DISCOUNT * kinds[u] * p1) / history[u])
+        return (max(0, pair[u, v] - lm.DISCOUNT) + lm.DISCOUNT * kinds[u] * p1) / history[u] if history[u] else p1
 
-    from pyspark.sql import functions as F
+    return [(len(s), sum(count[w] > 0 for w in s), sum(math.log10((count[w] + 1) / norm) for w in s), sum(math.log10(p(*x)) for x in zip([b""] + s, s))) for _, s in seq], p, count
 
-    got = lm.score(docs, *lm.train(docs.where(~F.coalesce(lm.held_out(7, 2), F.lit(False))))).collect()
-    want = sorted((len(s), sum(count[w] > 0 for w in s), round(sum(math.log10((count[w] + 1) / norm) for w in s), 4), round(sum(log_p(*p) for p in zip([b""] + s, s)), 4)) for _, s in seq)
+
+def same_scores(got, want):
     have = sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got)
+    want = sorted(want)
     assert [x[:2] for x in have] == [x[:2] for x in want]
-    assert np.allclose([x[2:] for x in have], [x[2:] for x in want], atol=1e-3)
+    assert np.allclose(sorted(x[2] for x in have), sorted(x[2] for x in want), atol=1e-6, rtol=1e-9)
+    assert np.allclose(sorted(x[3] for x in have), sorted(x[3] for x in want), atol=1e-4, rtol=1e-6)
+
+
+@pytest.mark.parametrize("dictionary, hot, bucket, sampled", [(lm.DICTIONARY, lm.HOT, lm.BUCKET, lm.SAMPLED), (40, 5, 20_000, 1), (0, 3, 10_000, 1), (500, 0, 5_000, 1), (7, 50, 30_000, 2)])
+def test_language_model_has_every_pair(docs, monkeypatch, dictionary, hot, bucket, sampled):
+    """Whatever is cached, split or dealt out, scores are those of all words and all pairs counted by hand."""
+    from pyspark.sql import functions as F
+
+    for name, size in (("DICTIONARY", dictionary), ("HOT", hot), ("BUCKET", bucket), ("SAMPLED", sampled)):
+        monkeypatch.setattr(lm, name, size)
+    want, p, count = by_definition([(i, t) for i, t, _ in TEXTS], lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
+    got, model = lm.score(docs, F.coalesce(lm.held_out(7, 2), F.lit(False)))
+    assert (model.total, model.distinct) == (sum(count.values()), len(count))
+    same_scores(got.collect(), want)
+    for u in (b"", b"one", b"never seen"):  # any state's probabilities, with that of one unknown word, sum to one
+        assert abs(sum(p(u, v) for v in [*count, b"no such word"]) - 1) < 1e-9
+
+
+def test_language_model_query(spark, tmp_path):
+    """The registered query on a small table: repeated texts, one very common pair, null, many sheets."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice(["is onhe.", "is onhe.", "The", "a", f"w{rnd.randint(0, 400)}"]) for _ in range(rnd.randint(0, 80)))) for i in range(400)]
+    rows += [(1000, None), (1001, rows[5][1]), (None, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = lm.query(spark, str(tmp_path)).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    want, _, count = by_definition(rows, held)
+    same_scores(got, want)
+    assert all(r["held_out"] == held(r["doc_id"]) and r["train_tokens"] == sum(count.values()) for r in got)
+
+
+def test_language_model_of_nothing(docs, empty):
+    from pyspark.sql import functions as F
+
+    got, _ = lm.score(docs, F.lit(True))
+    assert all(r["n_known"] == 0 and r["score"] == r["base_score"] == 0 for r in got.collect())
+    assert lm.score(empty)[0].count() == 0
 
 
 def shingles(t, w):
