@@ -179,8 +179,9 @@ def _prepared(docs: DataFrame, *keep: str) -> DataFrame:
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep`, then __text, assign, access, hex, random, base and all: arrays of struct(s, o, k, e, m)."""
-    # Few texts have a token: the first pass looks for one and takes only those texts apart.
-    tokens = _prepared(docs.where(F.col("text").rlike(_TOKEN))).select(F.explode("__tokens.m").alias("t")).withColumn("p", battery(F.col("t"))["natural"])
+    # Few texts have a token: the first pass looks for one and takes only those texts apart. An outer explode, since of an inner one
+    # the optimiser would make a filter that works out the tokens once more.
+    tokens = _prepared(docs.where(F.col("text").rlike(_TOKEN))).select(F.explode_outer("__tokens.m").alias("t")).where("t IS NOT NULL").withColumn("p", battery(F.col("t"))["natural"])
     histogram = tokens.groupBy(_class(F.length("t")).alias("c"), _bin(F.col("p")).alias("b")).agg(F.count("*").alias("n"))
     limits = thresholds([tuple(r) for r in histogram.collect()])  # at most (len(CLASSES) + 1) x (_P_BINS + 1) rows
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
