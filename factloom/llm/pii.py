@@ -102,7 +102,8 @@ def contexts(found: DataFrame) -> DataFrame:
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
     """`keep` and term: every word of every text."""
     every = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), F.lit(0))
-    return docs.select(*keep, F.explode(every if not keep else F.array_distinct(every)).alias("term")).withColumn("term", F.lower("term"))
+    # An outer explode: of an inner one the optimiser would make a filter that finds all words once more.
+    return docs.select(*keep, F.explode_outer(every if not keep else F.array_distinct(every)).alias("term")).where("term IS NOT NULL").withColumn("term", F.lower("term"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
