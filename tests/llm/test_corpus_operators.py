@@ -659,6 +659,81 @@ def test_nearest_recall(factor, least):
     assert search.visited < 0.5 * 8000 * 160
 
 
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_registered_queries(spark, tmp_path):
+    """The contract's columns of the registered queries, on whole small tables, by brute force."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from factloom.llm.entry import QUERIES
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(i, t, g) for i, t, g in TEXTS if i != 15]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    key = lambda *x: tuple(-1 if y is None else y for y in x)
+    both = lambda got, want: sorted(got) == sorted(want)
+
+    base = [[(k, m.start(), m.end()) for k, p, f in (
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ) for m in re.finditer(p, t or "") if f(m)] for _, t, _ in rows]
+    order = ("assign", "access", "hex")
+    want = [key(i, *(sum(k == x for k, _, _ in s) for x in order), sha(listed(sorted(s, key=lambda x: (x[1], order.index(x[0])))))) for (i, _, _), s in zip(rows, base)]
+    got = run("op1_secrets")
+    assert both([key(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got], want)
+    for r in got:  # all spans by start, then kind; base ones among them
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [int(x[1]) for x in spans] == sorted(int(x[1]) for x in spans) and sha(",".join(":".join(x) for x in spans if x[0] != "random")) == r["base_sha256"]
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    ids = [model.encode(t or "") for _, t, _ in rows]
+    assert both([key(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in run("op2_piece_codec")], [key(i, len(x), sha(",".join(map(str, x))), sha(model.decode(x))) for (i, _, _), x in zip(rows, ids)])
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    spans = [[(k, m.start(), m.end()) for k, p, f in kinds for m in re.finditer(p, t or "") if f(m[0])] for _, t, _ in rows]
+    got = run("op3_pii")
+    assert both([key(r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got], [key(i, *(sum(k == x for k, _, _ in s) for x, _, _ in kinds), sha(listed(s))) for (i, _, _), s in zip(rows, spans)])
+    assert all(sha(",".join(x for x in r["spans"].split(",") if x and not x.startswith("term:"))) == r["base_sha256"] for r in got)
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    got = run("op5_langid")
+    assert both([key(r["doc_id"], r["held_out"]) for r in got], [key(i, held(i)) for i, _, _ in rows]) and all(r["lang_pred"] in ("en", "fr", "und") and 0 <= r["score"] <= 1 for r in got)
+
+    got = run("op8_minhash")
+    assert both([key(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], [key(*x) for x in linked_groups([(i, t) for i, t, _ in rows])])
+
+    whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = defaultdict(list)
+    for i, t, _ in rows:
+        texts[i].append(np.asarray([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4"))
+    got, at = run("op10_packing"), defaultdict(list)
+    for r in got:
+        assert any(zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] and len(x) == r["doc_tokens"] for x in texts[r["doc_id"]])
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in got) == sum(len(x) for own in texts.values() for x in own)
+    assert all(o == sum(n for _, n in sorted(own)[:k]) for own in at.values() for k, (o, _) in enumerate(sorted(own))) and max(o + n for own in at.values() for o, n in own) <= 2048
+
+    vectors = [(i, np.random.default_rng(i).normal(size=6).tolist()) for i in range(120)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    raw = np.asarray([v for _, v in vectors])
+    for q in (0, 50, 100):
+        c = ann.cosine(np.repeat(raw[q : q + 1], 120, 0), raw)
+        want = sorted(((-c[i], i) for i in range(120) if i != q))[:5]
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(run("op9_nearest"), key=lambda r: r["rank"]) if r["query_id"] == q] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+    spark.createDataFrame([(1, "https://A.example.NET/en/x?y", None), (2, "http://b.org/fr/", '<a href="https://c.example/">'), (3, "x://c.example/#f", None), (4, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in run("op7_url_filter")}
+    assert got == {1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("b.org", "/fr/", "org/fr/", "allow"), 3: ("c.example", "/", None, "allow"), 4: ("", "", None, "allow")}
+
+
 def test_pipeline(spark, docs, empty):
     import corpus_pipeline
 
