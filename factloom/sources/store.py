@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,32 +26,49 @@ def admitted(uploads: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def new_documents(batch: DataFrame, store: DataFrame, digest: str = "sha256", order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(new, duplicates): the first of each digest that the store lacks; the rest with the doc_id they repeat (SRC3, JN10)."""
-    first = batch.withColumn("_n", F.row_number().over(W.partitionBy(digest).orderBy(order)))
+    """(new, duplicates): the first of each digest that the store lacks; the rest with the doc_id they repeat (SRC3, JN10).
+
+    Owners are found by partial aggregation, so a digest of very many documents is one row.
+    """
     known = store.select(digest, F.col("doc_id").alias("existing"))
-    fresh = first.where("_n = 1").join(known.select(digest), digest, "left_anti").drop("_n")
-    owner = known.unionByName(fresh.select(digest, F.col("doc_id").alias("existing")))
-    again = batch.join(owner, digest).where("doc_id != existing")
-    return fresh, again
+    first = batch.groupBy(digest).agg(F.min_by("doc_id", order).alias("existing"))
+    owner = known.unionByName(first.join(known.select(digest), digest, "left_anti"))
+    matched = batch.join(owner, digest)
+    mine = matched.join(known.select(digest), digest, "left_anti").where("doc_id = existing")
+    return mine.select(*batch.columns), matched.where("doc_id != existing")
+
+
+def text_pages(content: bytes) -> Iterator[dict]:
+    """The decoder of plain text: UTF-8, a form feed between pages."""
+    for text in content.decode("utf-8", "replace").split("\f"):
+        yield {"text": text}
+
+
+def decode_pages(uploads: DataFrame, decoder: Callable[[bytes], Iterable[dict]] = text_pages, config: Config = DEFAULT) -> DataFrame:
+    """(path, page_index, text, declared, error): pages of each file by a pluggable decoder (SRC1).
 
+    A decoder may yield its pages; an over-long document is given up at the page that exceeds the limit, and gives an error row.
+    """
 
-def decode_pages(uploads: DataFrame, decoder: Callable[[bytes], list[dict]], config: Config = DEFAULT) -> DataFrame:
-    """(path, page_index, text, declared): pages of each file by a pluggable decoder (SRC1); over-long documents give an error row."""
+    def pages(path: str, content: bytes) -> list[tuple]:
+        rows, chars = [], 0
+        for i, p in enumerate(decoder(content)):
+            chars += len(p.get("text") or "")
+            if i >= config.max_pages:
+                raise ValueError(f"more than {config.max_pages} pages")
+            if chars > config.max_document_chars:
+                raise ValueError(f"more than {config.max_document_chars} characters")
+            rows.append((path, i + 1, p.get("text"), p.get("label"), None))
+        return rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
-                    found = decoder(bytes(content))
-                    if len(found) > config.max_pages:
-                        raise ValueError(f"more than {config.max_pages} pages")
-                    if sum(len(p.get("text") or "") for p in found) > config.max_document_chars:
-                        raise ValueError(f"more than {config.max_document_chars} characters")
-                    rows += [(path, i + 1, p.get("text"), p.get("label"), None) for i, p in enumerate(found)]
+                    rows = pages(path, bytes(content))
                 except Exception as e:  # noqa: BLE001  a file that cannot be read is a row, not a failed job
-                    rows.append((path, None, None, None, str(e)[:500]))
-            yield pd.DataFrame(rows, columns=["path", "page_index", "text", "declared", "error"]).astype({"page_index": "Int32"})
+                    rows = [(path, None, None, None, str(e)[:500])]
+                yield pd.DataFrame(rows, columns=["path", "page_index", "text", "declared", "error"]).astype({"page_index": "Int32"})
 
     return uploads.select("path", "content").mapInPandas(run, "path string, page_index int, text string, declared string, error string")
 

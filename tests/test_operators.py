@@ -176,6 +176,14 @@ def test_files(spark, tmp_path):
     assert {k: got[k] for k in ("e.pdf", "odd name_.PDF", "y.txt", "n.pdf")} == {"e.pdf": "empty", "odd name_.PDF": "ok", "y.txt": "not a pdf", "n.pdf": "no pdf header"}
     pages = store.decode_pages(store.files(spark, str(tmp_path), "n.pdf"), lambda content: [{"text": content.decode()}]).first()
     assert (pages["page_index"], pages["text"]) == (1, "nope")
+    def endless(content):
+        for k in range(10**9):
+            yield {"text": "x" * 10, "label": str(k)}
+
+    files = spark.createDataFrame([("a", bytearray(b"one\ftwo\xff")), ("b", bytearray(b""))], "path string, content binary")
+    assert [(r["path"], r["page_index"], r["text"]) for r in store.decode_pages(files).collect()] == [("a", 1, "one"), ("a", 2, "two\ufffd"), ("b", 1, "")]
+    assert {r["error"] for r in store.decode_pages(files, endless).collect()} == {"more than 600 pages"}
+    assert {r["error"] for r in store.decode_pages(files, endless, Config(max_document_chars=95)).collect()} == {"more than 95 characters"}
     df = spark.createDataFrame([("d1", 1), ("d2", 2)], "doc_id string, v int")
     store.replace_documents(df, str(tmp_path / "t"))
     store.replace_documents(df.where("v = 2").withColumn("v", F.lit(5)), str(tmp_path / "t"))
