@@ -159,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
     found = base_spans(rows, "doc_id", "fp").withColumn("sides", _sides(F.col("__text")))
     base = table(found.select("doc_id", "fp", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "sides"), "pii-base", scan=True)
-    degrees = disclosures(docs, table(contexts(base), "pii-contexts"))
+    degrees = disclosures(docs, contexts(base))
     telling = table(degrees.groupBy("term").agg(F.max("degree").alias("degree")), "pii-telling")
     by_text = table(occurrences(rows, telling), "pii-terms-by-text")
     df = base.drop("sides").alias("a").join(by_text.alias("b"), _own("a", "b"), "left").select("a.*", "b.term")
