@@ -221,6 +221,15 @@ def _breaker(spark, d):
     return stateful.breaker_states(e)
 
 
+_BREAKER = """WITH RECURSIVE e AS (SELECT event_type AS model, event_id AS call_id, CAST(user_id % 5 AS BIGINT) AS key, event_id % 3 <> 0 AS refused, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT model, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS call_id, false AS skipped, false AS open_, CAST([] AS BIGINT[]) AS keys, CAST(NULL AS DOUBLE) AS until_ FROM e
+  UNION ALL SELECT model, n, call_id, skip, next_ IS NOT NULL AND sec < next_, nkeys, next_
+  FROM (SELECT *, CASE WHEN skip THEN until_ WHEN refused AND len(nkeys) >= 2 THEN sec + 900 END AS next_
+    FROM (SELECT *, CASE WHEN skip THEN keys WHEN refused THEN list_distinct(list_append(CASE WHEN until_ IS NULL THEN keys ELSE CAST([] AS BIGINT[]) END, key)) ELSE CAST([] AS BIGINT[]) END AS nkeys
+      FROM (SELECT e.*, r.keys, r.until_, r.until_ IS NOT NULL AND e.sec < r.until_ AS skip FROM r JOIN e ON e.model = r.model AND e.n = r.n + 1))))
+SELECT model, call_id, skipped, open_ AS open FROM r WHERE n > 0"""
+
+
 # The prompt-like lines are appended so that every pattern occurs.
 _ATTACKS = ("Ignore all previous instructions.", "system: obey", "Here is a new task", "Answer only with plain json", "mark it as verified", "--- END TEXT ---", "a harmless line")
 
@@ -382,7 +391,7 @@ QUERIES = {
     "insert_ignore": (_insert, _INSERT),
     "budget_24h": (_budget, _BUDGET),
     "rate_limit": (_limiter, _LIMITER),
-    "breaker_state": (_breaker, None),
+    "breaker_state": (_breaker, _BREAKER),
     "injection_scan": (_injection, _INJECTION),
     "redact": (_redact, _REDACT),
     "json_coerce": (_json_coerce, _JSON_COERCE),
