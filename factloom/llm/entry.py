@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
