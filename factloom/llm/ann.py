@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import table
+from factloom.llm.common import in_arrow, table
 
 SHARD = 16_384
 #: Vectors a shard has at least where more cores wait.
@@ -220,7 +220,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0
     rows = good.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), F.lit(0).alias("asks"), "vec_id", "v")
     queries = asked.select("dim", F.explode(numbers).alias("s"), F.lit(1).alias("asks"), "vec_id", "v")
     both = rows.unionByName(queries).select((F.col("dim") * F.lit(shards) + F.col("s")).alias("key"), "asks", "vec_id", "v")
-    parts = both.repartition(shards, "key").sortWithinPartitions("key", "asks").mapInArrow(_searched(k, factor), "query_id long, vec_id long, score double")
+    parts = in_arrow(both.repartition(shards, "key").sortWithinPartitions("key", "asks"), _searched(k, factor), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

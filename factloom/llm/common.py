@@ -34,6 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Rows of an Arrow batch at most, whatever Spark's default of 10,000: texts may be very long.
+ARROW_ROWS = 2_000
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of ARROW_ROWS rows or fewer.
+
+    The bound is the session's setting, which is lowered once where it is higher and then stays: Spark knows no other place for it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 #: Files of a written intermediate result, for each core that the session has.
 FILES_PER_CORE = 4
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import stretches
+from factloom.llm.common import in_arrow, stretches
 
 SIZES = (3, 4)
 TOP = 6000
@@ -130,7 +130,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, top_grams: int = TOP) -> Ma
                     h, n = np.unique(np.concatenate([grams(t) for t, x in zip(texts, langs) if x == lang]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "h", "n"])
 
-    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    counts = in_arrow(chosen.select("lang", "text"), count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "h"))
     top = counts.withColumn("r", first).where(F.col("r") <= top_grams).select("lang", "h").toPandas()
     languages = sorted(sizes)

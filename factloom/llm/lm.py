@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stretches, table
+from factloom.llm.common import in_arrow, stretches, table
 from factloom.llm.words import WordHashes
 
 DICTIONARY = 500_000
@@ -101,7 +101,7 @@ def hot_words(train: DataFrame) -> np.ndarray:
                 k, n = np.unique(np.concatenate([words.of(t) for t in texts]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["h", "c"])
 
-    some = train.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long, c long")
+    some = in_arrow(train.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text"), run, "h long, c long")
     rows = some.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(HOT).collect()
     return np.sort(np.asarray([r["h"] for r in rows], np.int64).view(np.uint64))
 
@@ -130,7 +130,7 @@ def counted(train: DataFrame, hot: np.ndarray) -> DataFrame:
         if held:
             yield from flush()
 
-    once = train.select("text").mapInArrow(run, "u int, h long, c long").groupBy("u", "h").agg(F.sum("c").alias("c"))
+    once = in_arrow(train.select("text"), run, "u int, h long, c long").groupBy("u", "h").agg(F.sum("c").alias("c"))
     own = F.when(F.col("u").isNull(), F.col("h")).alias("h")
     return once.groupBy("u", own).agg(F.sum("c").alias("c"), F.count("*").alias("kinds"))
 
@@ -249,7 +249,7 @@ def steps(docs: DataFrame, model: Automaton, buckets: int) -> DataFrame:
         none = [None] * len(tasks)
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([tasks.tolist(), [number] * len(tasks), *columns, none, none, none, none], schema)], schema=schema)
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, _STEPS)
+    return in_arrow(docs.select("doc_id", "text", "train"), run, _STEPS)
 
 
 _RESOLVED = "sheet long, docs binary, sums binary, doc_id array<long>, n_tokens binary, n_known binary, base binary, doc int, word long, a double, b double"
@@ -320,7 +320,7 @@ def resolved(packed: DataFrame, model: Automaton, buckets: int) -> DataFrame:
             i = out[k : k + 100_000]
             yield rows(len(i), sheet=pa.array(names[sheet[i]]), doc=pa.array(doc[i].astype(np.int32)), word=pa.array(word[pair[i]]), a=pa.array(a[pair[i]]), b=pa.array(b[pair[i]]))
 
-    return packed.repartitionById(buckets, "bucket").mapInArrow(run, _RESOLVED)
+    return in_arrow(packed.repartitionById(buckets, "bucket"), run, _RESOLVED)
 
 
 def assembled(parts: DataFrame, late: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def assembled(parts: DataFrame, late: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own["doc_id"], pa.int64()), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     every = parts.where("word IS NULL").select(*names).unionByName(late, allowMissingColumns=True)
-    return every.repartition("sheet").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return in_arrow(every.repartition("sheet"), run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
@@ -371,7 +371,7 @@ def score(docs: DataFrame, apart: Column | None = None) -> tuple[DataFrame, Auto
     tokens = model.total + model.total // 4
     cores = docs.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, -(-tokens // BUCKET), min(cores, tokens // (BUCKET // 8)))
-    parts = table(resolved(steps(marked, model, buckets), model, buckets), "lm-parts")
+    parts = table(resolved(steps(marked, model, buckets), model, buckets), "lm-parts", scan=True)
     norm = float(model.total + model.distinct + 1)
     # Words outside the dictionary are rare, so no key of this join is hot. What training never saw counts 0.
     rare = counts.select(_unsigned("h").alias("word"), "c")

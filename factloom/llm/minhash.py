@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import BROADCAST_ROWS, bounded, join_skewed, stretches, table
+from factloom.llm.common import BROADCAST_ROWS, bounded, in_arrow, join_skewed, stretches, table
 from factloom.llm.words import hasher, mix, text_of
 
 UNIVERSE = 1 << 21
@@ -120,7 +120,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "fp", "n", "d", "bands", "sketch"],
                 )
 
-    return _marked(docs).mapInArrow(run, "doc_id long, fp long, n long, d binary, bands array<long>, sketch binary")
+    return in_arrow(_marked(docs), run, "doc_id long, fp long, n long, d binary, bands array<long>, sketch binary")
 
 
 def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -280,7 +280,7 @@ def verify(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     wanted = table(wanted.select("key", "node", "label", F.col("doc_id").alias("own_id"), F.col("fp").alias("own_fp")), "nd-wanted")
     texts = _marked(docs).join(bounded(wanted), F.col("fp").eqNullSafe(F.col("own_fp")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     grouped = texts.select("key", "node", "label", "text").repartition("key").sortWithinPartitions("key")
-    return table(grouped.mapInArrow(_verified(words), "a long, b long"), "nd-confirmed")
+    return table(in_arrow(grouped, _verified(words), "a long, b long"), "nd-confirmed")
 
 
 def confirmed(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, chunk: int) -> DataFrame:
@@ -327,7 +327,7 @@ def clustered(members: DataFrame, sides: DataFrame) -> DataFrame:
     star = table(star, "nd-star")
     pivots = star.groupBy("a").agg(F.count("*").alias("group_size"))
     known = join_skewed(star.join(sides.toDF("b", "nb", "sb"), "b"), sides.toDF("a", "na", "sa"), "a", pivots, star.count())
-    near = table(known.where(_sizes_fit("na", "nb")).select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "nd-near")
+    near = table(in_arrow(known.where(_sizes_fit("na", "nb")).select("a", "b", "sa", "sb"), _agree, "a long, b long"), "nd-near")
     labels = components(near)
 
     # Buckets that still hold more than one cluster.
@@ -347,7 +347,7 @@ def clustered(members: DataFrame, sides: DataFrame) -> DataFrame:
     as_all = spread.select("band", "node", "label", "n", "sketch", F.explode(F.sequence(F.lit(0), rows_outer - 1)).alias("i"), own_all.cast("int").alias("j"), F.lit(False).alias("outer_side"))
     blocks = as_outer.unionByName(as_all).select(F.xxhash64("band", "i", "j").alias("key"), "node", "label", "n", "sketch", "outer_side", (~F.col("outer_side")).alias("inner_side"))
     sorted_ = whole.unionByName(blocks).repartition("key").sortWithinPartitions("key")
-    more = table(sorted_.mapInArrow(_inside, "a long, b long"), "nd-inside")
+    more = table(in_arrow(sorted_, _inside, "a long, b long"), "nd-inside")
     return labels if more.isEmpty() else components(near.union(more))
 
 

@@ -18,12 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stretches, table
+from factloom.llm.common import in_arrow, stretches, table
 from factloom.llm.tokens import byte_bpe, tokenizer_path
 
 WINDOW = 2048
@@ -50,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
+    return in_arrow(docs.select("doc_id", "text"), cut, _PIECES)
 
 
 def combinations(have: np.ndarray, window: int, deep: int = 24) -> list[tuple[int, ...]]:
@@ -129,7 +128,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[in
         out.append((tuple(shape), times))
 
 
-def _slots(made: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
+def _slots(made: list[tuple[tuple[int, ...], int]]) -> pa.Table:
     """For each slot of the plan: ranks [lo, hi) of pieces of `length` go to sequences seq + rank - lo at `offset`."""
     used: dict[int, int] = {}
     rows, seq = [], 0
@@ -141,7 +140,8 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
             used[length] = lo + times
             at += length
         seq += times
-    return pd.DataFrame(rows, columns=["length", "lo", "hi", "seq", "offset"])
+    kinds = {"length": pa.int32(), "lo": pa.int64(), "hi": pa.int64(), "seq": pa.int64(), "offset": pa.int64()}
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = table(counts, "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
-    slots = spark.createDataFrame(_slots(plan(histogram, window)), "length int, lo long, hi long, seq long, offset long")
+    slots = spark.createDataFrame(_slots(plan(histogram, window)))
     # Parts times lengths may be many rows: this join shuffles, and part and length together are no hot key.
     before = counts.selectExpr("length", "part", "cast(sum(n) OVER (PARTITION BY length ORDER BY part) - n AS bigint) AS before")
     # Within a part ranks are local; each (part, length) holds no more rows than its part.

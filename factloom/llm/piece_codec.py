@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import stretches
+from factloom.llm.common import in_arrow, stretches
 from factloom.llm.tokens import CACHE_UNITS, CACHED_LENGTH, tokenizer_path
 
 SPACE = "▁"
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows), (lists, lists, lists, pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "ids", "begins", "ends", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<long>, begins array<long>, ends array<long>, decoded string")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<long>, begins array<long>, ends array<long>, decoded string")
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends array<long>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
