@@ -29,18 +29,30 @@ def value_in_quote(facts: DataFrame) -> DataFrame:
     return facts.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def overlap(wanted: Column, have: Column) -> Column:
+    """The share of the wanted tokens that the other has."""
+    w = F.array_distinct(wanted)
+    return F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_intersect(w, have)) / F.size(w))
+
+
 def token_overlap(wanted: Column, have: Column) -> Column:
     """The share of the wanted text's tokens that the other has (Q22)."""
-    w = F.array_distinct(slug_tokens(wanted))
-    return F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_intersect(w, slug_tokens(have))) / F.size(w))
+    return overlap(slug_tokens(wanted), slug_tokens(have))
+
+
+def _near(x: Column, y: Column, tolerance: float) -> Column:
+    return F.coalesce(F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y)), F.lit(False))
+
+
+def signed_digits(text: Column) -> Column:
+    """A printed figure's digits behind its sign, null where it has none: what two prints of one figure share."""
+    d = digits(text)
+    return F.when(d != "", F.concat(F.when(text.rlike(r"^\s*[-(]"), "-").otherwise(""), d))
 
 
 def values_match(wanted: Column, have: Column, wanted_text: Column, have_text: Column, tolerance: float = DEFAULT.tolerance) -> Column:
     """Equal within the tolerance, or the same digits with the same sign (Q23)."""
-    near = F.abs(wanted - have) <= tolerance * F.greatest(F.abs(wanted), F.abs(have))
-    negative = lambda t: t.rlike(r"^\s*[-(]")
-    same = (digits(wanted_text) != "") & (digits(wanted_text) == digits(have_text)) & (negative(wanted_text) == negative(have_text))
-    return F.coalesce(near, F.lit(False)) | F.coalesce(same, F.lit(False))
+    return _near(wanted, have, tolerance) | F.coalesce(signed_digits(wanted_text) == signed_digits(have_text), F.lit(False))
 
 
 #: Values within the tolerance differ by less than this in their logarithm, so their buckets are neighbours.
@@ -53,17 +65,20 @@ def _bucket(value: Column) -> Column:
 
 
 def value_hits(labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs of a label and a fact of its document whose values match, by equi-joins alone.
+    """Pairs of a label and a fact of its document whose values match, with `metric_overlap`, by equi-joins alone.
 
     Values within the tolerance share a bucket or lie in neighbouring ones, and other matches share their digits; both joins have the
-    document in their key, and every pair that they bring is tested. No label meets all facts of its document.
+    document in their key, and every pair that they bring is tested. No label meets all facts of its document. Tokens and digits are
+    worked out once a label and once a fact.
     """
-    own = facts.select("doc_id", "fact_id", "page_index", "subject", "predicate", "value_raw", "value_num", F.signum("value_num").alias("side"), _bucket(F.col("value_num")).alias("bucket"), digits(F.col("value_raw")).alias("digits"))
-    near = labels.withColumn("side", F.signum("canonical_value")).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(F.col("canonical_value")) + k)))
-    same = labels.withColumn("digits", digits(F.col("value_text"))).where("digits != ''")
-    names = [*labels.columns, "fact_id", "page_index", "subject", "predicate", "value_raw", "value_num"]
-    pairs = near.join(own.drop("digits"), ["doc_id", "side", "bucket"]).select(*names).unionByName(same.join(own.drop("side", "bucket"), ["doc_id", "digits"]).select(*names))
-    return pairs.where(values_match(F.col("canonical_value"), F.col("value_num"), F.col("value_text"), F.col("value_raw")))
+    tokens = slug_tokens(F.concat_ws(" ", "subject", "predicate"))
+    own = facts.select("doc_id", "fact_id", "page_index", "value_num", F.signum("value_num").alias("side"), _bucket(F.col("value_num")).alias("bucket"), signed_digits(F.col("value_raw")).alias("print"), tokens.alias("have"))
+    asked = labels.withColumns({"wanted_tokens": slug_tokens(F.col("metric")), "print": signed_digits(F.col("value_text")), "side": F.signum("canonical_value")})
+    near = asked.drop("print").withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(F.col("canonical_value")) + k)))
+    names = [*labels.columns, "wanted_tokens", "fact_id", "page_index", "value_num", "have"]
+    close = near.join(own.drop("print"), ["doc_id", "side", "bucket"]).where(_near(F.col("canonical_value"), F.col("value_num"), DEFAULT.tolerance)).select(*names)
+    printed = asked.drop("side").where("print IS NOT NULL").join(own.drop("side", "bucket"), ["doc_id", "print"]).select(*names)
+    return close.unionByName(printed).withColumn("metric_overlap", overlap(F.col("wanted_tokens"), F.col("have"))).drop("wanted_tokens", "have")
 
 
 def recall_ladder(labels: DataFrame, facts: DataFrame) -> DataFrame:
@@ -72,8 +87,7 @@ def recall_ladder(labels: DataFrame, facts: DataFrame) -> DataFrame:
     Every rung but the last needs the value, so facts are looked up by it.
     """
     hits = value_hits(labels, facts)
-    metric = token_overlap(F.col("metric"), F.concat_ws(" ", "subject", "predicate")) >= 2 / 3
-    here = F.col("label_page") == F.col("page_index")
+    metric, here = F.col("metric_overlap") >= 2 / 3, F.col("label_page") == F.col("page_index")
     best = hits.groupBy("label_id").agg(F.min(F.when(metric & here, 0).when(metric, 1).when(here, 2).otherwise(3)).alias("r"))
     names = F.array(*[F.lit(x) for x in ("found", "offpage", "renamed", "missed")])
     return labels.select("label_id", "difficulty").join(best, "label_id", "left").select("label_id", "difficulty", F.element_at(names, F.coalesce("r", F.lit(3)) + 1).alias("rung"))
@@ -84,8 +98,7 @@ def correct_among_found(labels: DataFrame, facts: DataFrame) -> DataFrame:
 
     Labels without a `period_key` are not counted for the period.
     """
-    metric = token_overlap(F.col("metric"), F.concat_ws(" ", "subject", "predicate")) >= 2 / 3
-    hits = value_hits(labels, facts).where(metric & (F.col("label_page") == F.col("page_index"))).withColumnRenamed("period_key", "wanted").join(facts.select("fact_id", "period_key"), "fact_id")
+    hits = value_hits(labels, facts).where((F.col("metric_overlap") >= 2 / 3) & (F.col("label_page") == F.col("page_index"))).withColumnRenamed("period_key", "wanted").join(facts.select("fact_id", "period_key"), "fact_id")
     near = F.abs(F.col("canonical_value") - F.col("value_num")) <= DEFAULT.tolerance * F.greatest(F.abs("canonical_value"), F.abs("value_num"))
     one = hits.groupBy("label_id").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("value"), F.bool_or(F.coalesce(F.col("wanted") == F.col("period_key"), F.lit(False))).alias("period"), F.first("wanted").alias("wanted"))
     stacked = one.select(F.explode(F.array(F.struct(F.lit("value").alias("aspect"), F.col("value").alias("good"), F.lit(True).alias("asked")), F.struct(F.lit("period").alias("aspect"), F.col("period").alias("good"), F.col("wanted").isNotNull().alias("asked")))).alias("x"))
