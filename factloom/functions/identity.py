@@ -55,8 +55,10 @@ def strip_periods(text: Column) -> Column:
     """The phrase without its period words; the phrase itself if nothing else is left (ID3)."""
     plain = F.trim(F.coalesce(text, F.lit("")))
     words = F.filter(F.split(plain, r"(?U)\s+"), lambda w: ~F.lower(F.regexp_replace(w, r"^[,;:()]+|[,;:()]+$", "")).rlike(PERIOD_TOKEN))
-    cleaned = F.regexp_replace(F.array_join(words, " "), r"^[ \-–—,;:]+|[ \-–—,;:]+$", "")
-    return F.when(cleaned != "", cleaned).otherwise(plain)
+    # Every period word holds a digit or is "fy": most phrases have neither and are not taken apart.
+    kept = F.when(plain.rlike(r"(?i)[0-9]|fy"), F.array_join(words, " ")).otherwise(F.regexp_replace(plain, r"(?U)\s+", " "))
+    cleaned = F.regexp_replace(kept, r"^[ \-–—,;:]+|[ \-–—,;:]+$", "")
+    return F.coalesce(F.get(F.filter(F.array(cleaned, plain), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def canonical_claim(subject: Column, predicate: Column, qualifiers: Column) -> Column:

@@ -56,11 +56,15 @@ def _bounded(token: str) -> str:
 def _first(tokens: list[tuple[str, str]], low: Column) -> Column:
     """The answer of the first (token, answer) found. Tokens of letters stand alone, others match anywhere.
 
-    One look-ahead finds, at each place of the text, the first token that begins there; the least rank of all decides.
+    A look-ahead finds, at each place where a word begins, the first token of letters, and at each place the first of the others; the
+    least rank of all decides.
     """
-    one = [_bounded(t) if t.isalpha() else r"\Q" + t + r"\E" for t, _ in tokens]
     names, answers = (F.array(*[F.lit(x) for x in side]) for side in zip(*tokens))
-    begun = F.regexp_extract_all(low, F.lit("(?=(" + "|".join(one) + "))"), F.lit(1))
+    words = "|".join(t for t, _ in tokens if t.isalpha())
+    others = "|".join(r"\Q" + t + r"\E" for t, _ in tokens if not t.isalpha())
+    begun = F.regexp_extract_all(low, F.lit(f"(?<![a-z])(?=((?:{words})(?![a-z])))"), F.lit(1))
+    if others:
+        begun = F.concat(begun, F.regexp_extract_all(low, F.lit(f"(?=({others}))"), F.lit(1)))
     rank = F.array_min(F.transform(begun, lambda t: F.array_position(names, t)))
     return F.get(answers, rank.cast("int") - 1)
 
@@ -102,8 +106,16 @@ def with_values(df: DataFrame, value: str = "value_raw", unit: str = "unit_raw",
     percent = low.rlike(_PERCENT)
     plain = ~(bps | pp | percent)
     strip = r"[\d,.\s()%-]"
-    bound = F.concat(F.lit(r"(?<![a-z])"), F.coalesce("_scale", F.lit("\n")), F.lit(r"(?![a-z])"))
-    residual = F.regexp_replace(F.regexp_replace(F.lower("_u"), strip, ""), bound, "") if compat else F.regexp_replace(F.regexp_replace(F.lower("_u"), bound, ""), strip, "")
+
+    def unscaled(text: Column) -> Column:
+        """Without the scale word that applies; one fixed pattern a word, so that none is compiled for a row."""
+        out = F.when(F.col("_scale").isNull(), text)
+        for token, _ in SCALES:
+            out = out.when(F.col("_scale") == token, F.regexp_replace(text, _bounded(token), ""))
+        return out
+
+    stripped = lambda text: F.regexp_replace(text, strip, "")
+    residual = unscaled(stripped(F.lower("_u"))) if compat else stripped(unscaled(F.lower("_u")))
     df = df.withColumns({"_plain": plain, "_bps": bps, "_rate": bps | pp, "_res": F.trim(residual)})
     numeric, empty = F.col("_x").isNotNull(), F.coalesce(F.length(value), F.lit(0)) == 0
     unit_of = F.when(F.col("_rate"), "pp").when(~F.col("_plain"), "percent").when(F.col("_iso").isNotNull(), F.col("_iso")).when(F.col("_res") != "", F.col("_res")).otherwise("count")
