@@ -160,13 +160,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
     found = table(decided(docs).where("group_size > 1").select("doc_id", "fp", mine.alias("stays")), "exact-found")
-    gone = table(found.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct(), "exact-gone")
-    twice = table(found.where("stays").groupBy("doc_id", "fp").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("fp").alias("twice_fp")), "exact-twice")
+    gone = table(found.where("NOT stays").select(F.col("doc_id").alias("__factloom_gone_id"), F.col("fp").alias("__factloom_gone_fp")).distinct(), "exact-gone")
+    twice = table(found.where("stays").groupBy("doc_id", "fp").count().where("count > 1").select(F.col("doc_id").alias("__factloom_twice_id"), F.col("fp").alias("__factloom_twice_fp")), "exact-twice")
     own_fp = F.xxhash64("text")
-    rest = docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (own_fp == F.col("gone_fp")), "left_anti")
+    rest = docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("__factloom_gone_id")) & (own_fp == F.col("__factloom_gone_fp")), "left_anti")
     if twice.isEmpty():
         return rest
-    same = F.col("doc_id").eqNullSafe(F.col("twice_id")) & (own_fp == F.col("twice_fp"))
+    same = F.col("doc_id").eqNullSafe(F.col("__factloom_twice_id")) & (own_fp == F.col("__factloom_twice_fp"))
     mark = "__factloom_fp"
     again = rest.join(twice, same, "left_semi").withColumn(mark, own_fp).dropDuplicates(["doc_id", mark]).drop(mark)
     return rest.join(twice, same, "left_anti").unionByName(again)
