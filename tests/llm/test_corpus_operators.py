@@ -414,6 +414,35 @@ def test_minhash_repeated_ids(spark):
     assert sorted(left, key=str) == sorted([(1, a), (5, b), (None, rows[5][1]), (7, None), (7, None)], key=str)
 
 
+def test_minhash_links_of_a_crowd():
+    """2,000 near copies about the threshold in one task: fewer pairs than members leave it, and they connect what all links connect."""
+    rnd = np.random.default_rng(5)
+    base = np.arange(150, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rnd.choice(base, rnd.integers(128, 150), replace=False), rnd.integers(10**6, 10**12, rnd.integers(0, 8)).astype(np.uint64)])) for _ in range(2000)]
+    pairs = minhash.linked(sets, np.arange(2000))
+    assert len(pairs) < 2000
+    hit = np.zeros((2000, 150), np.int64)
+    for k, s in enumerate(sets):
+        hit[k, s[s < 150].astype(int)] = 1
+    common, sizes = hit @ hit.T, np.asarray([len(s) for s in sets])
+    links = 100 * common >= 80 * (sizes[:, None] + sizes[None, :] - common)
+    assert all(links[a, b] for a, b in pairs) and 0.05 < links.mean() < 0.95
+    label, reached = np.full(2000, -1), np.full(2000, -1)
+    for out, near in ((label, links), (reached, None)):
+        beside = defaultdict(list)
+        for a, b in pairs if near is None else zip(*np.nonzero(near)):
+            beside[a].append(b)
+            beside[b].append(a)
+        for start in range(2000):
+            todo = [start] if out[start] < 0 else []
+            while todo:
+                x = todo.pop()
+                if out[x] < 0:
+                    out[x] = start
+                    todo += beside[x]
+    assert (label == reached).all()
+
+
 @pytest.mark.parametrize("chunk", [minhash.CHUNK, 400])
 def test_minhash_large_group(spark, chunk):
     """Near copies about the threshold: links as by brute force, and fewer confirmed pairs than members, however the cluster is cut."""
@@ -734,6 +763,23 @@ def test_registered_queries(spark, tmp_path):
     assert got == {1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("b.org", "/fr/", "org/fr/", "allow"), 3: ("c.example", "/", None, "allow"), 4: ("", "", None, "allow")}
 
 
+def test_clashing_columns(spark, docs):
+    """Columns named as the operators name their own change nothing and pass through the stages that keep all columns."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = "fp node label key band n d digest norm n_cp part place sha keep_id keep_fp group_size kept component_id chosen stays gone_id twice_id train sheet bucket spans all random hit __text term base_x entity held_out lang_pred2 row _m".split()
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    clash = plain.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, clash, "")
+        assert left.columns == clash.columns, name
+        assert sorted(map(str, left.select(plain.columns).collect())) == sorted(map(str, stage(spark, plain, "").collect())), name
+    pick = lambda df: sorted(map(str, df.collect()))
+    for run in (lambda d: exact_dedup.exact_groups(d), lambda d: minhash.near_groups(d), lambda d: pii.scan(d), lambda d: lm.score(d)[0].drop("score"), lambda d: piece_codec.digests(d).drop("ends"), lambda d: packing.pack(d).select("doc_id", "start", "length", "ids_crc32")):
+        assert pick(run(clash)) == pick(run(plain))
+
+
 def test_pipeline(spark, docs, empty):
     import corpus_pipeline
 
