@@ -12,7 +12,8 @@ No pair and no word is left out, and none is held by all workers: the automaton
 1. One pass counts the tokens, and for the HOT histories that a sample finds frequent the distinct words behind them.
 2. The traversal reads each text once. Words of the DICTIONARY, a broadcast cache of the most frequent ones, get their P1 there; for each
    step it hands on the arc (state, word) that it takes, packed by the task that owns it: by the state, or, where the state is
-   hot, by state and word. What a task gets is bounded by BUCKET tokens, as far as one state that is not hot allows.
+   hot, by state and word. What a task holds at once is bounded by BUCKET tokens, as far as one state that is not hot allows; of very
+   many tokens a task of at most TASKS gets several such buckets, deals them apart and meets them in turn.
 3. There the arcs' counts are summed over training texts, n_u and b_u follow, and each step's weight goes back, summed by text. Only steps
    to words outside the dictionary wait for one more join with the counts of words.
 
@@ -39,6 +40,10 @@ HOT = 512
 #: Tokens met in one task; bounds its memory (some 200 MB).
 BUCKET = 2_000_000
 DISCOUNT = 0.75
+#: Tasks among which arcs are dealt at most; more arcs than they hold at once are met in turns, sorted on disk.
+TASKS = 20_000
+#: Steps that a task deals to its turns at once.
+_TURNED = 8_000_000
 #: Of the texts one in so many finds the hot histories.
 SAMPLED = 64
 #: A word cannot hold a space, so these are no words.
@@ -86,6 +91,20 @@ class Sheet:
         self.state_hash[ends[:-1] + 1], self.state_tag[ends[:-1] + 1] = _START, start_tag
 
 
+def _distinct(state: np.ndarray, word: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and for each step its pair. Pairs of the dictionary are one number; few others are."""
+    near = (state >= 0) & (word >= 0)
+    keys, first = np.unique(state[near] * wide + word[near], return_inverse=True)
+    far_state, far_word = state[~near], word[~near]
+    order = np.lexsort((far_word, far_state))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(far_state[order]) != 0) | (np.diff(far_word[order]) != 0)
+    pair = np.empty(len(state), np.int64)
+    pair[near] = first
+    pair[np.flatnonzero(~near)[order]] = np.cumsum(new) - 1 + len(keys)
+    return np.concatenate([keys // wide, far_state[order][new]]), np.concatenate([keys % wide, far_word[order][new]]), pair
+
+
 def _unsigned(column: str) -> Column:
     """A 64-bit hash as workers name words outside the dictionary: with its top bit set."""
     return F.col(column).bitwiseOR(F.lit(-(2**63)))
@@ -170,6 +189,21 @@ class Automaton:
         self.end = int(_finder(self.hashes)(np.asarray([_END]))[0])
         self.key_bytes = max(1, -(-max(1, len(self.counts) * max(1, self.start)).bit_length() // 8))
 
+    def home(self, state: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each arc: its state's, or its own where the state is hot."""
+        split = self.hot_kinds[np.where(state >= 0, state, 0)] >= 0
+        split &= state >= 0
+        return (np.where(split, _mixed(state, word), _mixed(state)) % np.uint64(buckets)).astype(np.int64)
+
+    def pack(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Pairs of the dictionary as rows of key_bytes bytes."""
+        return (state * max(1, self.start) + word).view(np.uint8).reshape(-1, 8)[:, : self.key_bytes]
+
+    def unpack(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        key = np.zeros((len(raw) // self.key_bytes, 8), np.uint8)
+        key[:, : self.key_bytes] = np.frombuffer(raw, np.uint8).reshape(-1, self.key_bytes)
+        return np.divmod(key.view(np.int64).ravel(), max(1, self.start))
+
     def arcs(self, state: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(c_uv - D) / c_u, not below 0, and b_u for distinct pairs with the number of times training saw them.
 
@@ -194,7 +228,48 @@ class Automaton:
 _STEPS = "bucket int, sheet long, docs binary, keys binary, far_docs binary, far_states binary, far_words binary, doc_id array<long>, n_tokens binary, n_known binary, base binary"
 
 
-def steps(docs: DataFrame, model: Automaton, buckets: int) -> DataFrame:
+_PACKED = pa.schema([("bucket", pa.int32()), ("sheet", pa.int64()), *((c, pa.binary()) for c in ("docs", "keys", "far_docs", "far_states", "far_words")), ("doc_id", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_tokens", "n_known", "base"))])
+
+
+def _arcs_packed(m: Automaton, bucket: np.ndarray, sheet: np.ndarray | int, doc: np.ndarray, state: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """Arcs as a row for each bucket and sheet."""
+    near = (state >= 0) & (word >= 0)
+    # One number for each pair of bucket and sheet.
+    sheets, which = np.unique(sheet, return_inverse=True) if isinstance(sheet, np.ndarray) else (np.asarray([sheet]), 0)
+    place = bucket * len(sheets) + which
+    rows = np.unique(place)
+
+    def dealt(mine: np.ndarray, *values: np.ndarray) -> list[list[bytes]]:
+        own = place[mine]
+        order = np.argsort(own, kind="stable")
+        first = np.searchsorted(own[order], rows)
+        edges = np.append(first, len(order))
+        out = []
+        for v in values:
+            raw, width = np.ascontiguousarray(v[order]).tobytes(), v.itemsize * (v.shape[1] if v.ndim > 1 else 1)
+            out.append([raw[width * i : width * j] for i, j in zip(edges[:-1], edges[1:])])
+        return out
+
+    columns = [*dealt(near, doc[near], m.pack(state[near], word[near])), *dealt(~near, doc[~near], state[~near], word[~near])]
+    none = [None] * len(rows)
+    values = [(rows // len(sheets)).tolist(), sheets[rows % len(sheets)].tolist(), *columns, none, none, none, none]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(values, _PACKED)], schema=_PACKED)
+
+
+def _arcs_of(m: Automaton, packed: dict[str, list]) -> tuple[np.ndarray, ...]:
+    """(row, doc, state, word) of all arcs of some packed rows, given as lists by column."""
+
+    def joined(name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+        values = [np.frombuffer(raw or b"", kind) for raw in packed[name]]
+        return np.concatenate([np.zeros(0, kind), *values]), np.repeat(np.arange(len(values)), [len(v) for v in values])
+
+    doc, row = joined("docs", np.uint16)
+    far_doc, far_row = joined("far_docs", np.uint16)
+    state, word = m.unpack(b"".join(x or b"" for x in packed["keys"]))
+    return np.concatenate([row, far_row]), np.concatenate([doc, far_doc]), np.concatenate([state, joined("far_states", np.int64)[0]]), np.concatenate([word, joined("far_words", np.int64)[0]])
+
+
+def steps(docs: DataFrame, model: Automaton, buckets: int, tasks: int) -> DataFrame:
     """The traversal of docs (doc_id, text, train): each step's arc, packed by the task that owns it, and what is known of each text.
 
     Texts are numbered within sheets of at most 32,768; in `docs` a number's lowest bit says whether the text trains.
@@ -206,9 +281,6 @@ def steps(docs: DataFrame, model: Automaton, buckets: int) -> DataFrame:
 
         m = shared.value
         words, number = WordHashes(_finder(m.hashes)), TaskContext.get().partitionId() << 32
-        owner = (_mixed(np.arange(len(m.counts))) % np.uint64(buckets)).astype(np.int64)
-        hot = m.hot_kinds >= 0
-        schema = pa.schema([("bucket", pa.int32()), ("sheet", pa.int64()), *((c, pa.binary()) for c in ("docs", "keys", "far_docs", "far_states", "far_words")), ("doc_id", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_tokens", "n_known", "base"))])
         for batch in batches:
             for part, texts in stretches(batch, 4 << 20):
                 s = Sheet(words, texts, m.end, m.start)
@@ -216,46 +288,52 @@ def steps(docs: DataFrame, model: Automaton, buckets: int) -> DataFrame:
                 doc = (2 * s.doc + train[s.doc]).astype(np.uint16)
                 known = s.tag >= 0
                 base = np.bincount(s.doc, np.where(known, m.log_p1[np.where(known, s.tag, 0)] if m.start else 0.0, 0.0), len(texts))
-                mine = [int(number % buckets)], [number], [None], [None], [None], [None], [None], [part.column("doc_id").to_pylist()], [s.sizes.tobytes()], [np.bincount(s.doc, known, len(texts)).astype(np.int64).tobytes()], [base.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(mine, schema)], schema=schema)
+                mine = [int(number % tasks)], [number], [None], [None], [None], [None], [None], [part.column("doc_id").to_pylist()], [s.sizes.tobytes()], [np.bincount(s.doc, known, len(texts)).astype(np.int64).tobytes()], [base.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(mine, _PACKED)], schema=_PACKED)
                 state = np.where(s.state_tag >= 0, s.state_tag, (s.state_hash | _TOP_BIT).view(np.int64))
                 word = np.where(known, s.tag, (s.hash | _TOP_BIT).view(np.int64))
-                inside = state >= 0
-                at = np.where(inside, state, 0)
-                split = inside & hot[at]
-                home = np.where(inside, owner[at], (_mixed(state) % np.uint64(buckets)).astype(np.int64))
-                home = np.where(split, (_mixed(state, word) % np.uint64(buckets)).astype(np.int64), home)
-                near = inside & known
-                keys = (state[near] * max(1, m.start) + word[near]).view(np.uint8).reshape(-1, 8)[:, : m.key_bytes]
-                yield packed_arcs(schema, number, home, near, doc, keys, state, word)
+                yield _arcs_packed(m, m.home(state, word, buckets) % tasks, number, doc, state, word)
                 number += 1
 
-    def packed_arcs(schema, number, home, near, doc, keys, state, word) -> pa.RecordBatch:
-        """A row for each task that owns an arc of the sheet."""
-
-        def dealt(which: np.ndarray, *values: np.ndarray) -> list[list[bytes | None]]:
-            own = home[which]
-            order = np.argsort(own, kind="stable")
-            edges = np.searchsorted(own[order], np.append(tasks, buckets + 1))
-            out = []
-            for v in values:
-                raw, width = np.ascontiguousarray(v[order]).tobytes(), v.itemsize * (v.shape[1] if v.ndim > 1 else 1)
-                out.append([raw[width * a : width * b] for a, b in zip(edges[:-1], edges[1:])])
-            return out
-
-        tasks = np.unique(home)
-        far = ~near
-        columns = [*dealt(near, doc[near], keys), *dealt(far, doc[far], state[far], word[far])]
-        none = [None] * len(tasks)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([tasks.tolist(), [number] * len(tasks), *columns, none, none, none, none], schema)], schema=schema)
-
     return in_arrow(docs.select("doc_id", "text", "train"), run, _STEPS)
 
 
+def turns(dealt: DataFrame, model: Automaton, buckets: int, tasks: int) -> DataFrame:
+    """What a task owns, dealt to the buckets it meets in turn and sorted by them; what is known of texts comes first (bucket -1)."""
+    shared = dealt.sparkSession.sparkContext.broadcast(model)
+    names = ("docs", "keys", "far_docs", "far_states", "far_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        held, sheets, size = {c: [] for c in names}, [], 0
+
+        def flush() -> pa.RecordBatch:
+            row, doc, state, word = _arcs_of(m, held)
+            return _arcs_packed(m, m.home(state, word, buckets) // tasks, np.asarray(sheets, np.int64)[row], doc, state, word)
+
+        for batch in batches:
+            texts = batch.filter(batch.column("doc_id").is_valid())
+            if texts.num_rows:
+                yield texts.set_column(0, _PACKED.field(0), pa.array([-1] * texts.num_rows, pa.int32()))
+            arcs = batch.filter(batch.column("doc_id").is_null())
+            for k in range(arcs.num_rows):
+                sheets.append(arcs.column("sheet")[k].as_py())
+                for c in names:
+                    held[c].append(arcs.column(c)[k].as_py())
+                size += len(held["docs"][-1] or b"") // 2 + len(held["far_docs"][-1] or b"") // 2
+                if size > _TURNED:
+                    yield flush()
+                    held, sheets, size = {c: [] for c in names}, [], 0
+        if size:
+            yield flush()
+
+    return in_arrow(dealt, run, _STEPS).sortWithinPartitions("bucket")
+
+
 _RESOLVED = "sheet long, docs binary, sums binary, doc_id array<long>, n_tokens binary, n_known binary, base binary, doc int, word long, a double, b double"
 
 
-def resolved(packed: DataFrame, model: Automaton, buckets: int) -> DataFrame:
+def resolved(packed: DataFrame, model: Automaton, buckets: int, tasks: int) -> DataFrame:
     """Steps with their weights, summed by text (docs, sums); steps to words outside the dictionary as rows (doc, word, a, b)."""
     shared = packed.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("sheet", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.binary()), ("n_known", pa.binary()), ("base", pa.binary()), ("doc", pa.int32()), ("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
@@ -263,64 +341,54 @@ def resolved(packed: DataFrame, model: Automaton, buckets: int) -> DataFrame:
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def joined(parts: list[tuple[int, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all sheets, and the number of each value's sheet."""
-        values = [np.frombuffer(raw, kind) for _, raw in parts]
-        if not values:
-            return np.zeros(0, kind), np.zeros(0, np.int64)
-        return np.concatenate(values), np.repeat(np.asarray([x for x, _ in parts], np.int64), [len(v) for v in values])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        held: dict[str, list[tuple[int, bytes]]] = {c: [] for c in ("docs", "keys", "far_docs", "far_states", "far_words")}
-        numbers: dict[int, int] = {}  # of sheets, in this task
-        for batch in batches:
-            texts = batch.filter(batch.column("doc_id").is_valid())
-            if texts.num_rows:
-                yield rows(texts.num_rows, **{c: texts.column(c) for c in ("sheet", "doc_id", "n_tokens", "n_known", "base")})
-            arcs = batch.filter(batch.column("doc_id").is_null())
-            sheets = [numbers.setdefault(x, len(numbers)) for x in arcs.column("sheet").to_pylist()]
-            for c, own in held.items():
-                own += [(k, raw) for k, raw in zip(sheets, arcs.column(c).to_pylist()) if raw]
-        doc, sheet = joined(held["docs"], np.uint16)
-        raw = np.frombuffer(b"".join(x for _, x in held["keys"]), np.uint8).reshape(-1, m.key_bytes)
-        key = np.zeros((len(raw), 8), np.uint8)
-        key[:, : m.key_bytes] = raw
-        key = key.view(np.int64).ravel()
-        far_doc, far_sheet = joined(held["far_docs"], np.uint16)
-        far_state, far_word = joined(held["far_states"], np.int64)[0], joined(held["far_words"], np.int64)[0]
-        held.clear()
-        if not len(key) and not len(far_doc):
+    def weighed(m: Automaton, held: dict[str, list], sheets: list[int]) -> Iterator[pa.RecordBatch]:
+        """All arcs of one bucket."""
+        row, doc, state, word = _arcs_of(m, held)
+        if not len(row):
             return
-        # Distinct pairs, and for each step its pair.
-        near, pair = np.unique(key, return_inverse=True)
-        order = np.lexsort((far_word, far_state))
-        new = np.concatenate([[True], (np.diff(far_state[order]) != 0) | (np.diff(far_word[order]) != 0)])[: len(order)]
-        far_pair = np.empty(len(order), np.int64)
-        far_pair[order] = np.cumsum(new) - 1
-        state = np.concatenate([near // max(1, m.start), far_state[order][new]])
-        word = np.concatenate([near % max(1, m.start), far_word[order][new]])
-        pair = np.concatenate([pair, far_pair + len(near)])
-        doc, sheet = np.concatenate([doc, far_doc]), np.concatenate([sheet, far_sheet])
+        names, own = np.unique(np.asarray(sheets, np.int64), return_inverse=True)
+        sheet = own[row]
+        state, word, pair = _distinct(state, word, max(1, m.start))
         a, b = m.arcs(state, word, np.bincount(pair, doc & 1, len(state)))
         inside = word >= 0
         p1 = 10 ** m.log_p1[np.where(inside, word, 0)] if m.start else np.zeros(len(word))
         weight = np.log10(np.where(inside, a + b * p1, 1.0))
         doc >>= 1
         # Back by text, sheet by sheet.
-        names = np.asarray(list(numbers), np.int64)
         place, where = np.unique((sheet << 16) | doc, return_inverse=True)
         sums = np.bincount(where, weight[pair], len(place)).astype(np.float32)
         at, texts = place >> 16, (place & 0xFFFF).astype(np.uint16)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-        own = [(int(names[at[i]]), texts[i:j].tobytes(), sums[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:])]
-        yield rows(len(own), sheet=pa.array([x[0] for x in own]), docs=pa.array([x[1] for x in own]), sums=pa.array([x[2] for x in own]))
+        back = [(int(names[at[i]]), texts[i:j].tobytes(), sums[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:])]
+        yield rows(len(back), sheet=pa.array([x[0] for x in back]), docs=pa.array([x[1] for x in back]), sums=pa.array([x[2] for x in back]))
         out = np.flatnonzero(~inside[pair])
         for k in range(0, len(out), 100_000):
             i = out[k : k + 100_000]
             yield rows(len(i), sheet=pa.array(names[sheet[i]]), doc=pa.array(doc[i].astype(np.int32)), word=pa.array(word[pair[i]]), a=pa.array(a[pair[i]]), b=pa.array(b[pair[i]]))
 
-    return in_arrow(packed.repartitionById(buckets, "bucket"), run, _RESOLVED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, now = shared.value, None
+        names = ("docs", "keys", "far_docs", "far_states", "far_words")
+        held, sheets = {c: [] for c in names}, []
+        for batch in batches:
+            texts = batch.filter(batch.column("doc_id").is_valid())
+            if texts.num_rows:
+                yield rows(texts.num_rows, **{c: texts.column(c) for c in ("sheet", "doc_id", "n_tokens", "n_known", "base")})
+            arcs = batch.filter(batch.column("doc_id").is_null())
+            bucket = arcs.column("bucket").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if bucket[i] != now:
+                    yield from weighed(m, held, sheets)
+                    held, sheets, now = {c: [] for c in names}, [], bucket[i]
+                some = arcs.slice(i, j - i)
+                sheets += some.column("sheet").to_pylist()
+                for c in names:
+                    held[c] += some.column(c).to_pylist()
+        yield from weighed(m, held, sheets)
+
+    dealt = packed.repartitionById(tasks, "bucket")
+    return in_arrow(turns(dealt, model, buckets, tasks) if buckets > tasks else dealt, run, _RESOLVED)
 
 
 def assembled(parts: DataFrame, late: DataFrame) -> DataFrame:
@@ -371,7 +439,8 @@ def score(docs: DataFrame, apart: Column | None = None) -> tuple[DataFrame, Auto
     tokens = model.total + model.total // 4
     cores = docs.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, -(-tokens // BUCKET), min(cores, tokens // (BUCKET // 8)))
-    parts = table(resolved(steps(marked, model, buckets), model, buckets), "lm-parts", scan=True)
+    tasks = min(buckets, TASKS)
+    parts = table(resolved(steps(marked, model, buckets, tasks), model, buckets, tasks), "lm-parts", scan=True)
     norm = float(model.total + model.distinct + 1)
     # Words outside the dictionary are rare, so no key of this join is hot. What training never saw counts 0.
     rare = counts.select(_unsigned("h").alias("word"), "c")
