@@ -328,12 +328,12 @@ def same_scores(got, want):
     assert np.allclose(sorted(x[3] for x in have), sorted(x[3] for x in want), atol=1e-4, rtol=1e-6)
 
 
-@pytest.mark.parametrize("dictionary, hot, bucket, sampled", [(lm.DICTIONARY, lm.HOT, lm.BUCKET, lm.SAMPLED), (40, 5, 20_000, 1), (0, 3, 10_000, 1), (500, 0, 5_000, 1), (7, 50, 30_000, 2)])
-def test_language_model_has_every_pair(docs, monkeypatch, dictionary, hot, bucket, sampled):
+@pytest.mark.parametrize("dictionary, hot, bucket, sampled, tasks", [(lm.DICTIONARY, lm.HOT, lm.BUCKET, lm.SAMPLED, lm.TASKS), (40, 5, 20_000, 1, 9), (0, 3, 10_000, 1, 2), (500, 0, 5_000, 1, 3), (7, 50, 30_000, 2, 1)])
+def test_language_model_has_every_pair(docs, monkeypatch, dictionary, hot, bucket, sampled, tasks):
     """Whatever is cached, split or dealt out, scores are those of all words and all pairs counted by hand."""
     from pyspark.sql import functions as F
 
-    for name, size in (("DICTIONARY", dictionary), ("HOT", hot), ("BUCKET", bucket), ("SAMPLED", sampled)):
+    for name, size in (("DICTIONARY", dictionary), ("HOT", hot), ("BUCKET", bucket), ("SAMPLED", sampled), ("TASKS", tasks)):
         monkeypatch.setattr(lm, name, size)
     want, p, count = by_definition([(i, t) for i, t, _ in TEXTS], lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
     got, model = lm.score(docs, F.coalesce(lm.held_out(7, 2), F.lit(False)))
