@@ -267,11 +267,14 @@ _TOUCHING = f"""WITH {RELATIONS} SELECT relation_id, relation FROM rel WHERE a_d
 
 
 def _document_list(spark, d):
-    return search.document_list(fx.documents(spark, d), fx.facts(spark, d), fx.issues(spark, d)).select("doc_id", "filename", "n_facts", "n_issues")
+    # Three jobs a document, the third the latest; one document has none.
+    jobs = spark.range(15).selectExpr("concat('d_', id div 3) AS doc_id", "concat('j_', id) AS job_id", "timestamp_seconds(1700000000 + (id * 7) % 3) AS created_at")
+    return search.document_list(fx.documents(spark, d), fx.facts(spark, d), fx.issues(spark, d), jobs).select("doc_id", "filename", "n_facts", "n_issues", "latest_job")
 
 
 _DOCUMENT_LIST = f"""WITH {ISSUES}, {DOCUMENTS}
-SELECT doc_id, filename, (SELECT count(*) FROM facts f WHERE f.doc_id = docs.doc_id) AS n_facts, (SELECT count(*) FROM issues i WHERE i.doc_id = docs.doc_id) AS n_issues FROM docs"""
+SELECT doc_id, filename, (SELECT count(*) FROM facts f WHERE f.doc_id = docs.doc_id) AS n_facts, (SELECT count(*) FROM issues i WHERE i.doc_id = docs.doc_id) AS n_issues,
+  CASE WHEN doc_id <> 'd_5' THEN 'j_' || (3 * CAST(substr(doc_id, 3) AS INTEGER) + 2) END AS latest_job FROM docs"""
 
 
 def _document_detail(spark, d):

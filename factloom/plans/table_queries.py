@@ -91,6 +91,26 @@ _CHUNK_TEXT = f"""WITH RECURSIVE {_CHUNK_CTE}
 SELECT p.doc_id, p.ordinal, CAST(min(p.page_index) AS INTEGER) AS page_start, CAST(max(p.page_index) AS INTEGER) AS page_end, (sum(s.size) + 2 * (count(*) - 1))::BIGINT AS chars FROM packed p JOIN s USING (doc_id, page_index) GROUP BY 1, 2"""
 
 
+def _chunk_oversize(spark, d):
+    """Documents as single pages, those over the limit in parts by lines; texts are compared by their digest."""
+    pages = read(spark, d, "documents").selectExpr("doc_id", "1 AS page_index", "text")
+    made = chunking.chunks(pages, Config(chunk_target=3000, page_limit=3000))
+    return made.select("doc_id", "ordinal", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+_CHUNK_OVERSIZE = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents),
+l AS (SELECT doc_id, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) AS n FROM t WHERE length(s) > 3000),
+r AS (SELECT doc_id, n, line, 0 AS part, length(line) + 1 AS used FROM l WHERE n = 1
+  UNION ALL SELECT l.doc_id, l.n, l.line, CASE WHEN r.used + length(l.line) > 3000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.used + length(l.line) > 3000 THEN 0 ELSE r.used END + length(l.line) + 1
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.n = r.n + 1),
+p AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY n) AS s FROM r GROUP BY 1, 2),
+c AS (SELECT doc_id, part, '[[page 1]]' || chr(10) || s AS s FROM p WHERE regexp_matches(s, '\S') UNION ALL SELECT doc_id, 0, '[[page 1]]' || chr(10) || s FROM t WHERE length(s) BETWEEN 30 AND 3000),
+o AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY part)),
+j AS (SELECT doc_id, k, CASE WHEN k = m - 1 AND m > 1 AND length(s) < 400 THEN k - 1 ELSE k END AS ordinal, s FROM o),
+g AS (SELECT doc_id, ordinal, string_agg(s, chr(10) || chr(10) ORDER BY k) AS s FROM j GROUP BY 1, 2)
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, length(s) AS chars, md5(s) AS digest FROM g"""
+
+
 def _quotes(spark, d):
     return read(spark, d, "benchmark").selectExpr("item_id AS quote_id", "text AS quote")
 
@@ -374,6 +394,7 @@ QUERIES = {
     "label_runs": (_label_runs, _LABEL_RUNS),
     "chunk_pack": (_chunk_pack, f"WITH RECURSIVE {_CHUNK_CTE} SELECT doc_id, page_index, ordinal FROM packed"),
     "chunk_text": (_chunk_text, _CHUNK_TEXT),
+    "chunk_oversize": (_chunk_oversize, _CHUNK_OVERSIZE),
     "ingest_plan": (_ingest_plan, _INGEST_PLAN),
     "document_opening": (_opening, _OPENING),
     "parse_report": (_parse_report, _PARSE_REPORT),
