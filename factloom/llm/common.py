@@ -49,19 +49,25 @@ def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-#: Files of a written intermediate result, for each core that the session has.
+#: Files of a result for each core that the session has: of what comes out of a shuffle, and of what is read and mapped.
 FILES_PER_CORE = 4
+SCAN_FILES_PER_CORE = 16
+
+
+def few_files(df: DataFrame, scan: bool = False) -> DataFrame:
+    """`df` in at most FILES_PER_CORE parts a core, or SCAN_FILES_PER_CORE of what is read; fewer stay. Parts are merged, not shuffled."""
+    return df.coalesce((SCAN_FILES_PER_CORE if scan else FILES_PER_CORE) * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back, which cuts its lineage for good.
 
-    A lost executor costs a re-read of the files, never a recomputation, and readers prune columns. What comes out of a shuffle goes
-    to FILES_PER_CORE files a core at most, since many small files cost more than they bring; `scan` keeps the parts of what is read.
+    A lost executor costs a re-read of the files, never a recomputation, and readers prune columns. Many small files cost more than they
+    bring, so their number is bounded; `scan` allows more for what comes straight from a source.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    (df if scan else df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    few_files(df, scan).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

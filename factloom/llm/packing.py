@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import in_arrow, stretches, table
+from factloom.llm.common import few_files, in_arrow, stretches, table
 from factloom.llm.tokens import byte_bpe, tokenizer_path
 
 WINDOW = 2048
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     ranked = ranked.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("local") + F.col("before"))
     here = F.broadcast(slots)
     placed = ranked.join(here, (ranked["length"] == here["length"]) & (ranked["rank"] >= here["lo"]) & (ranked["rank"] < here["hi"]))
-    return placed.select(
+    return few_files(placed).select(
         "doc_id", "start", ranked["length"].cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (F.col("seq") + F.col("rank") - F.col("lo")).cast("long").alias("sequence_id"), "offset",
     )
