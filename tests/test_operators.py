@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.config import Config
-from factloom.operators import candidates, chunking, evaluate, evidence, judge, layout, pairs
+from factloom.operators import candidates, chunking, evaluate, evidence, judge, layout, pairs, search
 from factloom.sources import store
 from factloom.streaming import stateful
 
@@ -236,3 +236,12 @@ def test_quote_queries_look_at_the_whole_passage(spark, tmp_path):
     assert {1, 2} <= set(fuzzy) and 4 not in fuzzy
     assert fuzzy[1]["method"] == "fuzzy" and fuzzy[1]["quote_end"] > 600, "the end of a long passage is searched for too"
     assert {(r["page_id"], r["score"]) for r in query("quote_cascade")(spark, str(tmp_path)).collect()} == {(3, 0.93)}
+
+
+@pytest.mark.parametrize("order", ["i", "i % 2, i", "-(i % 2), i"])
+def test_mean_confidence_does_not_depend_on_the_order_of_rows(spark, order):
+    """Confidences 0.7 and 0.85 in equal numbers have a mean of 0.775, which rounds to 0.78 in whatever order they are added."""
+    rows = spark.range(3750).selectExpr("id AS i").orderBy(*[F.expr(x) for x in order.split(", ")]).coalesce(1)
+    df = rows.selectExpr("'r' AS relation", "true AS cross_doc", "'unit' AS dimension", "CASE WHEN i % 2 = 0 THEN 0.7D ELSE 0.85D END AS confidence")
+    got = search.quality_report(df).collect()
+    assert [(r["n"], r["mean_confidence"]) for r in got] == [(3750, 0.78)] * 2
