@@ -37,7 +37,7 @@ from factloom.llm.words import WordHashes
 
 DICTIONARY = 500_000
 HOT = 512
-#: Tokens met in one task; bounds its memory (some 200 MB).
+#: Tokens met in one task; bounds its memory (some 90 MB beside what a worker has anyway).
 BUCKET = 2_000_000
 DISCOUNT = 0.75
 #: Tasks among which arcs are dealt at most; more arcs than they hold at once are met in turns, sorted on disk.
@@ -91,18 +91,26 @@ class Sheet:
         self.state_hash[ends[:-1] + 1], self.state_tag[ends[:-1] + 1] = _START, start_tag
 
 
-def _distinct(state: np.ndarray, word: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, and for each step its pair. Pairs of the dictionary are one number; few others are."""
-    near = (state >= 0) & (word >= 0)
-    keys, first = np.unique(state[near] * wide + word[near], return_inverse=True)
-    far_state, far_word = state[~near], word[~near]
-    order = np.lexsort((far_word, far_state))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(far_state[order]) != 0) | (np.diff(far_word[order]) != 0)
-    pair = np.empty(len(state), np.int64)
-    pair[near] = first
-    pair[np.flatnonzero(~near)[order]] = np.cumsum(new) - 1 + len(keys)
-    return np.concatenate([keys // wide, far_state[order][new]]), np.concatenate([keys % wide, far_word[order][new]]), pair
+def _joined(values: list[bytes | None], kind, width: int | None = None) -> np.ndarray:
+    """What all values hold, numbers of `width` bytes in a wider `kind`. The list is emptied meanwhile, so that nothing is held twice."""
+    size = np.dtype(kind).itemsize
+    width = width or size
+    out = np.zeros((sum(len(v or b"") for v in values) // width, size), np.uint8)
+    done = 0
+    for k, v in enumerate(values):
+        part = np.frombuffer(v or b"", np.uint8).reshape(-1, width)
+        out[done : done + len(part), :width] = part
+        done += len(part)
+        values[k] = None
+    return out.view(kind).ravel()
+
+
+def _runs(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new value begins among sorted ones."""
+    new = np.ones(len(sorted_[0]), bool)
+    if len(new):
+        new[1:] = np.any([x[1:] != x[:-1] for x in sorted_], axis=0)
+    return np.flatnonzero(new)
 
 
 def _unsigned(column: str) -> Column:
@@ -132,20 +140,23 @@ def counted(train: DataFrame, hot: np.ndarray) -> DataFrame:
         words, held, size = WordHashes(_finder(hot)), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            token, n = np.unique(np.concatenate([s.hash for s in held]), return_counts=True)
-            state, after = np.concatenate([s.state_tag for s in held]), np.concatenate([s.hash for s in held])
-            state, after = state[state >= 0], after[state >= 0]
-            _, first = np.unique(_mixed(after, state), return_index=True)
+            after, state = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            token, n = np.unique(after, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int32()), pa.array(token.view(np.int64)), pa.array(n)], ["u", "h", "c"])
-            yield pa.RecordBatch.from_arrays([pa.array(state[first].astype(np.int32)), pa.array(after[first].view(np.int64)), pa.array(np.ones(len(first), np.int64))], ["u", "h", "c"])
+            del token, n
+            after, state = after[state >= 0], state[state >= 0]
+            _, first = np.unique(_mixed(after, state), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(state[first]), pa.array(after[first].view(np.int64)), pa.array(np.ones(len(first), np.int64))], ["u", "h", "c"])
 
         for batch in batches:
             for _, texts in stretches(batch):
-                held.append(Sheet(words, texts, -1, len(hot)))
-                size += len(held[-1].hash)
+                s = Sheet(words, texts, -1, len(hot))
+                held.append((s.hash, s.state_tag.astype(np.int32)))
+                size += len(s.hash)
                 if size > _MEMTABLE:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
@@ -204,21 +215,25 @@ class Automaton:
         key[:, : self.key_bytes] = np.frombuffer(raw, np.uint8).reshape(-1, self.key_bytes)
         return np.divmod(key.view(np.int64).ravel(), max(1, self.start))
 
-    def arcs(self, state: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(c_uv - D) / c_u, not below 0, and b_u for distinct pairs with the number of times training saw them.
+    def states(self, state: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States seen in training, the distinct words behind each and, of those outside the dictionary, how often each was one.
 
-        States and words are places in the dictionary or, outside, negative. All pairs of a state that is not hot are here.
+        From distinct pairs, of which all of a state that is not hot are here, with the number of times training saw them. States are places in
+        the dictionary or, outside, negative, and so come first.
         """
-        seen = times > 0
-        states, kinds = np.unique(state[seen], return_counts=True)
-        at = np.minimum(np.searchsorted(states, state), max(0, len(states) - 1))
-        known = states[at] == state if len(states) else np.zeros(len(state), bool)
-        own_kinds = np.where(known, kinds[at] if len(states) else 0, 0)
+        states, kinds = np.unique(state[times > 0], return_counts=True)
+        far = (state < 0) & (times > 0)
+        rare = int(np.searchsorted(states, 0))
+        return states, kinds, np.bincount(np.searchsorted(states[:rare], state[far]), times[far], rare)
+
+    def arcs(self, state: np.ndarray, times: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(c_uv - D) / c_u, not below 0, and b_u for some of the distinct pairs from which `known` is."""
+        states, kinds, rare = known
+        at = _finder(states)(state)
         inside = state >= 0
         hot = np.where(inside, self.hot_kinds[np.where(inside, state, 0)], -1)
-        own_kinds = np.where(hot >= 0, hot, own_kinds)
-        rare = np.bincount(at[known], times[known], len(states)) if len(states) else np.zeros(1)
-        history = np.where(inside, self.counts[np.where(inside, state, 0)], np.where(known, rare[at], 0)).astype(float)
+        own_kinds = np.where(hot >= 0, hot, np.append(kinds, 0)[at])
+        history = np.where(inside, self.counts[np.where(inside, state, 0)], np.append(rare, 0)[np.where(inside | (at < 0), len(rare), at)]).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             a = np.where(history > 0, np.maximum(times - DISCOUNT, 0.0) / history, 0.0)
             b = np.where(history > 0, DISCOUNT * own_kinds / history, 1.0)
@@ -292,6 +307,7 @@ def steps(docs: DataFrame, model: Automaton, buckets: int, tasks: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(mine, _PACKED)], schema=_PACKED)
                 state = np.where(s.state_tag >= 0, s.state_tag, (s.state_hash | _TOP_BIT).view(np.int64))
                 word = np.where(known, s.tag, (s.hash | _TOP_BIT).view(np.int64))
+                del s, known
                 yield _arcs_packed(m, m.home(state, word, buckets) % tasks, number, doc, state, word)
                 number += 1
 
@@ -333,38 +349,95 @@ def turns(dealt: DataFrame, model: Automaton, buckets: int, tasks: int) -> DataF
 _RESOLVED = "sheet long, docs binary, sums binary, doc_id array<long>, n_tokens binary, n_known binary, base binary, doc int, word long, a double, b double"
 
 
+_WEIGHED = pa.schema([("sheet", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.binary()), ("n_known", pa.binary()), ("base", pa.binary()), ("doc", pa.int32()), ("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+#: Pairs, or steps, that are worked on together.
+_SOME = 1 << 17
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _WEIGHED], schema=_WEIGHED)
+
+
+def _weighed(m: Automaton, held: dict[str, list], sheets: list[int]) -> Iterator[pa.RecordBatch]:
+    """All arcs of one bucket, whose packed rows are given as lists by column. The lists are emptied.
+
+    A bucket is most of what a task holds, so nothing is kept for each step but its pair, its text and then its weight.
+    """
+    if not any(held["docs"]) and not any(held["far_docs"]):
+        return
+    names, own = np.unique(np.asarray(sheets, np.int64), return_inverse=True)
+    own = own.astype(np.uint32 if len(names) <= 1 << 16 else np.int64) << 16
+
+    def placed(docs: list[bytes | None]) -> np.ndarray:
+        """Sheet and number of each step's text; the lowest bit says whether it trains."""
+        out = np.repeat(own, [len(v or b"") // 2 for v in docs])
+        out |= _joined(docs, np.uint16)
+        return out
+
+    wide = max(1, m.start)
+    place, far_place = placed(held["docs"]), placed(held["far_docs"])
+    # Pairs of the dictionary are one number; few others are.
+    key = _joined(held["keys"], np.int64, m.key_bytes)
+    order = np.argsort(key)
+    key = key[order]
+    first = _runs(key)
+    state, word = np.divmod(key[first], wide)
+    del key
+    far_state, far_word = _joined(held["far_states"], np.int64), _joined(held["far_words"], np.int64)
+    far_order = np.lexsort((far_word, far_state))
+    far_state, far_word = far_state[far_order], far_word[far_order]
+    far_first = _runs(far_state, far_word)
+    near = len(first)
+    state, word = np.concatenate([state, far_state[far_first]]), np.concatenate([word, far_word[far_first]])
+    del far_state, far_word
+    times = np.concatenate([np.add.reduceat((p & 1).astype(np.uint8)[o], f, dtype=np.int64) if len(f) else np.zeros(0, np.int64) for p, o, f in ((place, order, first), (far_place, far_order, far_first))])
+    known = m.states(state, times)
+    weight, a, b = np.zeros(len(state)), np.zeros(len(far_first)), np.zeros(len(far_first))
+    for i in range(0, len(state), _SOME):
+        some = slice(i, i + _SOME)
+        x, y = m.arcs(state[some], times[some], known)
+        inside = word[some] >= 0
+        p1 = 10 ** m.log_p1[np.where(inside, word[some], 0)] if m.start else np.zeros(len(x))
+        weight[some] = np.log10(np.where(inside, x + y * p1, 1.0))
+        from_far = max(0, near - i)
+        a[max(0, i - near) :][: max(0, len(x) - from_far)], b[max(0, i - near) :][: max(0, len(x) - from_far)] = x[from_far:], y[from_far:]
+    word = word[near:]
+    del state, times, known
+
+    def of_steps(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each step its pair's value."""
+        out = np.empty(len(at), values.dtype)
+        out[at] = np.repeat(values, np.diff(np.append(first, len(at))))
+        return out
+
+    weight, far_weight = of_steps(weight[:near], order, first), of_steps(weight[near:], far_order, far_first)
+    del order, first
+    place >>= 1
+    far_place >>= 1
+    # Back by text, sheet by sheet.
+    texts = np.unique(np.concatenate([place[_runs(place)], far_place[_runs(far_place)]]))
+    sums = np.zeros(len(texts))
+    for p, w in ((place, weight), (far_place, far_weight)):
+        for i in range(0, len(p), _SOME):
+            at = np.searchsorted(texts, p[i : i + _SOME])
+            low, high = int(at.min()), int(at.max()) + 1
+            sums[low:high] += np.bincount(at - low, w[i : i + _SOME], high - low)
+    del place, weight
+    at, number, sums = texts >> 15, (texts & 0x7FFF).astype(np.uint16), sums.astype(np.float32)
+    edges = np.append(_runs(at), len(at))
+    back = [(int(names[at[i]]), number[i:j].tobytes(), sums[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:])]
+    yield _rows(len(back), sheet=pa.array([x[0] for x in back]), docs=pa.array([x[1] for x in back]), sums=pa.array([x[2] for x in back]))
+    pair = of_steps(np.arange(len(word)), far_order, far_first)
+    out = np.flatnonzero(word[pair] < 0)
+    for k in range(0, len(out), 100_000):
+        i = out[k : k + 100_000]
+        p = pair[i]
+        yield _rows(len(i), sheet=pa.array(names[far_place[i] >> 15]), doc=pa.array((far_place[i] & 0x7FFF).astype(np.int32)), word=pa.array(word[p]), a=pa.array(a[p]), b=pa.array(b[p]))
+
+
 def resolved(packed: DataFrame, model: Automaton, buckets: int, tasks: int) -> DataFrame:
     """Steps with their weights, summed by text (docs, sums); steps to words outside the dictionary as rows (doc, word, a, b)."""
     shared = packed.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("sheet", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.binary()), ("n_known", pa.binary()), ("base", pa.binary()), ("doc", pa.int32()), ("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def weighed(m: Automaton, held: dict[str, list], sheets: list[int]) -> Iterator[pa.RecordBatch]:
-        """All arcs of one bucket."""
-        row, doc, state, word = _arcs_of(m, held)
-        if not len(row):
-            return
-        names, own = np.unique(np.asarray(sheets, np.int64), return_inverse=True)
-        sheet = own[row]
-        state, word, pair = _distinct(state, word, max(1, m.start))
-        a, b = m.arcs(state, word, np.bincount(pair, doc & 1, len(state)))
-        inside = word >= 0
-        p1 = 10 ** m.log_p1[np.where(inside, word, 0)] if m.start else np.zeros(len(word))
-        weight = np.log10(np.where(inside, a + b * p1, 1.0))
-        doc >>= 1
-        # Back by text, sheet by sheet.
-        place, where = np.unique((sheet << 16) | doc, return_inverse=True)
-        sums = np.bincount(where, weight[pair], len(place)).astype(np.float32)
-        at, texts = place >> 16, (place & 0xFFFF).astype(np.uint16)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-        back = [(int(names[at[i]]), texts[i:j].tobytes(), sums[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:])]
-        yield rows(len(back), sheet=pa.array([x[0] for x in back]), docs=pa.array([x[1] for x in back]), sums=pa.array([x[2] for x in back]))
-        out = np.flatnonzero(~inside[pair])
-        for k in range(0, len(out), 100_000):
-            i = out[k : k + 100_000]
-            yield rows(len(i), sheet=pa.array(names[sheet[i]]), doc=pa.array(doc[i].astype(np.int32)), word=pa.array(word[pair[i]]), a=pa.array(a[pair[i]]), b=pa.array(b[pair[i]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, now = shared.value, None
@@ -373,19 +446,19 @@ def resolved(packed: DataFrame, model: Automaton, buckets: int, tasks: int) -> D
         for batch in batches:
             texts = batch.filter(batch.column("doc_id").is_valid())
             if texts.num_rows:
-                yield rows(texts.num_rows, **{c: texts.column(c) for c in ("sheet", "doc_id", "n_tokens", "n_known", "base")})
+                yield _rows(texts.num_rows, **{c: texts.column(c) for c in ("sheet", "doc_id", "n_tokens", "n_known", "base")})
             arcs = batch.filter(batch.column("doc_id").is_null())
             bucket = arcs.column("bucket").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else []
             for i, j in zip(cuts[:-1], cuts[1:]):
                 if bucket[i] != now:
-                    yield from weighed(m, held, sheets)
+                    yield from _weighed(m, held, sheets)
                     held, sheets, now = {c: [] for c in names}, [], bucket[i]
                 some = arcs.slice(i, j - i)
                 sheets += some.column("sheet").to_pylist()
                 for c in names:
                     held[c] += some.column(c).to_pylist()
-        yield from weighed(m, held, sheets)
+        yield from _weighed(m, held, sheets)
 
     dealt = packed.repartitionById(tasks, "bucket")
     return in_arrow(turns(dealt, model, buckets, tasks) if buckets > tasks else dealt, run, _RESOLVED)

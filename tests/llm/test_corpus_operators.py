@@ -356,6 +356,42 @@ def test_language_model_query(spark, tmp_path):
     assert all(r["held_out"] == held(r["doc_id"]) and r["train_tokens"] == sum(count.values()) for r in got)
 
 
+def test_language_model_holds_little_for_each_step_of_a_bucket():
+    """A bucket's arcs, of few and of many sheets: weights by hand, and not much more than its pairs and texts held at once."""
+    import tracemalloc
+
+    rnd, n, size = np.random.default_rng(7), 600_000, 3_000
+    counts = np.append(np.sort(rnd.zipf(1.3, size - 2) % 5_000 + 1)[::-1], 20_000)
+    model = lm.Automaton(np.append(rnd.choice(2**62, size - 2, False) * 2, lm._END.view(np.int64)), counts, int(counts.sum()), 2 * size, 20_000, {}, 0)
+    state, word = (rnd.zipf(1.3, n) % (size - 1) for _ in range(2))
+    far = rnd.random(n) < 0.05
+    word = np.where(far, -1 - word, word)
+    doc, sheet = np.sort(rnd.integers(0, 4_000, n)).astype(np.uint16), rnd.integers(0, 40, n)
+    names = ("docs", "keys", "far_docs", "far_states", "far_words")
+    packed = lm._arcs_packed(model, np.zeros(n, np.int64), sheet, doc, state, word)
+    held, sheets = {c: packed.column(c).to_pylist() for c in names}, packed.column("sheet").to_pylist()
+    tracemalloc.start()
+    batches = list(lm._weighed(model, held, sheets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 65 * n
+    out = [r for b in batches for r in b.to_pylist()]
+    times, kinds = Counter(), Counter()
+    for u, v, d in zip(state.tolist(), word.tolist(), doc.tolist()):
+        times[u, v] += d & 1
+    kinds.update(u for (u, _), c in times.items() if c)
+    want, late = Counter(), Counter()
+    for s, u, v, d in zip(sheet.tolist(), state.tolist(), word.tolist(), doc.tolist()):
+        a, b = max(times[u, v] - lm.DISCOUNT, 0) / model.counts[u], lm.DISCOUNT * kinds[u] / model.counts[u]
+        if v >= 0:
+            want[s, d >> 1] += math.log10(a + b * 10 ** model.log_p1[v]) if a + b else -math.inf
+        else:
+            late[s, d >> 1, v, round(a, 12), round(b, 12)] += 1
+    have = {(r["sheet"], d): x for r in out if r["docs"] is not None for d, x in zip(np.frombuffer(r["docs"], np.uint16).tolist(), np.frombuffer(r["sums"], np.float32).tolist())}
+    assert set(have) >= set(want) and all(np.isclose(x, want[k], rtol=1e-5) for k, x in have.items())
+    assert Counter((r["sheet"], r["doc"], r["word"], round(r["a"], 12), round(r["b"], 12)) for r in out if r["docs"] is None) == late
+
+
 def test_language_model_of_nothing(docs, empty):
     from pyspark.sql import functions as F
 
