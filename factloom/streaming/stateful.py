@@ -164,13 +164,20 @@ class KeyPool:
 def within_daily_budget(calls: DataFrame, budget: int = DEFAULT.daily_budget) -> DataFrame:
     """Calls (call_id, at as timestamp) with the number in the 24 hours up to each, and whether it is in the budget (ST5).
 
-    A day's bucket and the one before hold every call that counts, so the window is cut by day pairs and no task has all rows.
+    A call adds one where it stands and takes it back a day later, just past the last instant at which it counts. The sum so far is
+    taken within each hour, over what hours bring with them as wholes: every row is read twice, where a sliding frame reads a day's
+    calls for each call. Calls without a time count each other, as peers of a null do in SQL.
     """
-    day = F.floor(F.unix_micros("at") / 86_400_000_000)
-    twice = calls.withColumn("_day", day).withColumn("_own", F.lit(True))
-    twice = twice.unionByName(twice.withColumns({"_day": F.col("_day") + 1, "_own": F.lit(False)}))
-    recent = W.partitionBy("_day").orderBy(F.unix_micros("at")).rangeBetween(-86_400_000_000, 0)
-    df = twice.withColumn("calls_24h", F.count("*").over(recent)).where("_own").drop("_day", "_own")
+    wide = 3_600_000_000
+    timed = calls.withColumn("_at", F.unix_micros("at")).withColumn("_hour", F.floor(F.col("_at") / wide))
+    left = timed.where("_at IS NOT NULL").withColumns({"_at": F.col("_at") + (24 * wide + 1), "_hour": F.floor((F.col("_at") + (24 * wide + 1)) / wide), "_one": F.lit(-1)})
+    running = F.sum("_one").over(W.partitionBy("_hour").orderBy("_at").rangeBetween(W.unboundedPreceding, 0))
+    df = timed.withColumn("_one", F.lit(1)).unionByName(left).withColumn("_own", running).where("_one = 1")
+    # What counts when an hour begins: the 24 hours before it, and of the hour before those the calls of its last instant, which leave in this one.
+    per_hour = timed.where("_hour IS NOT NULL").groupBy("_hour").agg(F.count("*").alias("n"), F.count_if(F.pmod("_at", F.lit(wide)) == wide - 1).alias("late"))
+    ahead = per_hour.select(F.explode(F.sequence(F.col("_hour") + 1, F.col("_hour") + 24)).alias("_hour"), "n").unionByName(per_hour.select((F.col("_hour") + 25).alias("_hour"), F.col("late").alias("n")))
+    before = ahead.groupBy("_hour").agg(F.sum("n").alias("_before"))
+    df = df.join(before, "_hour", "left").withColumn("calls_24h", F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_at", "_hour", "_one", "_own", "_before")
     return df.withColumn("allowed", F.col("calls_24h") <= budget)
 
 

@@ -245,3 +245,16 @@ def test_mean_confidence_does_not_depend_on_the_order_of_rows(spark, order):
     df = rows.selectExpr("'r' AS relation", "true AS cross_doc", "'unit' AS dimension", "CASE WHEN i % 2 = 0 THEN 0.7D ELSE 0.85D END AS confidence")
     got = search.quality_report(df).collect()
     assert [(r["n"], r["mean_confidence"]) for r in got] == [(3750, 0.78)] * 2
+
+
+def test_calls_of_a_day(spark):
+    """Against brute force: equal instants, exactly a day apart, a microsecond more, hours' last instants, no time at all."""
+    hour = 3_600_000_000
+    at = [0, 0, 5, hour - 1, hour, 24 * hour - 1, 24 * hour, 24 * hour + 1, 24 * hour + 5, 24 * hour + 6, 25 * hour - 1, 25 * hour, 25 * hour + 1, 49 * hour, 100 * hour, -3, -24 * hour - 3, None, None]
+    at += [(k * 7_919_777_771) % (72 * hour) for k in range(300)]
+    calls = spark.createDataFrame(list(enumerate(at)), "call_id int, us long").selectExpr("call_id", "timestamp_micros(us) AS at")
+    df = stateful.within_daily_budget(calls, 50)
+    got = {r["call_id"]: (r["calls_24h"], r["allowed"]) for r in df.select("call_id", "calls_24h", "allowed").collect()}
+    n = [sum(y is None if x is None else y is not None and x - 24 * hour <= y <= x for y in at) for x in at]
+    assert got == {i: (k, k <= 50) for i, k in enumerate(n)}
+    assert "-86400000000" not in df._jdf.queryExecution().toString(), "no sliding frame"
