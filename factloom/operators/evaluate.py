@@ -55,8 +55,12 @@ def values_match(wanted: Column, have: Column, wanted_text: Column, have_text: C
     return _near(wanted, have, tolerance) | F.coalesce(signed_digits(wanted_text) == signed_digits(have_text), F.lit(False))
 
 
-#: Values within the tolerance differ by less than this in their logarithm, so their buckets are neighbours.
-_LOG_STEP = 0.0051
+#: Values of one bucket differ by less than the tolerance, and values within the tolerance lie at most two buckets apart.
+_LOG_STEP = 0.005
+_APART = 2
+#: Tokens that more than this share of the facts have are common.
+_COMMON = 0.001
+_METRIC = 2 / 3
 
 
 def _bucket(value: Column) -> Column:
@@ -64,31 +68,65 @@ def _bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs(value)) / _LOG_STEP)).cast("long")
 
 
-def value_hits(labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs of a label and a fact of its document whose values match, with `metric_overlap`, by equi-joins alone.
+def _neighbours(value: Column) -> Column:
+    return F.transform(F.sequence(F.lit(-_APART), F.lit(_APART)), lambda k: _bucket(value) + k)
 
-    Values within the tolerance share a bucket or lie in neighbouring ones, and other matches share their digits; both joins have the
-    document in their key, and every pair that they bring is tested. No label meets all facts of its document. Tokens and digits are
-    worked out once a label and once a fact.
+
+def metric_hits(labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs of a label and a fact of its document whose values match and whose tokens are at least two thirds of the label's, by equi-joins alone.
+
+    So many tokens are shared that of any few tokens of the label (as many as may lack, and one) the fact has one; the label's rarest are
+    taken. It is looked up by document, such a token, and value (bucket or digits) at once, so that neither a common value nor a common token
+    brings many pairs; every pair is tested. A pair may come several times. Common tokens that no label asks for leave no rows.
+    """
+    kept = [c for c in ("period_key",) if c in facts.columns]
+    own = facts.select("doc_id", "fact_id", "page_index", "value_num", *[F.col(c).alias(f"have_{c}") for c in kept], signed_digits(F.col("value_raw")).alias("have_print"), F.array_distinct(slug_tokens(F.concat_ws(" ", "subject", "predicate"))).alias("have"))
+    asked = labels.withColumns({"wanted_tokens": F.array_distinct(slug_tokens(F.col("metric"))), "print": signed_digits(F.col("value_text"))})
+    wanted = asked.select(F.explode("wanted_tokens").alias("token")).distinct()
+    counts = own.select(F.explode("have").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # How often each wanted token stands in facts; the rarest of a label, of equals the first by name.
+    ranked = asked.select("wanted_tokens").distinct().select("*", F.explode("wanted_tokens").alias("token")).join(counts.join(wanted, "token", "left_semi"), "token", "left")
+    first = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
+    lookup = ranked.groupBy("wanted_tokens").agg(first.alias("t")).select("wanted_tokens", F.slice("t", 1, F.size("t") - F.ceil(F.size("t") * _METRIC - 1e-9).cast("int") + 1).alias("t")).select("wanted_tokens", F.transform("t", lambda x: x["token"]).alias("tokens"))
+    asked = asked.join(lookup, "wanted_tokens")
+    # At most 1 / _COMMON times a fact's tokens are common: a list of some thousands.
+    common = counts.crossJoin(F.broadcast(facts.agg((F.count("*") * _COMMON).alias("_most")))).where("n > _most").select("token")
+    idle = common.join(asked.select(F.explode("tokens").alias("token")).distinct(), "token", "left_anti")
+    near = lambda token, bucket: F.xxhash64(F.lit("near"), token, bucket)
+    same = lambda token, digits_: F.xxhash64(F.lit("print"), token, digits_)
+    there = own.withColumn("token", F.explode("have")).join(F.broadcast(idle), "token", "left_anti")
+    there = there.withColumn("place", F.explode(F.array_compact(F.array(F.when(F.col("value_num").isNotNull(), near(F.col("token"), _bucket(F.col("value_num")))), F.when(F.col("have_print").isNotNull(), same(F.col("token"), F.col("have_print"))))))).drop("token")
+    token = F.explode("tokens").alias("token")
+    by_value = asked.where("canonical_value IS NOT NULL").select("*", token).withColumn("place", F.explode(F.transform(_neighbours(F.col("canonical_value")), lambda k: near(F.col("token"), k))))
+    by_print = asked.where("print IS NOT NULL").select("*", token).withColumn("place", same(F.col("token"), F.col("print")))
+    pairs = by_value.unionByName(by_print).drop("token", "tokens").join(there, ["doc_id", "place"])
+    match = _near(F.col("canonical_value"), F.col("value_num"), DEFAULT.tolerance) | F.coalesce(F.col("print") == F.col("have_print"), F.lit(False))
+    return pairs.where(match & (overlap(F.col("wanted_tokens"), F.col("have")) >= _METRIC)).drop("place", "print", "have_print", "wanted_tokens", "have")
+
+
+def on_page(labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """(label_id) of labels on whose page some fact matches the value, whatever it is called.
+
+    Facts of a page are reduced to their digits and to the least and greatest value of each bucket. If any value of another bucket is
+    near a label's, the one nearest to it is; in its own bucket all are. So no label meets the facts one by one.
     """
-    tokens = slug_tokens(F.concat_ws(" ", "subject", "predicate"))
-    own = facts.select("doc_id", "fact_id", "page_index", "value_num", F.signum("value_num").alias("side"), _bucket(F.col("value_num")).alias("bucket"), signed_digits(F.col("value_raw")).alias("print"), tokens.alias("have"))
-    asked = labels.withColumns({"wanted_tokens": slug_tokens(F.col("metric")), "print": signed_digits(F.col("value_text")), "side": F.signum("canonical_value")})
-    near = asked.drop("print").withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(F.col("canonical_value")) + k)))
-    names = [*labels.columns, "wanted_tokens", "fact_id", "page_index", "value_num", "have"]
-    close = near.join(own.drop("print"), ["doc_id", "side", "bucket"]).where(_near(F.col("canonical_value"), F.col("value_num"), DEFAULT.tolerance)).select(*names)
-    printed = asked.drop("side").where("print IS NOT NULL").join(own.drop("side", "bucket"), ["doc_id", "print"]).select(*names)
-    return close.unionByName(printed).withColumn("metric_overlap", overlap(F.col("wanted_tokens"), F.col("have"))).drop("wanted_tokens", "have")
+    here = facts.select("doc_id", F.col("page_index").alias("label_page"), "value_num", signed_digits(F.col("value_raw")).alias("print"))
+    ends = here.where("value_num IS NOT NULL").groupBy("doc_id", "label_page", F.signum("value_num").alias("side"), _bucket(F.col("value_num")).alias("bucket")).agg(F.min("value_num").alias("low"), F.max("value_num").alias("high"))
+    asked = labels.select("label_id", "doc_id", "label_page", "canonical_value", F.signum("canonical_value").alias("side"), F.explode(_neighbours(F.col("canonical_value"))).alias("bucket"))
+    near = lambda c: _near(F.col("canonical_value"), F.col(c), DEFAULT.tolerance)
+    close = asked.join(ends, ["doc_id", "label_page", "side", "bucket"]).where((F.col("bucket") == _bucket(F.col("canonical_value"))) | near("low") | near("high"))
+    printed = labels.select("label_id", "doc_id", "label_page", signed_digits(F.col("value_text")).alias("print")).join(here.where("print IS NOT NULL").select("doc_id", "label_page", "print"), ["doc_id", "label_page", "print"], "left_semi")
+    return close.select("label_id").unionByName(printed.select("label_id")).distinct()
 
 
 def recall_ladder(labels: DataFrame, facts: DataFrame) -> DataFrame:
     """(label_id, difficulty, rung): found, offpage, renamed or missed, by the best fact of the label's document (Q21, JN11).
 
-    Every rung but the last needs the value, so facts are looked up by it.
+    Facts that carry the label's metric are looked up by it; whether a page has the value at all is asked of the page.
     """
-    hits = value_hits(labels, facts)
-    metric, here = F.col("metric_overlap") >= 2 / 3, F.col("label_page") == F.col("page_index")
-    best = hits.groupBy("label_id").agg(F.min(F.when(metric & here, 0).when(metric, 1).when(here, 2).otherwise(3)).alias("r"))
+    here = F.col("label_page") == F.col("page_index")
+    named = metric_hits(labels, facts).groupBy("label_id").agg(F.min(F.when(here, 0).otherwise(1)).alias("r"))
+    best = named.unionByName(on_page(labels, facts).withColumn("r", F.lit(2))).groupBy("label_id").agg(F.min("r").alias("r"))
     names = F.array(*[F.lit(x) for x in ("found", "offpage", "renamed", "missed")])
     return labels.select("label_id", "difficulty").join(best, "label_id", "left").select("label_id", "difficulty", F.element_at(names, F.coalesce("r", F.lit(3)) + 1).alias("rung"))
 
@@ -98,7 +136,7 @@ def correct_among_found(labels: DataFrame, facts: DataFrame) -> DataFrame:
 
     Labels without a `period_key` are not counted for the period.
     """
-    hits = value_hits(labels, facts).where((F.col("metric_overlap") >= 2 / 3) & (F.col("label_page") == F.col("page_index"))).withColumnRenamed("period_key", "wanted").join(facts.select("fact_id", "period_key"), "fact_id")
+    hits = metric_hits(labels, facts).where(F.col("label_page") == F.col("page_index")).withColumnsRenamed({"period_key": "wanted", "have_period_key": "period_key"})
     near = F.abs(F.col("canonical_value") - F.col("value_num")) <= DEFAULT.tolerance * F.greatest(F.abs("canonical_value"), F.abs("value_num"))
     one = hits.groupBy("label_id").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("value"), F.bool_or(F.coalesce(F.col("wanted") == F.col("period_key"), F.lit(False))).alias("period"), F.first("wanted").alias("wanted"))
     stacked = one.select(F.explode(F.array(F.struct(F.lit("value").alias("aspect"), F.col("value").alias("good"), F.lit(True).alias("asked")), F.struct(F.lit("period").alias("aspect"), F.col("period").alias("good"), F.col("wanted").isNotNull().alias("asked")))).alias("x"))

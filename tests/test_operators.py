@@ -281,3 +281,34 @@ def test_pieces_of_long_pages(spark, monkeypatch, few):
     assert ("Broadcast" in df._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in df._jdf.queryExecution().optimizedPlan().toString()) == bool(few)
     whole = spark.createDataFrame([(1, quote[20:46])], "quote_id int, quote string")
     assert sorted(r["page_id"] for r in evidence.tier_candidates(whole, pages).collect()) == list(range(0, 600, 23))
+
+
+def test_labels_meet_facts_as_by_brute_force(spark):
+    """Rungs and counts are those of comparing every label with every fact; no join has the value alone for a key."""
+    import random
+
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "order", "value"]
+    name = lambda: " ".join(r.sample(words, r.randint(1, 4)))
+    number = lambda: r.choice([0.0, 100.0, 100.5, 100.4999, 99.5, 99.49, 101.0, -100.0, 100.5025, 1e-9, 7.0, None])
+    print_ = lambda: r.choice(["100", "-100", "(7)", "n/a", "", "1,00", None])
+    facts = [(f"f{i}", r.choice("AB"), name(), name(), r.randint(1, 3), number(), print_(), r.choice(["FY1", "FY2", None])) for i in range(150)]
+    labels = [(f"l{i}", r.choice("ABC"), r.choice(["easy", "hard"]), r.randint(1, 3), r.choice([name(), name(), "", "unheard of"]), number(), print_(), r.choice(["FY1", "FY2", None])) for i in range(150)]
+    f = spark.createDataFrame(facts, "fact_id string, doc_id string, subject string, predicate string, page_index int, value_num double, value_raw string, period_key string")
+    l = spark.createDataFrame(labels, "label_id string, doc_id string, difficulty string, label_page int, metric string, canonical_value double, value_text string, period_key string")  # noqa: E741
+    x = l.alias("l").join(f.alias("f"), F.col("l.doc_id") == F.col("f.doc_id"))
+    match = evaluate.values_match(F.col("canonical_value"), F.col("value_num"), F.col("value_text"), F.col("value_raw"))
+    over, here = evaluate.token_overlap(F.col("metric"), F.concat_ws(" ", "subject", "predicate")) >= 2 / 3, F.col("label_page") == F.col("page_index")
+    met = x.where(match).select("label_id", "fact_id", over.alias("over"), here.alias("here"), "canonical_value", "value_num", F.col("l.period_key").alias("wanted"), F.col("f.period_key").alias("period")).collect()
+    assert {(m["label_id"], m["fact_id"]) for m in met if m["over"]} == {(m["label_id"], m["fact_id"]) for m in evaluate.metric_hits(l, f).collect()}
+    want = dict.fromkeys((i[0] for i in labels), 3)
+    for m in met:
+        want[m["label_id"]] = min(want[m["label_id"]], (0 if m["here"] else 1) if m["over"] else 2 if m["here"] else 3)
+    got = {g["label_id"]: ("found", "offpage", "renamed", "missed").index(g["rung"]) for g in evaluate.recall_ladder(l, f).collect()}
+    assert got == want and set(want.values()) == {0, 1, 2, 3}
+    found = [m for m in met if m["over"] and m["here"]]
+    near = {m["label_id"] for m in found if None not in (m["canonical_value"], m["value_num"]) and abs(m["canonical_value"] - m["value_num"]) <= 0.005 * max(abs(m["canonical_value"]), abs(m["value_num"]))}
+    asked = {m["label_id"] for m in found if m["wanted"]}
+    right = {m["label_id"] for m in found if m["wanted"] and m["wanted"] == m["period"]}
+    got = {g["aspect"]: (g["correct"], g["of"]) for g in evaluate.correct_among_found(l, f).collect()}
+    assert got == {"value": (len(near), len({m["label_id"] for m in found})), "period": (len(right), len(asked))}
