@@ -312,3 +312,35 @@ def test_labels_meet_facts_as_by_brute_force(spark):
     right = {m["label_id"] for m in found if m["wanted"] and m["wanted"] == m["period"]}
     got = {g["aspect"]: (g["correct"], g["of"]) for g in evaluate.correct_among_found(l, f).collect()}
     assert got == {"value": (len(near), len({m["label_id"] for m in found})), "period": (len(right), len(asked))}
+
+
+@pytest.mark.parametrize("split", [7, 1000])
+def test_pairs_of_a_key_from_one_join(spark, monkeypatch, split):
+    """The same pairs as of the two kinds apart, whole facts on both sides; ids alone need no other columns to travel."""
+    monkeypatch.setattr(candidates, "SPLIT", split)
+    rows = [fact(f"f{i:03}", "ABC"[i % 3], num=float(i % 4) if i % 11 else None, period="FY1" if i % 7 else None, key="m|k" if i < 40 else (f"m|{i % 9}" if i % 10 else ("|" if i % 20 else None))) for i in range(120)]
+    facts = spark.createDataFrame(rows, FACT)
+    df = candidates.same_key_pairs(facts)
+    want = candidates.metric_pairs(facts).unionByName(candidates.same_doc_pairs(facts)).collect()
+    assert sorted((r["a"]["fact_id"], r["b"]["fact_id"], r["similarity"]) for r in df.collect()) == sorted(map(tuple, want)) and len(want) > 100
+    known = {r["fact_id"]: r for r in facts.collect()}
+    assert all(r["a"] == known[r["a"]["fact_id"]] and r["b"] == known[r["b"]["fact_id"]] for r in df.collect())
+    if split == 1000:
+        plan = df.select("a.fact_id", "b.fact_id", "similarity")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "a_quote" not in plan
+    both = candidates.union_pairs(spark.createDataFrame([("f001", "f000", 0.5), ("f000", "f001", 0.4)], "a_id string, b_id string, similarity double"), spark.createDataFrame(want))
+    got = {(r["a_id"], r["b_id"]): (r["similarity"], r["source"]) for r in both.collect()}
+    assert got == {(r["a_id"], r["b_id"]): (r["similarity"], 1) for r in want if (r["a_id"], r["b_id"]) != ("f001", "f000")} | {("f000", "f001"): (0.4, 0)}
+
+
+def test_relation_counts_take_one_shuffle(spark, monkeypatch):
+    from factloom.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 1)
+    facts = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "fact_id string")
+    relations = spark.createDataFrame([("1", "a", "b", "x"), ("2", "a", "z", "x"), ("3", "a", "a", "y"), ("4", "b", "c", "x")], "relation_id string, fact_a string, fact_b string, relation string")
+    df = search.relation_counts(facts, relations)
+    assert sorted((r["fact_id"], sorted(r["counts"].items())) for r in df.collect()) == [("a", [("x", 2), ("y", 2)]), ("b", [("x", 2)]), ("c", [("x", 1)]), ("c", [("x", 1)])]
+    assert search.relation_counts(facts, relations.where("false")).first()["counts"] == {}
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and df.rdd.getNumPartitions() == 12, "facts and ends in parts of TASK_ROWS"
+    assert search.filter_count(df).first()["n"] == 8
