@@ -344,3 +344,14 @@ def test_relation_counts_take_one_shuffle(spark, monkeypatch):
     assert search.relation_counts(facts, relations.where("false")).first()["counts"] == {}
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and df.rdd.getNumPartitions() == 12, "facts and ends in parts of TASK_ROWS"
     assert search.filter_count(df).first()["n"] == 8
+
+
+@pytest.mark.parametrize("asking", [1, 7, 100])
+def test_topk_does_not_depend_on_blocks(spark, asking):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"v{i:02}", "ABC"[i % 3], [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, doc_id string, vec array<double>")
+    key = lambda d: sorted((x["a"], x["b"], x["rank"], round(x["similarity"], 9)) for x in d.collect())
+    assert key(candidates.cosine_topk(df, df, 4, 0.2, shard=16, asking=asking)) == key(candidates.cosine_topk(df, df, 4, 0.2, shard=1000))
