@@ -1,6 +1,7 @@
 """Operators over rows: pairs, verdicts, evidence, chunks, layout, store, state."""
 
 import json
+import os
 from difflib import SequenceMatcher
 
 import pytest
@@ -355,3 +356,13 @@ def test_topk_does_not_depend_on_blocks(spark, asking):
     df = spark.createDataFrame(rows, "id string, doc_id string, vec array<double>")
     key = lambda d: sorted((x["a"], x["b"], x["rank"], round(x["similarity"], 9)) for x in d.collect())
     assert key(candidates.cosine_topk(df, df, 4, 0.2, shard=16, asking=asking)) == key(candidates.cosine_topk(df, df, 4, 0.2, shard=1000))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_issues_are_logged_without_a_table_of_pairs(spark):
+    from factloom.plans import fixtures
+    from factloom.sources import tables
+
+    tables.forget()
+    assert search.issue_examples(fixtures.issues(spark, "/root/testdata/sf0.001")).count() == 6
+    assert {k[1] for k in tables._WRITTEN} == {"facts", "issues"}
