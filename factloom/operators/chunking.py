@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import DEFAULT, Config
+from factloom.sources.tables import small_batches
 
 
 def trimmed(text: Column) -> Column:
@@ -44,14 +45,15 @@ def split_page(text: str, limit: int) -> list[str]:
 def units(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(doc_id, page_index, part, solo, piece): pages that hold enough, trimmed and marked; an oversize page as parts of its own (CH2)."""
 
-    def parts(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_page(t, config.page_limit) if isinstance(t, str) else None for t in texts])
+    def parts(texts: pa.Array) -> pa.Array:
+        return pa.array((split_page(t.as_py(), config.page_limit) if t.is_valid else None for t in texts), pa.list_(pa.string()))
 
+    small_batches(pages.sparkSession)
     body = pages.select("doc_id", F.col("page_index").cast("bigint").alias("page_index"), trimmed(F.col("text")).alias("body")).where(F.length("body") >= config.page_min)
     mark = F.concat(F.lit("[[page "), F.col("page_index").cast("string"), F.lit("]]\n"))
     solo = F.length("body") > config.page_limit
     usual = body.where(~solo).select("doc_id", "page_index", F.lit(0).alias("part"), F.lit(False).alias("solo"), F.concat(mark, "body").alias("piece"))
-    large = body.where(solo).select("doc_id", "page_index", F.posexplode(F.pandas_udf(parts, "array<string>")("body")).alias("part", "text"))
+    large = body.where(solo).select("doc_id", "page_index", F.posexplode(F.arrow_udf(parts, "array<string>")("body")).alias("part", "text"))
     return usual.unionByName(large.select("doc_id", "page_index", "part", F.lit(True).alias("solo"), F.concat(mark, "text").alias("piece")))
 
 

@@ -366,3 +366,18 @@ def test_issues_are_logged_without_a_table_of_pairs(spark):
     tables.forget()
     assert search.issue_examples(fixtures.issues(spark, "/root/testdata/sf0.001")).count() == 6
     assert {k[1] for k in tables._WRITTEN} == {"facts", "issues"}
+
+
+def test_long_pages_are_split_in_small_batches(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], "64m")
+        pages = spark.range(600).selectExpr("id AS doc_id", "1 AS page_index", "repeat(concat('line ', id, '\n'), 40) AS text")
+        df = chunking.units(pages, Config(page_limit=100)).where("solo")
+        assert df.groupBy("doc_id").count().where("count > 2").count() == 600
+        assert int(spark.conf.get(keys[0])) <= 256 and int(spark.conf.get(keys[1]).rstrip("b")) <= 8 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
